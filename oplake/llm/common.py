@@ -103,7 +103,7 @@ def _grow(n: int) -> None:
 class Words:
     """Words of a run of documents: byte spans, 64-bit hashes, and where each document's words begin."""
 
-    __slots__ = ("bytes", "doc_bytes", "start", "end", "first", "hash")
+    __slots__ = ("bytes", "doc_bytes", "start", "end", "first", "hash", "_total")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
         b = _LOWER[data] if lower else data
@@ -122,7 +122,12 @@ class Words:
         _grow(n + 1)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[:n], dtype=np.uint64, out=total[1:])
-        self.hash = mix64((total[self.end] - total[self.start]) * _inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self._total = total
+        self.hash = self.span_hash(self.start, self.end)
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans: a polynomial of the bytes that does not depend on where they stand."""
+        return mix64((self._total[end] - self._total[start]) * _inverse[start] + (end - start).astype(np.uint64))
 
     def text(self, i: int) -> bytes:
         return self.bytes[self.start[i] : self.end[i]].tobytes()
