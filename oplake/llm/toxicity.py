@@ -20,8 +20,8 @@ from oplake.llm.quality import collect_features, labelled_sample
 SLOTS = 1 << 20
 #: At most so many labelled rows of each class are used to fit.
 SAMPLE_PER_CLASS = 6000
-#: Features kept: the slots whose class counts differ most, by likelihood ratio; below EVIDENCE none is.
-FEATURES, EVIDENCE = 4096, 24.0
+#: Features kept: the slots that speak most for the toxic class, by likelihood ratio; below EVIDENCE none is.
+FEATURES, EVIDENCE = 4096, 20.0
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -81,6 +81,7 @@ def choose_features(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarr
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda k, n: np.where(k > 0, k * np.log(k / (n * p)), 0) + np.where(n - k > 0, (n - k) * np.log((n - k) / (n * (1 - p))), 0)
         evidence = 2 * np.nan_to_num(part(up, n1) + part(down, n0), posinf=0.0, neginf=0.0)
+    evidence[(up + 0.5) * (n0 + 1) <= (down + 0.5) * (n1 + 1)] = 0.0
     top = np.argsort(-evidence, kind="stable")[:FEATURES]
     top = np.sort(top[evidence[top] >= EVIDENCE]).astype(np.int32)
     return top, np.log((up[top] + 0.5) / (n1 + 1)) - np.log((down[top] + 0.5) / (n0 + 1))
