@@ -98,7 +98,7 @@ def grade_labels(features: list[np.ndarray], y: np.ndarray, slots: np.ndarray, r
     return np.where(y > 0, 1 + np.searchsorted(edges, count, side="left"), 0)
 
 
-def fit_rows(features: list[np.ndarray], y: np.ndarray, class_counts: tuple[int, int], seed: int = 5, epochs: int = 12, rate: float = 0.3, l2: float = 1e-4) -> ToxicityModel:
+def fit_rows(features: list[np.ndarray], y: np.ndarray, class_counts: tuple[int, int], seed: int = 5, epochs: int = 60, rate: float = 0.5, l2: float = 1e-5) -> ToxicityModel:
     """Maximum likelihood by adaptive-rate descent over mini-batches; ``class_counts`` sets the prior."""
     slots, ratio = choose_features(features, y)
     prior = (class_counts[1] + 1) / (sum(class_counts) + 2)
