@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oplake.llm import chat, html_extract, mixing, packing, quality, toxicity
+from oplake.llm import chat, fingerprint, html_extract, mixing, packing, quality, toxicity
 from oplake.llm.common import table
 
 
@@ -40,8 +40,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_nbsvm, op2_chat_format, op3_html_extract, op5_toxicity_ordinal, op7_source_mixing, op9_best_fit_packing]
+    found = [op1_quality_nbsvm, op2_chat_format, op3_html_extract, op5_toxicity_ordinal, op7_source_mixing, op9_best_fit_packing, op10_imatch_fingerprint]
     return {f.__name__: f for f in found}
 
 
