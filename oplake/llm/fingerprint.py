@@ -17,7 +17,7 @@ SUBSETS = 32
 #: A document is hashed at so many thinning levels from its own on, so that documents of other lengths compare.
 LEVELS = 3
 #: Terms that a document keeps at its own level, at most.
-KEEP = 48
+KEEP = 36
 #: The lexicon is a bit set of fixed size over term hashes.
 LEXICON_BITS = 1 << 20
 #: Share of documents that hold a lexicon term: the band of inverse document frequency.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oplake.llm import chat, fingerprint, html_extract, mixing, packing, quality, toxicity
+from oplake.llm import chat, fingerprint, html_extract, mixing, packing, quality, topk, toxicity
 from oplake.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -45,7 +49,7 @@ def op10_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_nbsvm, op2_chat_format, op3_html_extract, op5_toxicity_ordinal, op7_source_mixing, op9_best_fit_packing, op10_imatch_fingerprint]
+    found = [op1_quality_nbsvm, op2_chat_format, op3_html_extract, op4_pivot_topk, op5_toxicity_ordinal, op7_source_mixing, op9_best_fit_packing, op10_imatch_fingerprint]
     return {f.__name__: f for f in found}
 
 
@@ -71,5 +75,20 @@ FROM c
 """
 
 
+_OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2}
+    return {"op4_pivot_topk": _OP4, "op2_chat_format": _OP2}
