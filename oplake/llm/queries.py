@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oplake.llm import chat, fingerprint, html_extract, mixing, packing, quality, topk, toxicity
+from oplake.llm import chat, fingerprint, html_extract, jaccard, mixing, packing, quality, topk, toxicity
 from oplake.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_nbsvm, op2_chat_format, op3_html_extract, op4_pivot_topk, op5_toxicity_ordinal, op7_source_mixing, op9_best_fit_packing, op10_imatch_fingerprint]
+    found = [op1_quality_nbsvm, op2_chat_format, op3_html_extract, op4_pivot_topk, op5_toxicity_ordinal, op7_source_mixing, op8_ngram_jaccard, op9_best_fit_packing, op10_imatch_fingerprint]
     return {f.__name__: f for f in found}
 
 
@@ -90,5 +94,29 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+_OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), e AS (
+  SELECT doc_id, unnest(s) AS sh, len(s) AS n FROM s
+), c AS (
+  SELECT sh FROM e GROUP BY sh HAVING count(*) > 1
+), f AS (
+  SELECT e.* FROM e SEMI JOIN c USING (sh)
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM f a JOIN f b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM s
+  UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
+FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pivot_topk": _OP4, "op2_chat_format": _OP2}
+    return {"op8_ngram_jaccard": _OP8, "op4_pivot_topk": _OP4, "op2_chat_format": _OP2}
