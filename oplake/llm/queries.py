@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oplake.llm import chat, fingerprint, html_extract, jaccard, mixing, packing, quality, topk, toxicity
+from oplake.llm import chat, fingerprint, html_extract, jaccard, lm_score, mixing, packing, quality, topk, toxicity
 from oplake.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_nbsvm, op2_chat_format, op3_html_extract, op4_pivot_topk, op5_toxicity_ordinal, op7_source_mixing, op8_ngram_jaccard, op9_best_fit_packing, op10_imatch_fingerprint]
+    found = [op1_quality_nbsvm, op2_chat_format, op3_html_extract, op4_pivot_topk, op5_toxicity_ordinal, op6_context_mixing, op7_source_mixing, op8_ngram_jaccard, op9_best_fit_packing, op10_imatch_fingerprint]
     return {f.__name__: f for f in found}
 
 
