@@ -2,9 +2,11 @@
 
 A text is coded as binary decisions.  A frequent word is its path in a Huffman tree of words;
 any other is the escape leaf and its bytes in a Huffman tree of bytes.  For each decision
-several predictors answer: the tree itself, two tables of counts under hashed contexts, and a
-match with what followed the same two words earlier in the text.  Their logits are mixed by
-weights that a gate picks (tree, confidence of both tables, match), and the mix is refined by a
+several predictors answer: the tree itself, three tables of counts under hashed contexts (the
+word before, the two words before, the class of the text so far; for bytes the two and four
+bytes before, and the class with three), and a match with what followed the same two words
+earlier in the text.  Their logits are mixed by
+weights that a gate picks (tree, confidence of the tables, match), and the mix is refined by a
 scale and a bias that adapt along the text.  The total of the decisions is the text's score.
 """
 
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from oplake.llm.common import Words, crc_bucket, scratch, word_chunks
 
-#: Words with a path of their own; the rest is spelled.
-HEAD = 1 << 17
+#: Words with a path of their own, at most, each seen HEAD_COUNT times at least; the rest is spelled.
+HEAD, HEAD_COUNT = 1 << 17, 3
+#: Classes of text, told apart by so many of the most frequent words.  What a class is comes from
+#: about CLASS_SAMPLE texts; what is counted under it comes from all.
+CLASSES, CLASS_WORDS, CLASS_SAMPLE = 8, 2048, 3000
 #: Slots of each hashed-context table.
 TABLE_BITS = 20
-TABLES = 2
+TABLES = 3
 #: The mixing weights learn from one in so many training documents; counts are over all of them.
 MIX_ONE_IN = 8
 #: Tables are gathered by tasks of about so many characters each.
@@ -37,8 +42,8 @@ CHARS_PER_TASK = 24_000_000
 SEGMENT = 4096
 CHUNK = 1 << 18
 _BLOCK = 1 << 14
-_INPUTS = 5
-_GATES = 2 * 4 * 4 * 3
+_INPUTS = 6
+_GATES = 2 * 4**TABLES * 3
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 
@@ -62,6 +67,48 @@ class Codes:
         self.bits = np.array([x for _, bits in paths for x in bits], dtype=np.int8)
         self.logit = np.array(logits_w + logits_b, dtype=np.float32)
         self.word_nodes = shift
+        self.class_words = np.argsort(-self.count, kind="stable")[:CLASS_WORDS]
+        self.class_prior = np.zeros(1, dtype=np.float64)
+        self.class_logit = np.zeros((n, 1), dtype=np.float64)
+
+    def set_classes(self, texts: list[np.ndarray], rounds: int = 25, seed: int = 3) -> None:
+        """A mixture of unigrams over the most frequent words, fitted by expectation maximisation.
+        ``texts``: positions of such words (places in ``class_words``) in each sampled text."""
+        texts = [t for t in texts if len(t) >= 8]
+        if len(texts) < 4 * CLASSES:
+            return
+        x = np.stack([np.bincount(t, minlength=len(self.class_words)) for t in texts]).astype(np.float32)
+        rng = np.random.default_rng(seed)
+        best = None
+        for _ in range(3):
+            p = x[rng.choice(len(x), CLASSES, replace=False)] + 0.5 * (x.sum(axis=0) / x.sum())[None, :] * 50 + 0.01
+            prior = np.full(CLASSES, 1 / CLASSES)
+            for _ in range(rounds):
+                log_p = np.log(p / p.sum(axis=1, keepdims=True))
+                like = x @ log_p.T + np.log(prior)
+                top = like.max(axis=1, keepdims=True)
+                share = np.exp(like - top)
+                total = share.sum(axis=1, keepdims=True)
+                share /= total
+                p = share.T.astype(np.float32) @ x + 0.05
+                prior = (share.sum(axis=0) + 1) / (len(x) + CLASSES)
+            fit = float((np.log(total) + top).sum())
+            if best is None or fit > best[0]:
+                best = fit, np.log(p / p.sum(axis=1, keepdims=True)), np.log(prior)
+        self.class_prior = best[2].astype(np.float64)
+        self.class_logit = np.zeros((len(self.hash), CLASSES))
+        self.class_logit[self.class_words] = best[1].T - best[1].mean(axis=0)[:, None]
+
+    def classes(self, unit: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The likeliest class of each token's text by the tokens before it."""
+        if self.class_logit.shape[1] == 1 or not len(unit):
+            return np.zeros(len(unit), dtype=np.uint64)
+        rows = np.where(unit < len(self.hash), unit, -1)
+        each = np.where((rows >= 0)[:, None], self.class_logit[np.maximum(rows, 0)], 0.0)
+        total = np.cumsum(each, axis=0) - each
+        firsts = np.flatnonzero(start)
+        total -= np.repeat(total[firsts], np.diff(np.append(firsts, len(unit))), axis=0)
+        return np.argmax(total + self.class_prior, axis=1).astype(np.uint64)
 
     @staticmethod
     def _huffman(counts: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[float]]:
@@ -122,7 +169,9 @@ class Decisions:
         n_units = int((size + 1).sum())
         units = np.empty(n_units, dtype=np.int64)
         units[first_unit] = unit
-        c1, c2 = np.empty(n_units, dtype=_U), np.empty(n_units, dtype=_U)
+        c1, c2, c3 = (np.empty(n_units, dtype=_U) for _ in range(3))
+        kind = codes.classes(unit, start)
+        c3[first_unit] = (kind + _U(7)) * _K2
         c1[first_unit] = one * _K1
         c2[first_unit] = (one * _K2 + two) * _K3
         if len(tail):
@@ -139,6 +188,7 @@ class Decisions:
             low = past[0] * _U(512) + past[1]
             c1[where] = (low + _U(1 << 40)) * _K1
             c2[where] = ((past[2] * _U(512) + past[3]) * _U(1 << 18) + low + _U(1 << 50)) * _K3
+            c3[where] = ((past[2] * _U(1 << 18) + low) * _U(16) + kind[place[tail]][run] + _U(1 << 60)) * _K2
         length = codes.length[units]
         n = int(length.sum())
         dec_start = np.cumsum(length) - length
@@ -147,7 +197,8 @@ class Decisions:
         self.node, self.bit = codes.nodes[flat], codes.bits[flat]
         node = self.node.astype(_U) * _K2
         shift = _U(64 - TABLE_BITS)
-        self.slots = [(((c[which] + node) * _K1) >> shift).astype(np.int32) for c in (c1, c2)]
+        self.kind = kind
+        self.slots = [(((c[which] + node) * _K1) >> shift).astype(np.int32) for c in (c1, c2, c3)]
         tok_start = dec_start[first_unit] if total else np.zeros(0, np.int64)
         self.tok_start = np.append(tok_start, n)
         self.doc_start = self.tok_start[np.append(np.flatnonzero(start), total)] if total else np.zeros(1, np.int64)
@@ -207,7 +258,7 @@ class Mixer:
         own training count out of the tables, so that the weights learn from honest predictions."""
         x = np.empty((_INPUTS, len(d.node)), dtype=np.float32)
         np.take(self.codes.logit, d.node, out=x[0])
-        gate = (d.node >= self.codes.word_nodes).astype(np.int8)
+        gate = (d.node >= self.codes.word_nodes).astype(np.int16)
         if leave_out:
             for k, slot in enumerate(d.slots):
                 c = self.counts[k][slot].astype(np.float32)
@@ -220,13 +271,13 @@ class Mixer:
             for k, slot in enumerate(d.slots):
                 np.take(logit[k], slot, out=x[k + 1])
                 gate = gate * 4 + sure[k][slot]
-        x[3] = d.match
-        x[4] = 0.3
-        long = np.zeros(len(d.node), dtype=np.int8)
+        x[-2] = d.match
+        x[-1] = 0.3
+        long = np.zeros(len(d.node), dtype=np.int16)
         long[d.match != 0] = 1
         first = d.tok_start[:-1][d.tok_start[:-1] < len(long)]
         long[first] *= 2  # a match is less sure at a token's first decision
-        return x, gate * np.int8(3) + long
+        return x, gate * np.int16(3) + long
 
     def logits(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = np.zeros(x.shape[1], dtype=np.float32)
@@ -273,7 +324,7 @@ class Mixer:
 
 
 def _initial_weights() -> np.ndarray:
-    return np.tile(np.array([0.4, 0.35, 0.35, 1.0, 0.0]), (_GATES, 1))
+    return np.tile(np.array([0.3, 0.25, 0.25, 0.4, 1.0, 0.0]), (_GATES, 1))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -314,6 +365,25 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
+def class_sample(sample: DataFrame, codes: Codes) -> list[np.ndarray]:
+    """Places in ``codes.class_words`` of each sampled text's frequent words."""
+    order = codes.class_words[np.argsort(codes.hash[codes.class_words])]
+    place = np.argsort(codes.hash[codes.class_words]).astype(np.int32)
+    keys = codes.hash[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words in word_chunks(batch.column(0)):
+                at = np.minimum(np.searchsorted(keys, words.hash), len(keys) - 1)
+                ok = keys[at] == words.hash
+                out = [place[at[a:b][ok[a:b]]].astype("<i2").tobytes() for a, b in zip(words.first[:-1], words.first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
+
+    if not len(keys):
+        return []
+    return [np.frombuffer(w, dtype="<i2") for w in sorted(bytes(r.w) for r in sample.mapInArrow(run, "w binary").collect())]
+
+
 def gather_tables(train: DataFrame, codes: Codes, tasks: int) -> list[np.ndarray]:
     """The counts of both tables over all training texts, of fixed size.  Tasks send compressed
     blocks, which are added up 32 at a time, so no task or driver step holds more than that."""
@@ -397,9 +467,11 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     n_docs = totals[2].n if 2 in totals else 0
     n_words, v_words = (totals[0].n, totals[0].v) if 0 in totals else (0, 0)
     n_train, v_train = n_words + n_docs, v_words + (1 if n_docs else 0)
-    head = counts.where("kind = 0").orderBy(F.desc("c"), "h").limit(HEAD).select("h", "c").toPandas()
+    head = counts.where(f"kind = 0 and c >= {HEAD_COUNT}").orderBy(F.desc("c"), "h").limit(HEAD).select("h", "c").toPandas()
     head_hash, head_count = head["h"].to_numpy(dtype=np.int64).view(np.uint64), head["c"].to_numpy(dtype=np.int64)
     codes = Codes(head_hash, head_count, int(n_words - head_count.sum()), n_docs, octets)
+    some = min(1.0, CLASS_SAMPLE / max(1, n_docs))
+    codes.set_classes(class_sample(train.where(F.pmod(F.xxhash64("doc_id", F.lit("class")), F.lit(1 << 20)) < int(some * (1 << 20))).select("text"), codes))
     tasks = max(6, math.ceil(int(octets.sum()) / CHARS_PER_TASK))
     tables = gather_tables(train.select("text").coalesce(tasks), codes, tasks)
     sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(MIX_ONE_IN)) == 0).select("text").coalesce(tasks)
