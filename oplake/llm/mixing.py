@@ -81,7 +81,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int,
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_repeat: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken.
+    """One row per input row: doc_id, size, source_size, target, taken, copies (taken = copies * size).
 
     A document is taken ``k * size`` words for a whole k from 0 to ``max_repeat``.  Sources are
     ordered by code point with null last and weigh ``weights`` in turn.  Null text has size 0;
@@ -128,5 +128,21 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_repe
     return (
         sized.withColumn("rank", rank)
         .join(quota, ["skey", "size", "b"])
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + (F.col("rank") <= F.col("more")).cast("long"))).alias("taken"))
+        .withColumn("copies", F.col("whole") + (F.col("rank") <= F.col("more")).cast("long"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, each as often as the mix takes it.
+
+    Where ids repeat or are null, rows are first written with an id of their own.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    unsure = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).where("n > 1 or __id is null").limit(1).count()
+    if unsure:
+        rows = scratch(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    else:
+        rows = docs.withColumn("__row", F.col(id_col))
+    taken = mix_sources(rows, id_col="__row", **options).where("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies"))
+    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)

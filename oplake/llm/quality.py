@@ -219,3 +219,17 @@ def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3
     fields = [f"doc_id {source.schema['doc_id'].dataType.simpleString()}", "score double", *(f"__k{i} {source.schema[f'__k{i}'].dataType.simpleString()}" for i in range(len(kept)))]
     done = source.mapInArrow(run, ", ".join(fields))
     return done.select("doc_id", (crc_bucket(F.col("doc_id"), holdout[0]) == holdout[1]).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)])
+
+
+def keep_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, columns unchanged, whose score reaches ``threshold``; null text is scored as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shared.value.scores(words) for _, _, words in word_chunks(batch.column(at), lower=False)]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
