@@ -45,13 +45,25 @@ def get(history: DataFrame, key: bytes, sequence: int | None = None, order: KeyO
     return rows.orderBy(F.desc("sequence")).limit(1).where("kind = 1")
 
 
-def multi_get(history: DataFrame, keys: DataFrame, sequence: int | None = None) -> DataFrame:
+#: A list of keys up to this many bytes is broadcast; a longer one is joined by shuffle.
+BROADCAST_KEY_BYTES = 8 << 20
+
+
+def multi_get_list(history: DataFrame, keys: list[bytes], sequence: int | None = None, order: KeyOrder = BYTEWISE) -> DataFrame:
+    """``multi_get`` of a list on the driver, whose size decides how the log is cut to it."""
+    asked = history.sparkSession.createDataFrame([(i, bytearray(k)) for i, k in enumerate(keys)], "pos long, user_key binary")
+    return multi_get(history, keyed(asked, order), sequence, small=sum(map(len, keys)) <= BROADCAST_KEY_BYTES)
+
+
+def multi_get(history: DataFrame, keys: DataFrame, sequence: int | None = None, small: bool = False) -> DataFrame:
     """(pos, user_key, found, value) of each row of ``keys`` (pos, user_key), repeats kept.
 
-    The log is first cut to the asked keys, by a semi join that Spark broadcasts where the list is small.
+    The log is first cut to the asked keys by a semi join; ``small`` says that the key list has a
+    checked size, so that the cut happens in the scan and only rows of asked keys are shuffled.
     """
     name = _sort(history)
     asked = keys.select(F.col(name)).distinct()
+    asked = F.broadcast(asked) if small else asked
     state = visible(history.join(asked, name, "left_semi"), sequence).select(name, "value", F.lit(True).alias("hit"))
     return keys.join(state, name, "left").select("pos", "user_key", F.coalesce("hit", F.lit(False)).alias("found"), "value")
 

@@ -74,8 +74,7 @@ def snapshot_diff(spark, d):
 SELECT CAST(pos AS BIGINT) AS pos, asked.user_key, v.user_key IS NOT NULL AS found, v.value FROM asked LEFT JOIN {_visible('events_ops', SNAPSHOT)} v ON asked.user_key = v.user_key""",
 )
 def multi_get_ordered(spark, d):
-    keys = spark.createDataFrame([(i, k.encode()) for i, k in enumerate(ASKED)], "pos long, user_key binary")
-    return vis.multi_get(rel.events_ops(spark, d), keys, SNAPSHOT).select("pos", text("user_key"), "found", "value")
+    return vis.multi_get_list(rel.events_ops(spark, d), [k.encode() for k in ASKED], SNAPSHOT).select("pos", text("user_key"), "found", "value")
 
 
 @query("range_scan", f"{sql_with('events_ops')} SELECT user_key, sequence, value FROM {_visible('events_ops')} WHERE user_key >= 'u00000010' AND user_key < 'u00000050'")
