@@ -1,0 +1,158 @@
+"""Exact top-k search and the n-gram Jaccard join."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from oplake.llm import jaccard, topk
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_top(rows, k=5):
+    good = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            n = [int(np.floor(256 * float(x))) for x in v]
+            good[i] = max(good.get(i, n), n)
+    out = []
+    for q in good:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_top_k(spark, block):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(420)]
+    rows += [(500 + i, [0.25] * 8) for i in range(30)] + [(600, [0.0] * 8), (650, [1e3] * 8), (700, []), (750, [1.0] * 3)]
+    rows += [(800, None), (850, [1.0, None]), (900, [float("nan")] * 8), (950, [float("inf")] * 8), (None, [1.0] * 8), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=block).collect())
+    assert got == brute_top(rows)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(df.where("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(df.where("vec_id in (50, 51)"), F.col("vec_id") % 50 == 0).count() == 1
+
+
+def test_pivots_spare_work():
+    """Clustered vectors: most candidates fall to their bound."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16)) * 900
+    x = (centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 16)) * 20).astype(np.int64)
+    ids = np.arange(4000)
+    table = topk.PivotTable(ids[:20], x[:20], ids[100:132], x[100:132], 5)
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(20)]
+    done = table.search(ids, x, best)
+    assert done < 0.3 * 20 * 4000
+    for i in range(20):
+        s = x @ x[i]
+        want = sorted((-int(s[j]), j) for j in range(4000) if j != i)[:5]
+        assert [(-int(a), int(b)) for a, b in zip(*best[i])] == want
+
+
+# ----------------------------------------------------------------------------- near copies
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    up = {i: i for i, _ in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[:a]:
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets}
+
+
+def test_components(spark, documents, corpus):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(documents).collect()}
+    assert got == brute_components([(d[0], d[1]) for d in corpus[0]])
+
+
+def test_components_at_the_threshold(spark, monkeypatch):
+    """Chains of sets around the threshold, with every bound of the search made small."""
+    for name, value in (("PART", 6), ("BUCKET", 3), ("HOT_SAMPLE", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(9)
+    rows = []
+    for f in range(6):
+        words = [f"f{f}w{i}" for i in range(60)]
+        for _ in range(14):
+            at = rng.randrange(len(words))
+            words = words[:at] + [f"x{rng.randrange(9999)}"] * rng.randrange(2) + words[at + rng.randrange(3) :]
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(df).collect()}
+    assert got == brute_components(rows)
+
+
+def test_signature_tree_loses_nothing():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 1 << 63, rng.integers(5, 200)).astype(np.uint64)
+        for _ in range(rng.integers(1, 9)):
+            sets.append(np.unique(np.where(rng.random(len(base)) < 0.08, rng.integers(0, 1 << 63, len(base)).astype(np.uint64), base)))
+    got = jaccard.similar_groups(sets)
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    near = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                near.add((j, i))
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+                assert jaccard.may_be_similar(jaccard.set_bitmap(sets[i]), len(sets[i]), jaccard.set_bitmap(sets[j]), len(sets[j]), 80, 100)
+    assert got == [find(i) for i in range(len(sets))] and near
+    tree = jaccard.SignatureTree(sets)
+    leaf = {int(d): n // jaccard.LEAF for n, d in enumerate(tree.order)}
+    pairs = {tuple(p) for p in tree.leaf_pairs(80, 100).tolist()}
+    assert all(tuple(sorted((leaf[i], leaf[j]))) in pairs for i, j in near)
+    leaves = len(tree.levels[0][0])
+    assert len(pairs) < leaves * (leaves + 1) / 2
+
+
+def test_connected_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7), (200, 201)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in jaccard.connected_components(df, "t").collect()}
+    want = {i: 0 for i in range(1, 41)} | {105: 100, 103: 100, 201: 200}
+    assert {k: v for k, v in got.items() if k != v} == want
+    assert jaccard.connected_components(df.limit(0), "t").count() == 0
+
+
+def test_component_edges(spark):
+    schema = "doc_id long, text string, component_id string"
+    df = spark.createDataFrame([(5, "a b c d e f", "x"), (5, "a b c d e f", "x"), (3, "A B c d e F", "x"), (None, "a b c d e f", "x"), (8, None, "x"), (9, "", "x"), (10, "q", "x"), (11, "q", "x")], schema)
+    rows = sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.similarity_components(df).collect()))
+    assert rows == [(-1, 2, 3), (3, 2, 3), (5, 2, 3), (5, 2, 3), (8, 0, 8), (9, 0, 9), (10, 1, 10), (11, 1, 10)]
+    assert jaccard.similarity_components(df.limit(0)).count() == 0
+    kept = sorted((r.doc_id or -1) for r in jaccard.one_of_each_group(df).collect())
+    assert kept == [-1, 3, 8, 9, 10]
+    twice = spark.createDataFrame([(1, "only this", "x"), (1, "only this", "x")], schema)
+    assert jaccard.one_of_each_group(twice).count() == 1
