@@ -77,6 +77,18 @@ def multi_get_ordered(spark, d):
     return vis.multi_get_list(rel.events_ops(spark, d), [k.encode() for k in ASKED], SNAPSHOT).select("pos", text("user_key"), "found", "value")
 
 
+@query(
+    "bulk_multi_get",
+    f"""{sql_with('lineitem_ops')}, asked AS (SELECT range AS pos, 'p' || lpad(CAST(range * 7 % 25000 AS VARCHAR), 8, '0') AS user_key FROM range(10000))
+SELECT pos, asked.user_key, v.user_key IS NOT NULL AS found, v.value FROM asked LEFT JOIN {_visible('lineitem_ops')} v ON asked.user_key = v.user_key""",
+)
+def bulk_multi_get(spark, d):
+    """Ten thousand keys, repeats and missing ones among them, in one lookup."""
+    key = F.concat(F.lit("p"), F.lpad((F.col("id") * 7 % 25000).cast("string"), 8, "0"))
+    keys = spark.range(10_000).select(F.col("id").alias("pos"), F.encode(key, "UTF-8").alias("user_key"))
+    return vis.multi_get(rel.lineitem_ops(spark, d), keys, small=True).select("pos", text("user_key"), "found", "value")
+
+
 @query("range_scan", f"{sql_with('events_ops')} SELECT user_key, sequence, value FROM {_visible('events_ops')} WHERE user_key >= 'u00000010' AND user_key < 'u00000050'")
 def range_scan(spark, d):
     return rows(vis.range_scan(rel.events_ops(spark, d), b"u00000010", b"u00000050"))
