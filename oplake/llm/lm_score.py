@@ -29,6 +29,8 @@ from oplake.llm.common import Words, crc_bucket, scratch, word_chunks
 
 #: Words with a path of their own, at most, each seen HEAD_COUNT times at least; the rest is spelled.
 HEAD, HEAD_COUNT = 1 << 17, 3
+#: Counts of so many words are broadcast for the base score; those of rarer words are joined.
+KNOWN = 1 << 19
 #: Classes of text, told apart by so many of the most frequent words.  What a class is comes from
 #: about CLASS_SAMPLE texts; what is counted under it comes from all.
 CLASSES, CLASS_WORDS, CLASS_SAMPLE = 8, 2048, 3000
@@ -40,14 +42,52 @@ MIX_ONE_IN = 8
 #: Tables are gathered by tasks of about so many characters each.
 CHARS_PER_TASK = 24_000_000
 SEGMENT = 4096
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 _BLOCK = 1 << 14
 _INPUTS = 6
+_BIAS = 0.3
 _GATES = 2 * 4**TABLES * 3
 _U = np.uint64
+#: Costs of a decision in nats by its logit, in steps of 1/128 between -16 and 16.
+_STEP, _LIMIT = 128.0, 16.0
+_COST = np.logaddexp(0.0, -np.arange(-_LIMIT, _LIMIT + 1 / _STEP, 1 / _STEP)).astype(np.float32)
+_M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 
 
+class HashIndex:
+    """Places of hashes in a sorted array: a direct index over their leading bits replaces a binary search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.lead = _U(64 - max(1, min(20, len(keys).bit_length())))
+        edges = np.arange((1 << (64 - int(self.lead))) + 1, dtype=np.int64)
+        self.begin = np.searchsorted((keys >> self.lead).astype(np.int64), edges).astype(np.int32)
+        self.most = int(np.diff(self.begin).max(initial=0))
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and whether the hashes are there."""
+        at, known = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
+        if not len(self.keys):
+            return at, known
+        place, left = np.take(self.begin, (h >> self.lead).view(np.int64)), None
+        for _ in range(self.most):
+            p = place if left is None else place[left]
+            p = np.minimum(p, len(self.keys) - 1)
+            v = np.take(self.keys, p)
+            q = h if left is None else h[left]
+            hit, low = v == q, v < q
+            if left is None:
+                at, known, left = p.astype(np.int64), hit, np.flatnonzero(low)
+            else:
+                at[left[hit]], known[left[hit]] = p[hit], True
+                left = left[low]
+            if not len(left):
+                break
+            place[left] += 1
+        return at, known
+
+
 class Codes:
     """Paths of the units in the two trees: words, then escape and end; then bytes and word end."""
 
@@ -63,13 +103,13 @@ class Codes:
         paths = paths_w + [([x + shift for x in nodes], bits) for nodes, bits in paths_b]
         self.length = np.array([len(b) for _, b in paths], dtype=np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64)
-        self.nodes = np.array([x for nodes, _ in paths for x in nodes], dtype=np.int32)
-        self.bits = np.array([x for _, bits in paths for x in bits], dtype=np.int8)
+        self.steps = np.array([2 * x + b for nodes, bits in paths for x, b in zip(nodes, bits)], dtype=np.int32)
         self.logit = np.array(logits_w + logits_b, dtype=np.float32)
         self.word_nodes = shift
+        self.find = HashIndex(self.hash)
         self.class_words = np.argsort(-self.count, kind="stable")[:CLASS_WORDS]
         self.class_prior = np.zeros(1, dtype=np.float64)
-        self.class_logit = np.zeros((n, 1), dtype=np.float64)
+        self.class_logit = np.zeros((n + 1, 1), dtype=np.float32)
 
     def set_classes(self, texts: list[np.ndarray], rounds: int = 25, seed: int = 3) -> None:
         """A mixture of unigrams over the most frequent words, fitted by expectation maximisation.
@@ -96,19 +136,22 @@ class Codes:
             if best is None or fit > best[0]:
                 best = fit, np.log(p / p.sum(axis=1, keepdims=True)), np.log(prior)
         self.class_prior = best[2].astype(np.float64)
-        self.class_logit = np.zeros((len(self.hash), CLASSES))
+        self.class_logit = np.zeros((len(self.hash) + 1, CLASSES), dtype=np.float32)
         self.class_logit[self.class_words] = best[1].T - best[1].mean(axis=0)[:, None]
 
     def classes(self, unit: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The likeliest class of each token's text by the tokens before it."""
         if self.class_logit.shape[1] == 1 or not len(unit):
             return np.zeros(len(unit), dtype=np.uint64)
-        rows = np.where(unit < len(self.hash), unit, -1)
-        each = np.where((rows >= 0)[:, None], self.class_logit[np.maximum(rows, 0)], 0.0)
-        total = np.cumsum(each, axis=0) - each
+        each = np.take(self.class_logit, np.minimum(unit, len(self.hash)), axis=0)  # the last row is zero
         firsts = np.flatnonzero(start)
-        total -= np.repeat(total[firsts], np.diff(np.append(firsts, len(unit))), axis=0)
-        return np.argmax(total + self.class_prior, axis=1).astype(np.uint64)
+        before = each.copy()
+        before[1:] = each[:-1]
+        before[firsts] = self.class_prior
+        # one running sum; what the texts before left is taken off at each start
+        total = np.cumsum(before, axis=0, dtype=np.float64)
+        total -= np.repeat(total[firsts] - self.class_prior, np.diff(np.append(firsts, len(unit))), axis=0)
+        return np.argmax(total, axis=1).astype(np.uint64)
 
     @staticmethod
     def _huffman(counts: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[float]]:
@@ -147,13 +190,9 @@ class Decisions:
         token[place] = words.hash
         doc = np.repeat(np.arange(docs), n_words + 1)
         unit = np.full(total, codes.end, dtype=np.int64)
-        if len(codes.hash):
-            at = np.minimum(np.searchsorted(codes.hash, words.hash), len(codes.hash) - 1)
-            known = codes.hash[at] == words.hash
-        else:
-            at, known = np.zeros(len(words.hash), np.int64), np.zeros(len(words.hash), bool)
+        at, known = codes.find(words.hash)
         unit[place] = np.where(known, at, codes.escape)
-        self.known_at, self.known, self.doc_of_word = at, known, doc_of_word
+        self.doc_of_word = doc_of_word
 
         start = np.concatenate([[True], doc[1:] != doc[:-1]]) if total else np.zeros(0, bool)
         one = np.concatenate([[_U(0)], token[:-1]]) if total else token
@@ -192,13 +231,21 @@ class Decisions:
         length = codes.length[units]
         n = int(length.sum())
         dec_start = np.cumsum(length) - length
-        which = np.repeat(np.arange(n_units), length)
-        flat = np.arange(n) + np.repeat(codes.offset[units] - dec_start, length)
-        self.node, self.bit = codes.nodes[flat], codes.bits[flat]
-        node = self.node.astype(_U) * _K2
-        shift = _U(64 - TABLE_BITS)
-        self.kind = kind
-        self.slots = [(((c[which] + node) * _K1) >> shift).astype(np.int32) for c in (c1, c2, c3)]
+        flat = np.repeat(codes.offset[units] - dec_start, length)
+        flat += np.arange(n)
+        step = np.take(codes.steps, flat, mode="clip")
+        self.bit = (step & 1).astype(np.int8)
+        step >>= 1
+        self.node = step
+        node = step.astype(np.uint32)
+        node *= _M1
+        self.slots = []
+        for c in (c1, c2, c3):
+            h = np.repeat((c >> _U(32)).astype(np.uint32), length)
+            h += node
+            h *= _M2
+            h >>= np.uint32(32 - TABLE_BITS)
+            self.slots.append(h.astype(np.int64))
         tok_start = dec_start[first_unit] if total else np.zeros(0, np.int64)
         self.tok_start = np.append(tok_start, n)
         self.doc_start = self.tok_start[np.append(np.flatnonzero(start), total)] if total else np.zeros(1, np.int64)
@@ -224,7 +271,7 @@ class Decisions:
         step = np.arange(int(size.sum())) - np.repeat(base, size)
         here, there = np.repeat(s, size) + step, np.repeat(ps, size) + step
         differs = self.bit[here] != self.bit[there]
-        wrong = np.cumsum(differs) - differs  # mismatches before this decision
+        wrong = np.cumsum(differs, dtype=np.int32) - differs  # mismatches before this decision
         wrong = wrong - np.repeat(wrong[base], size)
         ok = wrong == 0
         out[here[ok]] = 2 * self.bit[there[ok]] - 1
@@ -232,7 +279,7 @@ class Decisions:
 
 
 def confidence(n: np.ndarray) -> np.ndarray:
-    return (n > 0).astype(np.int8) + (n > 2) + (n > 15)
+    return (n > 0).astype(np.int16) + (n > 2) + (n > 15)
 
 
 @dataclass
@@ -247,77 +294,96 @@ class Mixer:
     def __getstate__(self):
         return {"codes": self.codes, "counts": self.counts, "weights": self.weights, "_ready": None}
 
-    def ready(self):
+    def ready(self) -> list[np.ndarray]:
+        """Each table's logits in steps of 1/256 with the confidence in the two low bits."""
         if self._ready is None:
-            logit = [np.log((c[:, 1] + 0.4) / (c[:, 0] + 0.4)).astype(np.float32) for c in self.counts]
-            self._ready = logit, [confidence(c.sum(axis=1, dtype=np.int64)) for c in self.counts]
+            self._ready = []
+            for c in self.counts:
+                logit = np.rint(256 * np.log((c[:, 1] + 0.4) / (c[:, 0] + 0.4))).astype(np.int16)
+                self._ready.append((logit << 2) | confidence(c.sum(axis=1, dtype=np.int64)))
         return self._ready
 
-    def inputs(self, d: Decisions, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        """[input, decision] logits and the gate of each decision.  ``leave_out`` takes the decision's
-        own training count out of the tables, so that the weights learn from honest predictions."""
-        x = np.empty((_INPUTS, len(d.node)), dtype=np.float32)
-        np.take(self.codes.logit, d.node, out=x[0])
+    def inputs(self, d: Decisions, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        """Logits of each input (the last, a constant, is not listed) and the gate of each decision.
+        ``leave_out`` takes the decision's own training count out of the tables, so that the
+        weights learn from honest predictions."""
+        x = [np.take(self.codes.logit, d.node, mode="clip")]
         gate = (d.node >= self.codes.word_nodes).astype(np.int16)
-        if leave_out:
-            for k, slot in enumerate(d.slots):
-                c = self.counts[k][slot].astype(np.float32)
-                at = np.arange(len(slot))
-                c[at, d.bit] = np.maximum(c[at, d.bit] - 1, 0)
-                x[k + 1] = np.log((c[:, 1] + 0.4) / (c[:, 0] + 0.4))
-                gate = gate * 4 + confidence(c.sum(axis=1))
-        else:
-            logit, sure = self.ready()
-            for k, slot in enumerate(d.slots):
-                np.take(logit[k], slot, out=x[k + 1])
-                gate = gate * 4 + sure[k][slot]
-        x[-2] = d.match
-        x[-1] = 0.3
-        long = np.zeros(len(d.node), dtype=np.int16)
-        long[d.match != 0] = 1
+        for k, slot in enumerate(d.slots):
+            gate <<= 2
+            if leave_out:
+                c = np.take(self.counts[k].view(np.uint32)[:, 0], slot, mode="clip")
+                one, none = (c >> np.uint32(16)).astype(np.float32), (c & np.uint32(0xFFFF)).astype(np.float32)
+                one -= d.bit
+                none -= 1 - d.bit
+                np.maximum(one, 0, out=one)
+                np.maximum(none, 0, out=none)
+                gate += confidence(one + none)
+                x.append(np.log((one + np.float32(0.4)) / (none + np.float32(0.4))))
+            else:
+                v = np.take(self.ready()[k], slot, mode="clip")
+                gate += v & 3
+                v >>= 2
+                x.append(np.multiply(v, np.float32(1 / 256), dtype=np.float32))
+        x.append(d.match.astype(np.float32))
+        long = (d.match != 0).astype(np.int16)
         first = d.tok_start[:-1][d.tok_start[:-1] < len(long)]
         long[first] *= 2  # a match is less sure at a token's first decision
-        return x, gate * np.int16(3) + long
+        gate *= 3
+        gate += long
+        return x, gate.astype(np.intp)
 
-    def logits(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = np.zeros(x.shape[1], dtype=np.float32)
-        for k in range(_INPUTS):
-            z += self.weights[:, k].astype(np.float32)[gate] * x[k]
-        return np.clip(z, -16, 16)
+    @staticmethod
+    def logits(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        w = np.ascontiguousarray(weights.T, dtype=np.float32)
+        z = np.take(w[-1] * np.float32(_BIAS), gate, mode="clip")
+        for k, v in enumerate(x):
+            t = np.take(w[k], gate, mode="clip")
+            t *= v
+            z += t
+        return np.clip(z, -_LIMIT, _LIMIT, out=z)
 
     def learn(self, words: Words) -> int:
-        """One pass of online steps over the decisions of a run of training documents."""
+        """Online steps over the decisions of a run of training documents."""
         d = Decisions(words, self.codes, True)
         x, gate = self.inputs(d, True)
         for a in range(0, len(gate), 1 << 15):
-            xs, g = x[:, a : a + (1 << 15)], gate[a : a + (1 << 15)]
-            p = 1 / (1 + np.exp(-self.logits(xs, g)))
+            xs, g = [v[a : a + (1 << 15)] for v in x], gate[a : a + (1 << 15)]
+            p = 1 / (1 + np.exp(-self.logits(xs, g, self.weights)))
             err, h = d.bit[a : a + (1 << 15)] - p, p * (1 - p)
             for k in range(_INPUTS):
-                up = np.bincount(g, weights=err * xs[k], minlength=_GATES)
-                down = np.bincount(g, weights=h * xs[k] * xs[k], minlength=_GATES)
+                v = xs[k] if k < len(xs) else np.float32(_BIAS)
+                up = np.bincount(g, weights=err * v, minlength=_GATES)
+                down = np.bincount(g, weights=h * (v * v), minlength=_GATES)
                 self.weights[:, k] += 0.3 * up / (_INPUTS * 0.5 * down + 20.0)
         return len(gate)
 
+    @staticmethod
+    def costs(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Nats of each decision; the two answers of a decision have probabilities that add up to 1."""
+        at = np.rint(z * np.float32(_STEP)).astype(np.int32)
+        at *= 2 * bit - 1
+        at += int(_LIMIT * _STEP)
+        return np.take(_COST, at, mode="clip")
+
     def score(self, words: Words) -> tuple[np.ndarray, Decisions]:
         """log10 of each document's probability."""
         d = Decisions(words, self.codes, True)
-        z = self.logits(*self.inputs(d, False))
-        sign = (2 * d.bit - 1).astype(np.float32)
-        cost = np.logaddexp(0, -sign * z)
-        out = np.zeros(len(words.first) - 1)
-        for i, (a, b) in enumerate(zip(d.doc_start[:-1], d.doc_start[1:])):
-            out[i] = cost[a : min(b, a + SEGMENT)].sum(dtype=np.float64)
+        z = self.logits(*self.inputs(d, False), self.weights)
+        cost = self.costs(z, d.bit)
+        out = np.add.reduceat(cost, d.doc_start[:-1], dtype=np.float64)  # each document has a decision at least
+        for i, (a, b) in enumerate(zip(d.doc_start[:-1].tolist(), d.doc_start[1:].tolist())):
             if b - a > SEGMENT:
+                out[i] = cost[a : a + SEGMENT].sum(dtype=np.float64)
                 scale, bias = 1.0, 0.0
                 for s in range(a, b, SEGMENT):
                     zs, bits = z[s : min(b, s + SEGMENT)], d.bit[s : min(b, s + SEGMENT)]
-                    r = scale * zs + bias
+                    r = np.clip(np.float32(scale) * zs + np.float32(bias), -_LIMIT, _LIMIT)
                     if s > a:
-                        out[i] += np.logaddexp(0, -sign[s : s + len(zs)] * r).sum(dtype=np.float64)
+                        out[i] += self.costs(r, bits).sum(dtype=np.float64)
                     p = 1 / (1 + np.exp(-r))
                     err, h = bits - p, p * (1 - p)
-                    scale += 0.5 * float((err * zs).sum()) / (float((h * zs * zs).sum()) + SEGMENT / 4)
+                    scale += 0.5 * float(err @ zs) / (float(h @ (zs * zs)) + SEGMENT / 4)
                     bias += 0.5 * float(err.sum()) / (float(h.sum()) + SEGMENT / 4)
                     scale, bias = min(max(scale, 0.5), 2.0), min(max(bias, -1.0), 1.0)
         return -out / math.log(10), d
@@ -365,6 +431,28 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words: all of the counts for which no more than
+    ``most`` words come out.  They come to the driver as packed bytes."""
+    least, kept = None, 0
+    for r in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        if kept + r.n > most:
+            break
+        least, kept = r.c, kept + r.n
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(i)).astype("<i8").tobytes()], pa.binary()) for i in range(2)], names=["h", "c"])
+
+    rows = counts.where(F.col("c") >= least).mapInArrow(pack, "h binary, c binary").collect()
+    h, c = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), dtype="<i8") for i in range(2))
+    order = np.argsort(h)
+    return h[order].view(np.uint64), c[order]
+
+
 def class_sample(sample: DataFrame, codes: Codes) -> list[np.ndarray]:
     """Places in ``codes.class_words`` of each sampled text's frequent words."""
     order = codes.class_words[np.argsort(codes.hash[codes.class_words])]
@@ -391,19 +479,22 @@ def gather_tables(train: DataFrame, codes: Codes, tasks: int) -> list[np.ndarray
     size = 1 << TABLE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(2 * size, dtype=np.int64) for _ in range(TABLES)]
-        any_ = False
+        total = [np.zeros(2 * size, dtype=np.uint32) for _ in range(TABLES)]
+        any_, one = False, np.uint32(1)
         for batch in batches:
-            for _, _, words in word_chunks(batch.column(0), limit=CHUNK * 4):
+            for _, _, words in word_chunks(batch.column(0), limit=CHUNK):
                 any_ = True
                 d = Decisions(words, shared.value, False)
+                bit = d.bit.astype(np.int64)
                 for k, slot in enumerate(d.slots):
-                    total[k] += np.bincount(slot * 2 + d.bit, minlength=2 * size)
+                    slot <<= 1
+                    slot += bit
+                    np.add.at(total[k], slot, one)
         if any_:
             task = int.from_bytes(os.urandom(4), "little")
             for k in range(TABLES):
                 blocks = total[k].reshape(-1, 2 * _BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([k * len(blocks) + i for i in range(len(blocks))], pa.int32()), pa.array([task] * len(blocks), pa.int64()), pa.array([zlib.compress(b.astype(np.uint32).tobytes(), 1) for b in blocks], pa.binary())], names=["b", "task", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([k * len(blocks) + i for i in range(len(blocks))], pa.int32()), pa.array([task] * len(blocks), pa.int64()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], names=["b", "task", "v"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(2 * _BLOCK, dtype=np.int64)
@@ -452,7 +543,7 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     Learns from rows whose crc32(id) mod ``holdout[0]`` is not ``holdout[1]``; A-Z are lower-cased;
     a text's tokens are its words and one end.  Null and empty texts are the end alone.  Without
     training rows every decision is even.  Repeated rows repeat; an empty table gives no rows;
-    other columns are ignored.  What is broadcast has a fixed size: HEAD words and the tables.
+    other columns are ignored.  What is broadcast has a fixed size: KNOWN words and the tables.
     Counts of rarer words are joined, not broadcast.
     """
     spark = docs.sparkSession
@@ -467,8 +558,12 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     n_docs = totals[2].n if 2 in totals else 0
     n_words, v_words = (totals[0].n, totals[0].v) if 0 in totals else (0, 0)
     n_train, v_train = n_words + n_docs, v_words + (1 if n_docs else 0)
-    head = counts.where(f"kind = 0 and c >= {HEAD_COUNT}").orderBy(F.desc("c"), "h").limit(HEAD).select("h", "c").toPandas()
-    head_hash, head_count = head["h"].to_numpy(dtype=np.int64).view(np.uint64), head["c"].to_numpy(dtype=np.int64)
+    known_hash, known_count = most_frequent(counts.where("kind = 0").select("h", "c"), KNOWN)
+    order = np.argsort(-known_count, kind="stable")
+    order = order[known_count[order] >= HEAD_COUNT][:HEAD]
+    head_hash, head_count = known_hash[order], known_count[order]
+    order = np.argsort(known_hash)
+    known = spark.sparkContext.broadcast((HashIndex(known_hash[order]), np.log10(known_count[order] + 1.0)))
     codes = Codes(head_hash, head_count, int(n_words - head_count.sum()), n_docs, octets)
     some = min(1.0, CLASS_SAMPLE / max(1, n_docs))
     codes.set_classes(class_sample(train.where(F.pmod(F.xxhash64("doc_id", F.lit("class")), F.lit(1 << 20)) < int(some * (1 << 20))).select("text"), codes))
@@ -482,8 +577,7 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of each document (h null), then rows of its words outside the head, under one uid."""
-        mix = shared.value
-        log_count = np.log10(mix.codes.count + 1.0)
+        mix, (index, log_count) = shared.value, known.value
         uid = int.from_bytes(os.urandom(8), "little") & 0x3FFFFFFFFFFFFFFF
         for batch in batches:
             for at, to, words in word_chunks(batch.column(1), limit=CHUNK):
@@ -491,14 +585,15 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
                 rows = to - at
                 ids = uid + np.arange(rows, dtype=np.int64)
                 uid += rows
-                part = np.bincount(d.doc_of_word, weights=np.where(d.known, log_count[d.known_at] if len(log_count) else 0.0, 0.0), minlength=rows) + end_part
-                known = np.bincount(d.doc_of_word, weights=d.known, minlength=rows).astype(np.int64)
+                place, there = index(words.hash)
+                part = np.bincount(d.doc_of_word, weights=np.where(there, log_count[place], 0.0) if len(log_count) else None, minlength=rows) * bool(len(log_count)) + end_part
+                n_known = np.bincount(d.doc_of_word, weights=there, minlength=rows).astype(np.int64)
                 n_tokens = np.diff(words.first) + 1
                 octet = np.diff(words.doc_bytes)
                 none = pa.nulls(rows, pa.int64())
                 names = ["uid", "h", "doc_id", "n_tokens", "n_known", "part", "score", "octets"]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), none, batch.column(0).slice(at, rows), pa.array(n_tokens.astype(np.int64)), pa.array(known), pa.array(part), pa.array(score), pa.array(octet.astype(np.int64))], names=names)
-                rare = np.flatnonzero(~d.known)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), none, batch.column(0).slice(at, rows), pa.array(n_tokens.astype(np.int64)), pa.array(n_known), pa.array(part), pa.array(score), pa.array(octet.astype(np.int64))], names=names)
+                rare = np.flatnonzero(~there)
                 if len(rare):
                     empty = [pa.nulls(len(rare), t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[d.doc_of_word[rare]]), pa.array(words.hash[rare].view(np.int64)), *empty], names=names)
