@@ -92,3 +92,17 @@ _NAMED = {0x27: "\\'", 0x5C: "\\\\", 0x0A: "\\n", 0x0D: "\\r", 0x09: "\\t"}
 def escape_bytes(data: bytes) -> str:
     """Printable ASCII as it is, the rest escaped, for quoted diagnostic text."""
     return "".join(_NAMED.get(b) or (chr(b) if 32 <= b < 127 else f"\\x{b:02x}") for b in data)
+
+
+def escaped(c):
+    """``escape_bytes`` as a Column over BINARY, with built-in functions."""
+    from pyspark.sql import functions as F
+
+    def one(pair):
+        n = F.conv(pair, 16, 10).cast("int")
+        out = F.when((n >= 32) & (n < 127), F.char(n)).otherwise(F.concat(F.lit("\\x"), F.lower(pair)))
+        for byte, text in _NAMED.items():
+            out = F.when(n == byte, F.lit(text)).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(c), F.lit(".."), F.lit(0)), one), "")

@@ -160,6 +160,16 @@ def flush_level(files: Files, low: bytes, high: bytes, target_size: int) -> int:
     return level
 
 
+def flush_levels(ranges: DataFrame, files: DataFrame, target_size: int) -> DataFrame:
+    """``flush_level`` of each row (low, high) over a file list that is a DataFrame."""
+    limit = GRANDPARENT_FACTOR * target_size
+    met = ranges.join(files, (F.col("largest_key") >= F.col("low")) & (F.col("smallest_key") <= F.col("high")), "left")
+    there = lambda lv: F.coalesce(F.max(F.col("level") == lv), F.lit(False))
+    held = lambda lv: F.coalesce(F.sum(F.when(F.col("level") == lv, F.col("file_size"))), F.lit(0))
+    level = F.when(there(0) | there(1) | (held(2) > limit), 0).when(there(2) | (held(3) > limit), 1).otherwise(MAX_FLUSH_LEVEL)
+    return met.groupBy("low", "high").agg(level.alias("flush_level"))
+
+
 def room_for_write(l0_files: int, buffered: int, limit: int, has_immutable: bool, delayed: bool) -> str:
     """``delay`` once under slowdown, ``ok`` with room, ``stall`` where maintenance must end first, else ``rotate``."""
     if not delayed and l0_files >= L0_SLOWDOWN:

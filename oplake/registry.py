@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oplake.functions.coding import escaped
 from oplake.operators import batch, compaction
 from oplake.operators import visibility as vis
 from oplake.plans import relations as rel
 from oplake.plans.relations import sql_with
+from oplake.sources import export
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,6 +224,49 @@ def obsolete_files(spark, d):
     return edits.where("action = 'add' and version <= 15").select("level", "number").join(live, ["level", "number"], "left_anti")
 
 
+FLUSHES = [("u00000000", "u00000001"), ("a", "b"), ("u00000120", "u00000130"), ("v", "w"), ("u0000014", "u0000015")]
+_MET = "f.level = {0} AND f.largest_key >= r.low AND f.smallest_key <= r.high"
+_FLUSH = f"""{sql_with('files_rel')}, r AS (SELECT * FROM (VALUES {', '.join(map(str, FLUSHES))}) t(low, high))
+SELECT low, high, CASE WHEN EXISTS (SELECT 1 FROM files_rel f WHERE {_MET.format(0)}) OR EXISTS (SELECT 1 FROM files_rel f WHERE {_MET.format(1)})
+  OR (SELECT coalesce(sum(file_size), 0) FROM files_rel f WHERE {_MET.format(2)}) > 20000 THEN 0
+  WHEN EXISTS (SELECT 1 FROM files_rel f WHERE {_MET.format(2)}) OR (SELECT coalesce(sum(file_size), 0) FROM files_rel f WHERE {_MET.format(3)}) > 20000 THEN 1 ELSE 2 END AS flush_level FROM r"""
+
+
+@query("flush_level", _FLUSH)
+def flush_level(spark, d):
+    ranges = spark.createDataFrame([(a.encode(), b.encode()) for a, b in FLUSHES], "low binary, high binary")
+    return compaction.flush_levels(ranges, rel.files_rel(spark, d), 2000).select(text("low"), text("high"), "flush_level")
+
+
+_PAIR = "CASE p WHEN '27' THEN chr(92) || chr(39) WHEN '5C' THEN chr(92) || chr(92) WHEN '0A' THEN chr(92) || 'n' WHEN '0D' THEN chr(92) || 'r' WHEN '09' THEN chr(92) || 't' ELSE CASE WHEN CAST('0x' || p AS INTEGER) BETWEEN 32 AND 126 THEN chr(CAST('0x' || p AS INTEGER)) ELSE chr(92) || 'x' || lower(p) END END"
+
+
+@query("dump_escape", f"{sql_with('chat_batches')} SELECT batch_no, pos, array_to_string(list_transform(regexp_extract_all(hex(encode(value)), '..'), lambda p: {_PAIR}), '') AS escaped FROM chat_batches WHERE kind = 1")
+def dump_escape(spark, d):
+    return rel.chat_batches(spark, d).where("kind = 1").select("batch_no", "pos", escaped(F.encode("value", "UTF-8")).alias("escaped"))
+
+
+@query("sst_dump", f"{sql_with('events_ops')} SELECT (sequence - 1) // 500 + 1 AS number, user_key, sequence, kind, value FROM events_ops")
+def sst_dump(spark, d):
+    """The op-log written as sorted tables of 500 ops and read back."""
+    ops = rel.events_ops(spark, d).withColumn("number", F.floor((F.col("sequence") - 1) / 500) + 1)
+    return export.read_table_files(export.table_files(ops, "number")).select("number", text("user_key"), "sequence", "kind", text("value"))
+
+
+@query("wal_dump", f"{sql_with('chat_batches')}, s AS (SELECT *, row_number() OVER (ORDER BY batch_no, pos) AS sequence FROM chat_batches) SELECT batch_no // 10 AS number, min(sequence) OVER (PARTITION BY batch_no) AS first_sequence, user_key, sequence, kind, value FROM s")
+def wal_dump(spark, d):
+    """Batches written as logs of ten batches and read back."""
+    ops = batch.expand(rel.chat_batches(spark, d)).withColumn("log", F.floor(F.col("batch_no") / 10))
+    return export.read_log_files(export.log_files(ops, "log")).where("error is null").select("number", "first_sequence", text("user_key"), "sequence", "kind", text("value"))
+
+
+@query("manifest_dump", f"{sql_with('edits_rel')} SELECT version, number, level, action FROM edits_rel")
+def manifest_dump(spark, d):
+    """File edits written as a manifest and read back."""
+    edits = rel.edits_rel(spark, d).join(rel.files_rel(spark, d).drop("level"), "number")
+    return spark.createDataFrame(export.read_manifest(export.manifest_file(edits)), "version long, number long, level int, action string")
+
+
 def _point(name: str, key: str) -> None:
     @query(name, f"{sql_with('events_ops')} SELECT user_key, sequence, value FROM {_visible('events_ops')} WHERE user_key = '{key}'")
     def point(spark, d):
