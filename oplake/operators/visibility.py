@@ -6,10 +6,13 @@ order as unsigned bytes; another order goes in as an extra ``sort_key`` column (
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oplake.functions.keys import BYTEWISE, KeyOrder, prefix_end
+from oplake.functions.sequence import dense_sequence
 
 
 def keyed(history: DataFrame, order: KeyOrder = BYTEWISE) -> DataFrame:
@@ -89,20 +92,17 @@ def prefix_scan(history: DataFrame, prefix: bytes, sequence: int | None = None)
 
 def numbered(rows: DataFrame, ascending: bool = True, limit: int | None = None) -> DataFrame:
     """``pos`` from 0 in key order.  With a limit the top rows alone meet in one task; without, the
-    rows are range-partitioned and each partition is numbered from the counts of those before."""
+    rows are numbered by ranges of the seven bytes that follow the keys' common prefix."""
     name = _sort(rows)
     key: Column = F.asc(name) if ascending else F.desc(name)
     if limit is not None:
         top = rows.orderBy(key).limit(limit)
         return top.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)).cast("long") - 1)
-    # a key's place is the number of keys before it: leading two bytes first, then within them
-    lead = F.coalesce(F.hex(F.substring(F.col(name), 1, 9)), F.lit(""))
-    parted = rows.withColumn("__lead", lead)
-    counts = parted.groupBy("__lead").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(F.lit(0)).orderBy(F.asc("__lead") if ascending else F.desc("__lead")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__lead", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__lead").orderBy(key))
-    return parted.withColumn("__rank", within).join(starts, "__lead").withColumn("pos", F.col("__before") + F.col("__rank") - 1).drop("__lead", "__rank", "__before")
+    ends = rows.agg(F.count("*").alias("n"), F.min(name).alias("low"), F.max(name).alias("high")).first()
+    same = len(os.path.commonprefix([bytes(ends.low or b""), bytes(ends.high or b"")]))
+    lead = F.conv(F.rpad(F.hex(F.substring(F.col(name), same + 1, 7)), 14, "0"), 16, 10).cast("double")
+    out = dense_sequence(rows.withColumn("__lead", lead), ["__lead", name], "__place", count=ends.n)
+    return out.withColumn("pos", F.col("__place") - 1 if ascending else F.lit(ends.n) - F.col("__place")).drop("__lead", "__place")
 
 
 def seek(history: DataFrame, key: bytes, limit: int, sequence: int | None = None) -> DataFrame:

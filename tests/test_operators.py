@@ -72,6 +72,17 @@ def test_snapshot_diff(spark, log):
     assert {bytes(r.user_key): r.change for r in vis.snapshot_diff(frame(spark, log), 60, 180).collect()} == want
 
 
+def test_numbering_over_ranges(spark, monkeypatch):
+    keys = [b"common" + random.Random(i).randbytes(i % 9) for i in range(300)]
+    keys = sorted(set(keys))
+    df = frame(spark, [(k, i, 1, b"") for i, k in enumerate(keys)]).repartition(4)
+    monkeypatch.setattr(vis, "dense_sequence", lambda *a, **k: dense_sequence(*a, rows_per_range=40))
+    for ascending in (True, False):
+        got = [bytes(r.user_key) for r in vis.numbered(df, ascending).orderBy("pos").collect()]
+        assert got == (keys if ascending else keys[::-1])
+    assert vis.numbered(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("order", [REVERSE_BYTEWISE, ASCII_CASELESS])
 def test_other_orders(spark, log, order):
     h = vis.keyed(frame(spark, log), order)
