@@ -26,8 +26,10 @@ FURNITURE = frozenset(["nav", "header", "footer", "aside", "form", "menu", "dial
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 BLOCKS = frozenset(["address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "tfoot", "thead", "tr", "td", "th", "ul", "caption"])
 #: Words of class, id and role values that mark furniture (fixed values).
-MARKS = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "sidebar", "sidebars", "widget", "widgets", "menu", "menus", "nav", "navbar", "navigation", "navigations", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "share", "sharing", "social", "related", "recommended", "recommendations", "trending", "comment", "comments", "commentlist", "respond", "disqus", "replies", "discussion", "footer", "foot", "masthead", "topbar", "header", "skip", "search", "searchform", "copyright", "complementary", "contentinfo", "hidden"])
-_ALSO_BODY = frozenset(["has", "with", "no", "without", "post", "entry", "article", "content", "main", "page"])
+MARKS = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "sidebar", "sidebars", "widget", "widgets", "menu", "menus", "submenu", "nav", "navbar", "navmenu", "topnav", "mainnav", "subnav", "sidenav", "sitenav", "adsbygoogle", "navigation", "navigations", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "share", "sharing", "social", "related", "recommended", "recommendations", "trending", "comment", "comments", "commentlist", "respond", "disqus", "replies", "discussion", "footer", "foot", "masthead", "topbar", "header", "skip", "search", "searchform", "copyright", "complementary", "contentinfo", "hidden"])
+#: Words beside a mark that take it back: layout flags (``has-sidebar``), and what a text's own header is called.
+_LAYOUT = frozenset(["has", "with", "no", "without"])
+_OF_TEXT = frozenset(["post", "entry", "article", "content", "story", "title"])
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|(?P<text>[^<]++|<)",
@@ -52,7 +54,8 @@ def _furniture(name: str, attrs: str) -> bool:
         else:
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
-                if parts and any(p in MARKS for p in parts) and not any(p in _ALSO_BODY for p in parts[:-1] + parts[-1:] * (parts[-1] not in MARKS)):
+                found = MARKS.intersection(parts)
+                if found and not _LAYOUT.intersection(parts) and not (found == {"header"} and _OF_TEXT.intersection(parts)):
                     return True
     return False
 

@@ -77,6 +77,13 @@ def test_extract(page, text):
     assert html_extract.extract(page or "") == text
 
 
+def test_furniture_by_name():
+    for attrs in ("class='page-footer'", "class='main-nav'", "id=post-comments", "class='x AdSlot'", "role=alert", "hidden", "style='display:none'", "class=newsletterSignup", "class=page-header"):
+        assert html_extract._furniture("div", attrs), attrs
+    for attrs in ("", "class='post has-sidebar'", "class=entry-header", "class='no-comments'", "id=adventure", "class=headline", "style='color:red'", "role=main"):
+        assert not html_extract._furniture("div", attrs), attrs
+
+
 def test_labelled_pages_come_back():
     for page in html_labels.PAGES:
         inner = page.split("<!--[-->")[1].split("<!--]-->")[0]
