@@ -145,7 +145,7 @@ def fit_rows(features: list[np.ndarray], labels: np.ndarray, class_counts: tuple
     values = []
     for f in features:
         v = ratio[f]
-        values.append(v / (float(np.sqrt((v * v).sum())) or 1.0))
+        values.append((v / (float(np.sqrt((v * v).sum())) or 1.0)).astype(np.float32))
     each = {1.0: len(y) / (2 * (y > 0).sum()), -1.0: len(y) / (2 * (y < 0).sum())}
     costs = np.array([cost * each[c] for c in y])
     held = np.random.default_rng(seed).random(len(y)) < 0.2
