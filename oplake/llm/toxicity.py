@@ -20,8 +20,9 @@ from oplake.llm.quality import collect_features, labelled_sample
 SLOTS = 1 << 20
 #: At most so many labelled rows of each class are used to fit.
 SAMPLE_PER_CLASS = 6000
-#: Features kept: the slots that speak most for the toxic class, by likelihood ratio; below EVIDENCE none is.
-FEATURES, EVIDENCE = 4096, 20.0
+#: Features kept: the slots that speak most for the toxic class, by likelihood ratio; none below
+#: EVIDENCE, and none whose rate in the class is not RATE times that outside it.
+FEATURES, EVIDENCE, RATE = 4096, 24.0, 12.0
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -81,7 +82,7 @@ def choose_features(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarr
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda k, n: np.where(k > 0, k * np.log(k / (n * p)), 0) + np.where(n - k > 0, (n - k) * np.log((n - k) / (n * (1 - p))), 0)
         evidence = 2 * np.nan_to_num(part(up, n1) + part(down, n0), posinf=0.0, neginf=0.0)
-    evidence[(up + 0.5) * (n0 + 1) <= (down + 0.5) * (n1 + 1)] = 0.0
+    evidence[(up + 0.5) * (n0 + 1) < RATE * (down + 0.5) * (n1 + 1)] = 0.0
     top = np.argsort(-evidence, kind="stable")[:FEATURES]
     top = np.sort(top[evidence[top] >= EVIDENCE]).astype(np.int32)
     return top, np.log((up[top] + 0.5) / (n1 + 1)) - np.log((down[top] + 0.5) / (n0 + 1))
@@ -100,6 +101,9 @@ def grade_labels(features: list[np.ndarray], y: np.ndarray, slots: np.ndarray, r
 
 def fit_rows(features: list[np.ndarray], y: np.ndarray, class_counts: tuple[int, int], seed: int = 5, epochs: int = 60, rate: float = 0.5, l2: float = 1e-5) -> ToxicityModel:
     """Maximum likelihood by adaptive-rate descent over mini-batches; ``class_counts`` sets the prior."""
+    # equal texts count once, or the words of a much-copied text would speak for its class
+    first = {(f.tobytes(), int(c)): i for i, (f, c) in reversed(list(enumerate(zip(features, y))))}
+    features, y = [features[i] for i in first.values()], y[list(first.values())] if len(y) else y
     slots, ratio = choose_features(features, y)
     prior = (class_counts[1] + 1) / (sum(class_counts) + 2)
     if not len(slots):
