@@ -58,6 +58,16 @@ def test_op2(spark, tmp_path):
         assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_large_ids_beside_null(spark):
+    big = (1 << 60) + 1
+    rows = [(big, 0, "user", "a"), (big, None, "user", "first"), (None, 0, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    out = {r.conv_id: r.n_turns for r in chat.digest(chat.format_conversations(chat.message_events(df))).collect()}
+    assert out == {big: 2, None: 1}
+    docs = spark.createDataFrame([(big, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack_documents(docs).collect()} == {big, None}
+
+
 # ------------------------------------------------------------------------------------ html
 
 A = "The river rose in the night and the lower path was closed for the whole of the week. "
