@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -17,8 +17,6 @@ _SPLIT = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in
 _BACK = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(re.escape(OPEN) + r"(.*?)\n(.*?)" + re.escape(CLOSE) + r"\n", re.DOTALL)
 
-KINDS = ("message", "delta", "edit", "regenerate")
-
 
 def escape(text: str) -> str:
     """Doubles backslashes, then puts ``\\-`` behind the first character of every control string."""
@@ -50,59 +48,83 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m.group(1)), unescape(m.group(2))) for m in _TURN.finditer(formatted)]
 
 
+def fold(log: list[tuple]) -> list[tuple[int | None, str, str]]:
+    """(turn, role, text) of the final messages of one conversation's sorted log of
+    (turn, seq, is_delta, role, text)."""
+    out: list[tuple[int | None, str, str]] = []
+    opened = False  # whether the last message may still be changed
+    for turn, seq, delta, role, text in log:
+        if seq is None:
+            out.append((turn, role or "", text or ""))
+            opened = False
+        elif opened and out[-1][0] == turn:
+            _, last, before = out[-1]
+            out[-1] = (turn, last if role is None else role, before + (text or "") if delta else text or "")
+        else:
+            out.append((turn, role or "", text or ""))
+            opened = True
+    return out
+
+
+def _logs(events: DataFrame) -> DataFrame:
+    """(conv_id, log): each conversation's events in one row, in one shuffle."""
+    e = events.select("conv_id", "turn", "seq", F.coalesce(F.col("kind") == "delta", F.lit(False)).alias("d"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    return e.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "seq", "d", "role", "text"))).alias("log"))
+
+
+def _messages(log) -> list[tuple[int | None, str, str]]:
+    return fold([(e["turn"], e["seq"], e["d"], e["role"], e["text"]) for e in log])
+
+
+def _mapped(rows: DataFrame, run, fields: str) -> DataFrame:
+    """``mapInPandas`` that carries conv_id as text, as pandas would turn ids beside a null into floats."""
+    kind = rows.schema["conv_id"].dataType
+    out = rows.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(run, f"conv_id string, {fields}")
+    return out.withColumn("conv_id", F.col("conv_id").cast(kind))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages from a log of events (conv_id, seq, kind, turn, role, text).
+    """Final messages (conv_id, turn, role, text) from a log of events (conv_id, seq, kind, turn, role, text).
 
     Within a turn the last ``message``, ``edit`` or ``regenerate`` by seq starts the text anew
     and the ``delta`` rows after it are appended in order; the role is the last one given.  A
-    turn with deltas alone is their concatenation.  Rows of equal seq fold in the order kind
-    (resets first), role, text, so a rerun gives the same text.  Null text is empty, an unknown
-    or null kind counts as ``message``.  Work is keyed by (conv_id, turn), never by conversation.
+    turn with deltas alone is their concatenation.  An event without a seq is a message of its
+    own.  Rows of equal seq fold in the order kind (resets first), role, text, so a rerun gives
+    the same text.  Null text is empty; an unknown or null kind counts as ``message``.
     """
-    e = events.select("conv_id", "seq", F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise("message").alias("kind"), "turn", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    item = F.struct("seq", (F.col("kind") == "delta").alias("d"), "role", "text")
-    turns = e.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(item)).alias("log"))
-    last = F.coalesce(F.array_max(F.transform("log", lambda x, i: F.when(~x["d"], i + 1).otherwise(F.lit(0)))), F.lit(0))
-    turns = turns.withColumn("last", last)
-    kept = F.slice("log", F.greatest(F.col("last"), F.lit(1)), F.size("log"))
-    return turns.select(
-        "conv_id",
-        "turn",
-        F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter("log", lambda x: x["role"].isNotNull()), lambda x: x["role"])), -1).alias("role"),
-        F.array_join(F.transform(kept, lambda x: x["text"]), "").alias("text"),
-    )
+
+    def run(batches):
+        for part in batches:
+            rows = [(conv, *m) for conv, log in zip(part["conv_id"], part["log"]) for m in _messages(log)]
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"], dtype=object)
+
+    return _mapped(_logs(events), run, "turn long, role string, text string")
 
 
 def message_events(rows: DataFrame) -> DataFrame:
-    """Plain rows (conv_id, turn, role, text) as events: one ``message`` each.  Rows that repeat a
-    (conv_id, turn) stay apart: each is its own turn, in the order of role and text."""
-    w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    again = F.row_number().over(w)
-    return rows.select("conv_id", again.cast("long").alias("seq"), F.lit("message").alias("kind"), F.struct(F.col("turn").alias("turn"), again.alias("copy")).alias("turn"), "role", "text")
+    """Plain rows (conv_id, turn, role, text) as events without a seq: rows that repeat a
+    (conv_id, turn) stay apart, in the order of role and text."""
+    return rows.select("conv_id", F.lit(None).cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("long").alias("turn"), "role", "text")
 
 
 def format_conversations(events: DataFrame, train_roles=("assistant",)) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans.
 
     Turns run by turn number (null first).  A conversation's text has to meet in one row, as its
-    result is one text; nothing larger than one conversation does.  An empty log gives no rows.
+    result is one text; nothing larger than one conversation does, and the log is shuffled once.
+    An empty log gives no rows.
     """
-    final = fold_events(events)
-    convs = final.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    kind = convs.schema["conv_id"].dataType.simpleString()
-    convs = convs.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
     def run(batches):
         for part in batches:
-            made = [render([(t["role"] or "", t["text"] or "") for t in turns], train_roles) for turns in part["turns"]]
+            made = [render([m[1:] for m in _messages(log)], train_roles) for log in part["log"]]
             yield pd.DataFrame({"conv_id": part["conv_id"], "formatted": [m[0] for m in made], "loss_spans": [[{"start": a, "end": b} for a, b in m[1]] for m in made]})
 
-    return convs.mapInPandas(run, f"conv_id {kind}, formatted string, loss_spans array<struct<start:long,end:long>>")
+    return _mapped(_logs(events), run, "formatted string, loss_spans array<struct<start:long,end:long>>")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What can be read back from the formatted texts alone: turns, loss mask and lengths."""
-    kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
         for part in batches:
@@ -112,6 +134,6 @@ def digest(formatted: DataFrame) -> DataFrame:
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
                 sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
                 rows.append((conv, len(turns), sha, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": part["conv_id"].dtype})
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _mapped(formatted, run, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
