@@ -154,7 +154,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, max_docs: int = 2048,
     kind = source.schema["doc_id"].dataType.simpleString()
     cut = scratch(source.mapInArrow(pieces, f"doc_id {kind}, {fields}"), "pack-pieces")
     buckets = max(1, math.ceil(cut.count() / bucket_pieces))
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>, bucket long, sequence_id long, offset long, loose boolean"
+    cut = cut.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn ids beside a null into floats
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long, ids array<int>, bucket long, sequence_id long, offset long, loose boolean"
 
     def packer(level: int):
         def pack(part: pd.DataFrame) -> pd.DataFrame:
@@ -174,5 +175,5 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, max_docs: int = 2048,
         once = scratch(once, "pack-once")
         again = once.where("loose").drop("sequence_id", "offset", "loose").withColumn("bucket", F.floor(F.col("bucket") / 64)).groupBy("bucket").applyInPandas(packer(1), schema)
         once = once.where("not loose").unionByName(again)
-    out = once.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
+    out = once.select(F.col("doc_id").cast(kind).alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
     return out
