@@ -71,10 +71,6 @@ def word_count(text: Column) -> Column:
 
 # ---------------------------------------------------------------- words of Arrow batches
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
@@ -106,9 +102,12 @@ class Words:
     __slots__ = ("bytes", "doc_bytes", "start", "end", "first", "hash", "_total")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        b = _LOWER[data] if lower else data
+        b = data
+        if lower:
+            upper = (data - np.uint8(65)) < np.uint8(26)  # wraps round below 65
+            b = data + (upper.view(np.uint8) << np.uint8(5))
         n = len(b)
-        solid = ~_SPACE[b]
+        solid = (b != np.uint8(32)) & ((b - np.uint8(9)) >= np.uint8(5))
         begin, stop = solid.copy(), solid.copy()
         if n:
             begin[1:] &= ~solid[:-1]
@@ -121,7 +120,10 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         _grow(n + 1)
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[:n], dtype=np.uint64, out=total[1:])
+        spread = b.astype(np.uint64)
+        spread += np.uint64(1)
+        spread *= _powers[:n]
+        np.cumsum(spread, out=total[1:])
         self._total = total
         self.hash = self.span_hash(self.start, self.end)
 

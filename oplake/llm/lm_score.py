@@ -51,7 +51,10 @@ _U = np.uint64
 #: Costs of a decision in nats by its logit, in steps of 1/128 between -16 and 16.
 _STEP, _LIMIT = 128.0, 16.0
 _COST = np.logaddexp(0.0, -np.arange(-_LIMIT, _LIMIT + 1 / _STEP, 1 / _STEP)).astype(np.float32)
-_M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
+_SIGNED_STEP = np.array([-_STEP, _STEP], dtype=np.float32)
+_M1, _M2 = np.array([0x85EBCA6B, 0x9E3779B1], dtype=np.uint32)[:, None]  # arrays, so that products wrap silently
+#: log(n + 0.4) of whole counts.
+_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -192,7 +195,7 @@ class Decisions:
         unit = np.full(total, codes.end, dtype=np.int64)
         at, known = codes.find(words.hash)
         unit[place] = np.where(known, at, codes.escape)
-        self.doc_of_word = doc_of_word
+        self.known_at, self.known, self.doc_of_word = at, known, doc_of_word
 
         start = np.concatenate([[True], doc[1:] != doc[:-1]]) if total else np.zeros(0, bool)
         one = np.concatenate([[_U(0)], token[:-1]]) if total else token
@@ -238,12 +241,11 @@ class Decisions:
         step >>= 1
         self.node = step
         node = step.astype(np.uint32)
-        node *= _M1
+        node *= _M1 * _M2
         self.slots = []
-        for c in (c1, c2, c3):
-            h = np.repeat((c >> _U(32)).astype(np.uint32), length)
+        for c in (c1, c2, c3):  # (context + node * M1) * M2, its leading bits
+            h = np.repeat((c >> _U(32)).astype(np.uint32) * _M2, length)
             h += node
-            h *= _M2
             h >>= np.uint32(32 - TABLE_BITS)
             self.slots.append(h.astype(np.int64))
         tok_start = dec_start[first_unit] if total else np.zeros(0, np.int64)
@@ -313,19 +315,22 @@ class Mixer:
             gate <<= 2
             if leave_out:
                 c = np.take(self.counts[k].view(np.uint32)[:, 0], slot, mode="clip")
-                one, none = (c >> np.uint32(16)).astype(np.float32), (c & np.uint32(0xFFFF)).astype(np.float32)
+                one, none = (c >> np.uint32(16)).astype(np.int64), (c & np.uint32(0xFFFF)).astype(np.int64)
                 one -= d.bit
                 none -= 1 - d.bit
                 np.maximum(one, 0, out=one)
                 np.maximum(none, 0, out=none)
-                gate += confidence(one + none)
-                x.append(np.log((one + np.float32(0.4)) / (none + np.float32(0.4))))
+                v = np.take(_LOG, one, mode="clip")
+                v -= np.take(_LOG, none, mode="clip")
+                x.append(v)
+                one += none
+                gate += confidence(one)
             else:
                 v = np.take(self.ready()[k], slot, mode="clip")
                 gate += v & 3
                 v >>= 2
                 x.append(np.multiply(v, np.float32(1 / 256), dtype=np.float32))
-        x.append(d.match.astype(np.float32))
+        x.append(d.match)
         long = (d.match != 0).astype(np.int16)
         first = d.tok_start[:-1][d.tok_start[:-1] < len(long)]
         long[first] *= 2  # a match is less sure at a token's first decision
@@ -337,10 +342,12 @@ class Mixer:
     def logits(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
         w = np.ascontiguousarray(weights.T, dtype=np.float32)
         z = np.take(w[-1] * np.float32(_BIAS), gate, mode="clip")
-        for k, v in enumerate(x):
+        for k, v in enumerate(x[:-1]):
             t = np.take(w[k], gate, mode="clip")
             t *= v
             z += t
+        at = np.flatnonzero(x[-1])  # few decisions have a match
+        z[at] += w[len(x) - 1][gate[at]] * x[-1][at]
         return np.clip(z, -_LIMIT, _LIMIT, out=z)
 
     def learn(self, words: Words) -> int:
@@ -361,10 +368,11 @@ class Mixer:
     @staticmethod
     def costs(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Nats of each decision; the two answers of a decision have probabilities that add up to 1."""
-        at = np.rint(z * np.float32(_STEP)).astype(np.int32)
-        at *= 2 * bit - 1
-        at += int(_LIMIT * _STEP)
-        return np.take(_COST, at, mode="clip")
+        at = np.take(_SIGNED_STEP, bit)
+        at *= z
+        np.rint(at, out=at)
+        at += np.float32(_LIMIT * _STEP)
+        return np.take(_COST, at.astype(np.intp), mode="clip")
 
     def score(self, words: Words) -> tuple[np.ndarray, Decisions]:
         """log10 of each document's probability."""
@@ -397,9 +405,18 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(kind, h, c): counts of word hashes (0), bytes (1) and documents (2) over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, waiting = [], 0
         held, rows = [], 0
         octets, words_seen, docs = np.zeros(256, np.int64), 0, 0
 
+        def add():
+            nonlocal waiting, rows
+            if raw:
+                held.append(np.unique(np.concatenate(raw), return_counts=True))
+                rows += len(held[-1][0])
+                raw.clear()
+                waiting = 0
+
         def flush():
             h, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
             return h, np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
@@ -410,9 +427,10 @@ def word_counts(train: DataFrame) -> DataFrame:
         for batch in batches:
             docs += len(batch)
             for _, _, words in word_chunks(batch.column(0)):
-                h, c = np.unique(words.hash, return_counts=True)
-                held.append((h, c))
-                rows += len(h)
+                raw.append(words.hash)
+                waiting += len(words.hash)
+                if waiting > 1_500_000:
+                    add()
                 octets += np.bincount(words.bytes, minlength=256)
                 words_seen += len(words.hash)
             if rows > 2_000_000:
@@ -421,6 +439,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                 if rows > 1_000_000:
                     yield out(0, held[0][0].view(np.int64), held[0][1])
                     held, rows = [], 0
+        add()
         if held:
             h, c = flush()
             yield out(0, h.view(np.int64), c)
@@ -578,6 +597,7 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of each document (h null), then rows of its words outside the head, under one uid."""
         mix, (index, log_count) = shared.value, known.value
+        log_head = np.append(np.log10(mix.codes.count + 1.0), 0.0)
         uid = int.from_bytes(os.urandom(8), "little") & 0x3FFFFFFFFFFFFFFF
         for batch in batches:
             for at, to, words in word_chunks(batch.column(1), limit=CHUNK):
@@ -585,8 +605,11 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
                 rows = to - at
                 ids = uid + np.arange(rows, dtype=np.int64)
                 uid += rows
-                place, there = index(words.hash)
-                part = np.bincount(d.doc_of_word, weights=np.where(there, log_count[place], 0.0) if len(log_count) else None, minlength=rows) * bool(len(log_count)) + end_part
+                value, there = log_head[np.where(d.known, d.known_at, len(log_head) - 1)], d.known.copy()
+                other = np.flatnonzero(~d.known)
+                place, found = index(words.hash[other])
+                value[other[found]], there[other[found]] = log_count[place[found]], True
+                part = np.bincount(d.doc_of_word, weights=value, minlength=rows) + end_part
                 n_known = np.bincount(d.doc_of_word, weights=there, minlength=rows).astype(np.int64)
                 n_tokens = np.diff(words.first) + 1
                 octet = np.diff(words.doc_bytes)
