@@ -36,3 +36,20 @@ def test_registry():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """An empty table, and null, repeated and clashing rows and columns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(None, None, None, None, None, 1, 2), (3, "a b c d e f", "en", None, 1, 1, 2), (3, "a b c d e f", "en", None, 1, 1, 2), (4, "", None, "s", 0, 1, 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, copies int")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0 and (name == "best-fit packing" or empty.columns == docs.columns)
+        out = stage(spark, odd, sf_dir)
+        assert out.count() <= 3 * len(rows) and (name == "best-fit packing" or out.columns == odd.columns)
+
+
+def test_run(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 100 and "sequence_id" in out.columns
