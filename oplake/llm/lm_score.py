@@ -12,7 +12,6 @@ scale and a bias that adapt along the text.  The total of the decisions is the t
 
 from __future__ import annotations
 
-import heapq
 import math
 import os
 import zlib
@@ -27,15 +26,16 @@ from pyspark.sql import functions as F
 
 from oplake.llm.common import Words, crc_bucket, scratch, word_chunks
 
-#: Words with a path of their own, at most, each seen HEAD_COUNT times at least; the rest is spelled.
-HEAD, HEAD_COUNT = 1 << 17, 3
+#: Words with a path of their own are seen HEAD_COUNT times at least; the rest is spelled.  There are
+#: HEAD of them at most, or HEAD_ROOT times the root of the training words where that is more.
+HEAD, HEAD_COUNT, HEAD_ROOT = 1 << 17, 3, 28
 #: Counts of so many words are broadcast for the base score; those of rarer words are joined.
 KNOWN = 1 << 19
 #: Classes of text, told apart by so many of the most frequent words.  What a class is comes from
 #: about CLASS_SAMPLE texts; what is counted under it comes from all.
 CLASSES, CLASS_WORDS, CLASS_SAMPLE = 8, 2048, 3000
-#: Slots of each hashed-context table.
-TABLE_BITS = 20
+#: Slots of each hashed-context table: 2^TABLE_BITS at least, and about TABLE_ROOT times the root of the training words.
+TABLE_BITS, TABLE_ROOT = 20, 512
 TABLES = 3
 #: The mixing weights learn from one in so many training documents; counts are over all of them.
 MIX_ONE_IN = 8
@@ -58,6 +58,16 @@ _LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 
 
+def table_bits(words: int) -> int:
+    """Bits of a slot's number, for so many training words."""
+    return max(TABLE_BITS, round(math.log2(TABLE_ROOT * math.sqrt(max(1, words)))))
+
+
+def head_words(words: int) -> int:
+    """Words with a path of their own at most, for so many training words."""
+    return max(HEAD, int(HEAD_ROOT * math.sqrt(words)))
+
+
 class HashIndex:
     """Places of hashes in a sorted array: a direct index over their leading bits replaces a binary search."""
 
@@ -94,20 +104,20 @@ class HashIndex:
 class Codes:
     """Paths of the units in the two trees: words, then escape and end; then bytes and word end."""
 
-    def __init__(self, head_hash: np.ndarray, head_count: np.ndarray, tail_count: int, ends: int, byte_count: np.ndarray):
+    def __init__(self, head_hash: np.ndarray, head_count: np.ndarray, tail_count: int, ends: int, byte_count: np.ndarray, bits: int = TABLE_BITS):
+        self.table_bits = bits
         order = np.argsort(head_hash)
         self.hash = head_hash[order]
         self.count = head_count[order]
         n = len(self.hash)
         self.escape, self.end, self.first_byte = n, n + 1, n + 2
-        paths_w, logits_w = self._huffman([*self.count.tolist(), tail_count + 1, ends + 1])
-        paths_b, logits_b = self._huffman((byte_count + 1).tolist())
+        length_w, steps_w, logits_w = self._huffman(np.append(self.count, [tail_count + 1, ends + 1]))
+        length_b, steps_b, logits_b = self._huffman(byte_count + 1)
         shift = len(logits_w)
-        paths = paths_w + [([x + shift for x in nodes], bits) for nodes, bits in paths_b]
-        self.length = np.array([len(b) for _, b in paths], dtype=np.int64)
-        self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64)
-        self.steps = np.array([2 * x + b for nodes, bits in paths for x, b in zip(nodes, bits)], dtype=np.int32)
-        self.logit = np.array(logits_w + logits_b, dtype=np.float32)
+        self.length = np.concatenate([length_w, length_b])
+        self.offset = np.cumsum(self.length) - self.length
+        self.steps = np.concatenate([steps_w, steps_b + 2 * shift]).astype(np.int32)
+        self.logit = np.concatenate([logits_w, logits_b]).astype(np.float32)
         self.word_nodes = shift
         self.find = HashIndex(self.hash)
         self.class_words = np.argsort(-self.count, kind="stable")[:CLASS_WORDS]
@@ -157,27 +167,41 @@ class Codes:
         return np.argmax(total, axis=1).astype(np.uint64)
 
     @staticmethod
-    def _huffman(counts: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[float]]:
-        """(nodes, bits) of each leaf's path from the root, and each inner node's logit of bit 1."""
-        heap = [(c, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        up: dict[int, tuple[int, int]] = {}
-        logits, at = [], len(counts)
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            up[i], up[j] = (at, 0), (at, 1)
-            logits.append(math.log((b + 0.5) / (a + 0.5)))
-            heapq.heappush(heap, (a + b, at))
-            at += 1
-        paths = []
-        for i in range(len(counts)):
-            nodes, bits, x = [], [], i
-            while x in up:
-                x, bit = up[x]
-                nodes.append(x - len(counts))
-                bits.append(bit)
-            paths.append((nodes[::-1], bits[::-1]))
-        return paths, logits
+    def _huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths of the leaves' paths, the paths from the root one after another (2 * node + bit
+        of each step), and each inner node's logit of bit 1."""
+        n = len(counts)
+        order = np.argsort(counts, kind="stable")
+        leaf, made = counts[order].tolist(), []  # both ascend, so the least two are at their fronts
+        up, low, high = np.zeros(2 * n - 1, dtype=np.int64), np.zeros(n - 1), np.zeros(n - 1)
+        i = j = 0
+        for at in range(n - 1):
+            pair = []
+            for bit in range(2):
+                if j == len(made) or i < n and leaf[i] <= made[j]:
+                    up[order[i]] = 2 * at + bit
+                    pair.append(leaf[i])
+                    i += 1
+                else:
+                    up[n + j] = 2 * at + bit
+                    pair.append(made[j])
+                    j += 1
+            low[at], high[at] = pair
+            made.append(pair[0] + pair[1])
+        root, climbs = 2 * n - 2, []
+        x, left = np.arange(n), np.arange(n)
+        while n > 1 and len(left):
+            climbs.append((left, up[x]))
+            x = n + (up[x] >> 1)
+            left, x = left[x != root], x[x != root]
+        length = np.zeros(n, dtype=np.int64)
+        for who, _ in climbs:
+            length[who] += 1
+        end = np.cumsum(length) - 1
+        steps = np.zeros(int(length.sum()), dtype=np.int64)
+        for k, (who, step) in enumerate(climbs):
+            steps[end[who] - k] = step
+        return length, steps, np.log((high + 0.5) / (low + 0.5))
 
 
 class Decisions:
@@ -246,7 +270,7 @@ class Decisions:
         for c in (c1, c2, c3):  # (context + node * M1) * M2, its leading bits
             h = np.repeat((c >> _U(32)).astype(np.uint32) * _M2, length)
             h += node
-            h >>= np.uint32(32 - TABLE_BITS)
+            h >>= np.uint32(32 - codes.table_bits)
             self.slots.append(h.astype(np.int64))
         tok_start = dec_start[first_unit] if total else np.zeros(0, np.int64)
         self.tok_start = np.append(tok_start, n)
@@ -294,7 +318,13 @@ class Mixer:
         self._ready = None
 
     def __getstate__(self):
-        return {"codes": self.codes, "counts": self.counts, "weights": self.weights, "_ready": None}
+        return {"codes": self.codes, "counts": self.counts, "weights": self.weights, "_ready": None if self.counts else self._ready}
+
+    def for_scoring(self) -> Mixer:
+        """The same without the counts, which only learning needs."""
+        out = Mixer(self.codes, [], self.weights)
+        out._ready = self.ready()
+        return out
 
     def ready(self) -> list[np.ndarray]:
         """Each table's logits in steps of 1/256 with the confidence in the two low bits."""
@@ -492,10 +522,10 @@ def class_sample(sample: DataFrame, codes: Codes) -> list[np.ndarray]:
 
 
 def gather_tables(train: DataFrame, codes: Codes, tasks: int) -> list[np.ndarray]:
-    """The counts of both tables over all training texts, of fixed size.  Tasks send compressed
-    blocks, which are added up 32 at a time, so no task or driver step holds more than that."""
+    """The counts of the tables over all training texts.  Tasks send compressed blocks,
+    which are added up 32 at a time, so no task or driver step holds more than that."""
     shared = train.sparkSession.sparkContext.broadcast(codes)
-    size = 1 << TABLE_BITS
+    size = 1 << codes.table_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(2 * size, dtype=np.uint32) for _ in range(TABLES)]
@@ -562,8 +592,8 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     Learns from rows whose crc32(id) mod ``holdout[0]`` is not ``holdout[1]``; A-Z are lower-cased;
     a text's tokens are its words and one end.  Null and empty texts are the end alone.  Without
     training rows every decision is even.  Repeated rows repeat; an empty table gives no rows;
-    other columns are ignored.  What is broadcast has a fixed size: KNOWN words and the tables.
-    Counts of rarer words are joined, not broadcast.
+    other columns are ignored.  What is broadcast, the most frequent words and the tables, grows
+    with the root of the training words.  Counts of rarer words are joined, not broadcast.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -577,20 +607,19 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     n_docs = totals[2].n if 2 in totals else 0
     n_words, v_words = (totals[0].n, totals[0].v) if 0 in totals else (0, 0)
     n_train, v_train = n_words + n_docs, v_words + (1 if n_docs else 0)
-    known_hash, known_count = most_frequent(counts.where("kind = 0").select("h", "c"), KNOWN)
+    known_hash, known_count = most_frequent(counts.where("kind = 0").select("h", "c"), max(KNOWN, head_words(n_words)))
     order = np.argsort(-known_count, kind="stable")
-    order = order[known_count[order] >= HEAD_COUNT][:HEAD]
+    order = order[known_count[order] >= HEAD_COUNT][: head_words(n_words)]
     head_hash, head_count = known_hash[order], known_count[order]
     order = np.argsort(known_hash)
     known = spark.sparkContext.broadcast((HashIndex(known_hash[order]), np.log10(known_count[order] + 1.0)))
-    codes = Codes(head_hash, head_count, int(n_words - head_count.sum()), n_docs, octets)
+    codes = Codes(head_hash, head_count, int(n_words - head_count.sum()), n_docs, octets, table_bits(n_words))
     some = min(1.0, CLASS_SAMPLE / max(1, n_docs))
     codes.set_classes(class_sample(train.where(F.pmod(F.xxhash64("doc_id", F.lit("class")), F.lit(1 << 20)) < int(some * (1 << 20))).select("text"), codes))
     tasks = max(6, math.ceil(int(octets.sum()) / CHARS_PER_TASK))
     tables = gather_tables(train.select("text").coalesce(tasks), codes, tasks)
     sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(MIX_ONE_IN)) == 0).select("text").coalesce(tasks)
-    mixer = Mixer(codes, tables, learn_weights(sample, codes, tables))
-    shared = spark.sparkContext.broadcast(mixer)
+    shared = spark.sparkContext.broadcast(Mixer(codes, tables, learn_weights(sample, codes, tables)).for_scoring())
     per_token = math.log10(n_train + v_train + 1)
     end_part = math.log10(n_docs + 1)
 

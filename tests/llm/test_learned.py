@@ -158,6 +158,23 @@ def test_lm_score_is_causal_and_apart():
     assert longer < alone[3] or longer < 0
 
 
+def test_lm_tables_grow_with_the_training_words(spark):
+    """Tables and words with a path of their own grow with the counted words, and all slots are used."""
+    sizes = [10**k for k in range(6, 12)]
+    for f in (lm_score.table_bits, lm_score.head_words):
+        assert [f(n) for n in sizes] == sorted(f(n) for n in sizes) and f(10**11) > f(10**10) > f(10**9)
+    rng = np.random.default_rng(3)
+    h = np.sort(rng.integers(1, 1 << 62, 500).astype(np.uint64))
+    codes = lm_score.Codes(h, rng.integers(3, 900, 500), 700, 20, rng.integers(0, 99, 257), 22)
+    texts = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(300)) for _ in range(8)]
+    d = [lm_score.Decisions(w, codes, False) for w in words_of(texts)]
+    tables = lm_score.gather_tables(spark.createDataFrame([(t,) for t in texts], "text string"), codes, 2)
+    for k, table in enumerate(tables):
+        slots = np.concatenate([x.slots[k] for x in d])
+        assert table.shape == (1 << 22, 2) and slots.max() >= 3 << 20
+        assert (table.sum(axis=1) == np.bincount(slots, minlength=1 << 22)).all()
+
+
 def test_hash_index():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
