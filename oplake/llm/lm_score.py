@@ -41,7 +41,10 @@ TABLES = 3
 MIX_ONE_IN = 8
 #: Tables are gathered by tasks of about so many characters each.
 CHARS_PER_TASK = 24_000_000
-SEGMENT = 4096
+#: A text's scale and bias are refined after so many decisions, then after strides that double up to
+#: SEGMENT.  Curvature of earlier strides counts FADE as much, and PRIOR holds both near 1 and 0,
+#: where the weights were learned: each gate's own scale and bias are at their best there.
+FIRST_SEGMENT, SEGMENT, FADE, PRIOR = 32, 1024, 0.8, 256.0
 CHUNK = 1 << 16
 _BLOCK = 1 << 14
 _INPUTS = 6
@@ -411,19 +414,26 @@ class Mixer:
         cost = self.costs(z, d.bit)
         out = np.add.reduceat(cost, d.doc_start[:-1], dtype=np.float64)  # each document has a decision at least
         for i, (a, b) in enumerate(zip(d.doc_start[:-1].tolist(), d.doc_start[1:].tolist())):
-            if b - a > SEGMENT:
-                out[i] = cost[a : a + SEGMENT].sum(dtype=np.float64)
-                scale, bias = 1.0, 0.0
-                for s in range(a, b, SEGMENT):
-                    zs, bits = z[s : min(b, s + SEGMENT)], d.bit[s : min(b, s + SEGMENT)]
-                    r = np.clip(np.float32(scale) * zs + np.float32(bias), -_LIMIT, _LIMIT)
-                    if s > a:
-                        out[i] += self.costs(r, bits).sum(dtype=np.float64)
-                    p = 1 / (1 + np.exp(-r))
-                    err, h = bits - p, p * (1 - p)
-                    scale += 0.5 * float(err @ zs) / (float(h @ (zs * zs)) + SEGMENT / 4)
-                    bias += 0.5 * float(err.sum()) / (float(h.sum()) + SEGMENT / 4)
-                    scale, bias = min(max(scale, 0.5), 2.0), min(max(bias, -1.0), 1.0)
+            s, size = a + FIRST_SEGMENT, FIRST_SEGMENT
+            if b <= s:
+                continue
+            total = cost[a:s].sum(dtype=np.float64)
+            scale, bias, h_scale, h_bias = 1.0, 0.0, 0.0, 0.0
+            r, zs, bits = z[a:s], z[a:s], d.bit[a:s]
+            while True:
+                p = 1 / (1 + np.exp(-r))
+                err, h = bits - p, p * (1 - p)
+                h_scale, h_bias = FADE * h_scale + float(h @ (zs * zs)), FADE * h_bias + float(h.sum())
+                scale += float(err @ zs) / (h_scale + PRIOR)
+                bias += float(err.sum()) / (h_bias + PRIOR)
+                scale, bias = min(max(scale, 0.5), 2.0), min(max(bias, -1.0), 1.0)
+                if s >= b:
+                    break
+                zs, bits = z[s : min(b, s + size)], d.bit[s : min(b, s + size)]
+                r = np.clip(np.float32(scale) * zs + np.float32(bias), -_LIMIT, _LIMIT)
+                total += self.costs(r, bits).sum(dtype=np.float64)
+                s, size = s + size, min(2 * size, SEGMENT)
+            out[i] = total
         return -out / math.log(10), d
 
 

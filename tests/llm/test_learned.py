@@ -175,6 +175,23 @@ def test_lm_tables_grow_with_the_training_words(spark):
         assert (table.sum(axis=1) == np.bincount(slots, minlength=1 << 22)).all()
 
 
+def test_lm_refines_short_texts():
+    """Where the mixed logits are too weak, or lean one way, a text of a few hundred decisions gains by refinement."""
+    m = mixer(np.random.default_rng(2))
+    for text in ("alpha beta gamma delta " * 8, "zeta " * 30):
+        (words,) = words_of([text])
+        d = lm_score.Decisions(words, m.codes, True)
+        assert 150 < len(d.bit) < 4096
+        lean = np.where(d.bit == 1, 0.3, -0.3).astype(np.float32)
+        m.logits = lambda *a, lean=lean: lean
+        plain = -float(m.costs(lean, d.bit).sum(dtype=np.float64)) / math.log(10)
+        assert m.score(words)[0][0] > plain * 0.995
+        first = d.bit[: lm_score.FIRST_SEGMENT]
+        m.logits = lambda *a, lean=np.concatenate([lean[: len(first)], -lean[len(first) :]]): lean
+        want = -float(m.costs(np.full(len(first), 0.3, np.float32), np.ones(len(first), np.int8)).sum()) / math.log(10)
+        assert m.score(words)[0][0] < want  # what comes later does not help the first decisions
+
+
 def test_hash_index():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
