@@ -31,14 +31,12 @@ from oplake.llm.common import Words, crc_bucket, scratch, word_chunks
 HEAD, HEAD_COUNT, HEAD_ROOT = 1 << 17, 3, 28
 #: Counts of so many words are broadcast for the base score; those of rarer words are joined.
 KNOWN = 1 << 19
-#: Classes of text, told apart by so many of the most frequent words.  What a class is comes from
-#: about CLASS_SAMPLE texts; what is counted under it comes from all.
-CLASSES, CLASS_WORDS, CLASS_SAMPLE = 8, 2048, 3000
+#: Classes of text, told apart by so many of the most frequent words.  They are fitted to all training
+#: texts from CLASS_STARTS random starts at once, until no start's likelihood gains CLASS_GAIN of itself.
+CLASSES, CLASS_WORDS, CLASS_STARTS, CLASS_ROUNDS, CLASS_GAIN = 8, 2048, 3, 25, 1e-4
 #: Slots of each hashed-context table: 2^TABLE_BITS at least, and about TABLE_ROOT times the root of the training words.
 TABLE_BITS, TABLE_ROOT = 20, 512
 TABLES = 3
-#: The mixing weights learn from one in so many training documents; counts are over all of them.
-MIX_ONE_IN = 8
 #: Tables are gathered by tasks of about so many characters each.
 CHARS_PER_TASK = 24_000_000
 #: A text's scale and bias are refined after so many decisions, then after strides that double up to
@@ -127,33 +125,34 @@ class Codes:
         self.class_prior = np.zeros(1, dtype=np.float64)
         self.class_logit = np.zeros((n + 1, 1), dtype=np.float32)
 
-    def set_classes(self, texts: list[np.ndarray], rounds: int = 25, seed: int = 3) -> None:
+    def set_classes(self, texts: list[np.ndarray]) -> None:
+        """Classes of a few texts at hand.  ``texts``: places in ``class_words`` of each one's frequent words."""
+        block = class_block(texts)
+        starts = np.random.default_rng(3).choice(len(texts), min(len(texts), CLASS_STARTS * CLASSES), replace=False)
+        self.fit_classes([texts[i] for i in starts], np.bincount(block[1], weights=block[2], minlength=len(self.class_words)), len(texts), lambda p, prior: class_sums(block, p, prior))
+
+    def fit_classes(self, starts: list[np.ndarray], total: np.ndarray, texts: int, sums) -> None:
         """A mixture of unigrams over the most frequent words, fitted by expectation maximisation.
-        ``texts``: positions of such words (places in ``class_words``) in each sampled text."""
-        texts = [t for t in texts if len(t) >= 8]
-        if len(texts) < 4 * CLASSES:
+        ``starts``: texts that the classes start from; ``total``: counts of the words in all texts;
+        ``sums(log_p, log_prior)``: the sums of ``class_sums`` over all texts."""
+        if texts < 4 * CLASSES or len(starts) < CLASS_STARTS * CLASSES:
             return
-        x = np.stack([np.bincount(t, minlength=len(self.class_words)) for t in texts]).astype(np.float32)
-        rng = np.random.default_rng(seed)
-        best = None
-        for _ in range(3):
-            p = x[rng.choice(len(x), CLASSES, replace=False)] + 0.5 * (x.sum(axis=0) / x.sum())[None, :] * 50 + 0.01
-            prior = np.full(CLASSES, 1 / CLASSES)
-            for _ in range(rounds):
-                log_p = np.log(p / p.sum(axis=1, keepdims=True))
-                like = x @ log_p.T + np.log(prior)
-                top = like.max(axis=1, keepdims=True)
-                share = np.exp(like - top)
-                total = share.sum(axis=1, keepdims=True)
-                share /= total
-                p = share.T.astype(np.float32) @ x + 0.05
-                prior = (share.sum(axis=0) + 1) / (len(x) + CLASSES)
-            fit = float((np.log(total) + top).sum())
-            if best is None or fit > best[0]:
-                best = fit, np.log(p / p.sum(axis=1, keepdims=True)), np.log(prior)
-        self.class_prior = best[2].astype(np.float64)
+        v = len(self.class_words)
+        p = np.stack([np.bincount(t, minlength=v) for t in starts]).astype(np.float64).reshape(CLASS_STARTS, CLASSES, v)
+        p += 0.5 * (total / max(1, total.sum())) * 50 + 0.01
+        prior, last = np.full((CLASS_STARTS, CLASSES), 1 / CLASSES), None
+        for _ in range(CLASS_ROUNDS):
+            log_p, log_prior = np.log(p / p.sum(axis=2, keepdims=True)), np.log(prior)
+            words, share, fit = sums(log_p, log_prior)
+            p, prior = words + 0.05, (share + 1) / (texts + CLASSES)
+            if last is not None and (fit - last <= CLASS_GAIN * np.abs(last)).all():
+                break
+            last = fit
+        best = int(np.argmax(fit))
+        log_p = np.log(p[best] / p[best].sum(axis=1, keepdims=True))
+        self.class_prior = np.log(prior[best])
         self.class_logit = np.zeros((len(self.hash) + 1, CLASSES), dtype=np.float32)
-        self.class_logit[self.class_words] = best[1].T - best[1].mean(axis=0)[:, None]
+        self.class_logit[self.class_words] = (log_p - log_p.mean(axis=0)).T
 
     def classes(self, unit: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The likeliest class of each token's text by the tokens before it."""
@@ -207,6 +206,36 @@ class Codes:
         return length, steps, np.log((high + 0.5) / (low + 0.5))
 
 
+def class_block(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the number of its distinct words; then these words' places and counts, text by text."""
+    run = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    key, count = np.unique(run * CLASS_WORDS + np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
+    return np.bincount(key // CLASS_WORDS, minlength=len(texts)), key % CLASS_WORDS, count
+
+
+def class_sums(block: tuple[np.ndarray, np.ndarray, np.ndarray], log_p: np.ndarray, log_prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each start: words counted under each class, texts in each class, log likelihood."""
+    starts, classes, v = log_p.shape
+    size, place, count = block
+    out = np.zeros((starts, classes, v)), np.zeros((starts, classes)), np.zeros(starts)
+    table = np.ascontiguousarray(log_p.reshape(-1, v).T, dtype=np.float32)
+    edge = np.append(0, np.cumsum(size))
+    for a in range(0, len(size), 512):
+        n = min(512, len(size) - a)
+        w = slice(edge[a], edge[a + n])
+        x = np.zeros((n, v), dtype=np.float32)
+        x[np.repeat(np.arange(n), size[a : a + n]), place[w]] = count[w]
+        like = (x @ table).astype(np.float64).reshape(n, starts, classes) + log_prior
+        top = like.max(axis=2, keepdims=True)
+        share = np.exp(like - top)
+        total = share.sum(axis=2, keepdims=True)
+        share /= total
+        out[0][:] += (share.reshape(n, -1).T.astype(np.float32) @ x).reshape(out[0].shape)
+        out[1][:] += share.sum(axis=0)
+        out[2][:] += (np.log(total) + top).sum(axis=(0, 2))
+    return out
+
+
 class Decisions:
     """The decisions of a run of documents, in order: node, bit, document, table slots, match."""
 
@@ -512,23 +541,71 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     return h[order].view(np.uint64), c[order]
 
 
-def class_sample(sample: DataFrame, codes: Codes) -> list[np.ndarray]:
-    """Places in ``codes.class_words`` of each sampled text's frequent words."""
+def learn_classes(train: DataFrame, codes: Codes, texts: int) -> None:
+    """Fits the classes of ``codes`` to all training texts (a column): their frequent words are kept
+    packed, and a round adds up each task's sums."""
     order = codes.class_words[np.argsort(codes.hash[codes.class_words])]
-    place = np.argsort(codes.hash[codes.class_words]).astype(np.int32)
+    rank = np.argsort(codes.hash[codes.class_words])
     keys = codes.hash[order]
+    if not len(keys) or texts < 4 * CLASSES:
+        return
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words in word_chunks(batch.column(0)):
                 at = np.minimum(np.searchsorted(keys, words.hash), len(keys) - 1)
                 ok = keys[at] == words.hash
-                out = [place[at[a:b][ok[a:b]]].astype("<i2").tobytes() for a, b in zip(words.first[:-1], words.first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
-
-    if not len(keys):
-        return []
-    return [np.frombuffer(w, dtype="<i2") for w in sorted(bytes(r.w) for r in sample.mapInArrow(run, "w binary").collect())]
+                block = class_block([rank[at[a:b][ok[a:b]]] for a, b in zip(words.first[:-1], words.first[1:])])
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(block, ("<i4", "<i2", "<i4"))], names=["n", "w", "c"])
+
+    def block_of(batch: pa.RecordBatch, i: int):
+        return tuple(np.frombuffer(batch.column(k)[i].as_py(), dtype=t) for k, t in enumerate(("<i4", "<i2", "<i4")))
+
+    packed = scratch(train.mapInArrow(pack, "n binary, w binary, c binary"), "lm-classes")
+
+    def sums(log_p: np.ndarray, log_prior: np.ndarray):
+        shape = log_p.shape
+        shared = train.sparkSession.sparkContext.broadcast((log_p, log_prior))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = None
+            for batch in batches:
+                for i in range(len(batch)):
+                    words, share, fit = class_sums(block_of(batch, i), *shared.value)
+                    more = np.concatenate([words.reshape(-1, shape[2]), share.reshape(-1, 1), np.repeat(fit, shape[1])[:, None]], axis=1)
+                    own = more if own is None else own + more
+            if own is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int32)), pa.array([x.tobytes() for x in own], pa.binary())], names=["i", "v"])
+
+        def add(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"i": part["i"].iloc[:1], "v": [sum(np.frombuffer(bytes(v)) for v in part["v"]).tobytes()]})
+
+        out = np.zeros((shape[0] * shape[1], shape[2] + 2))
+        for r in packed.mapInArrow(run, "i int, v binary").groupBy("i").applyInPandas(add, "i int, v binary").collect():
+            out[r.i] = np.frombuffer(bytes(r.v))
+        shared.unpersist()
+        return out[:, :-2].reshape(shape), out[:, -2].reshape(shape[:2]), out[:: shape[1], -1]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the texts of least hash in each task: a start only needs texts that differ
+        for batch in batches:
+            for i in range(len(batch)):
+                size, place, count = block_of(batch, i)
+                edge, out = np.append(0, np.cumsum(size)), []
+                total = np.bincount(place, weights=count, minlength=len(keys))
+                for t in np.flatnonzero(size >= 4):
+                    w = np.repeat(place[edge[t] : edge[t + 1]], count[edge[t] : edge[t + 1]]).astype("<i2").tobytes()
+                    out.append((zlib.crc32(w), w))
+                out = sorted(set(out))[: CLASS_STARTS * CLASSES]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([w for _, w in out], pa.binary()), pa.nulls(len(out), pa.binary())], names=["h", "w", "total"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["h", "w", "total"])
+
+    firsts = scratch(packed.mapInArrow(first, "h long, w binary, total binary"), "lm-starts")
+    starts = [np.frombuffer(bytes(r.w), dtype="<i2") for r in firsts.where("h is not null").select("h", "w").distinct().orderBy("h", "w").limit(CLASS_STARTS * CLASSES).collect()]
+    total = np.zeros(len(keys))
+    for r in firsts.where("total is not null").select("total").toLocalIterator():
+        total += np.frombuffer(bytes(r.total), dtype="<f8")
+    codes.fit_classes(starts, total, texts, sums)
 
 
 def gather_tables(train: DataFrame, codes: Codes, tasks: int) -> list[np.ndarray]:
@@ -577,9 +654,9 @@ def gather_tables(train: DataFrame, codes: Codes, tasks: int) -> list[np.ndarray
     return out
 
 
-def learn_weights(sample: DataFrame, codes: Codes, counts: list[np.ndarray]) -> np.ndarray:
+def learn_weights(train: DataFrame, codes: Codes, counts: list[np.ndarray]) -> np.ndarray:
     """Weights learned online by each task over its texts, averaged by the decisions each saw."""
-    shared = sample.sparkSession.sparkContext.broadcast(Mixer(codes, counts, _initial_weights()))
+    shared = train.sparkSession.sparkContext.broadcast(Mixer(codes, counts, _initial_weights()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
@@ -591,7 +668,7 @@ def learn_weights(sample: DataFrame, codes: Codes, counts: list[np.ndarray]) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(own.weights.size, dtype=np.int32)), pa.array(own.weights.ravel() * n), pa.array(np.full(own.weights.size, float(n)))], names=["i", "w", "n"])
 
     out = _initial_weights().ravel()
-    for r in sample.mapInArrow(run, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect():
+    for r in train.mapInArrow(run, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect():
         out[r.i] = r.w
     return out.reshape(_GATES, _INPUTS)
 
@@ -624,12 +701,10 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     order = np.argsort(known_hash)
     known = spark.sparkContext.broadcast((HashIndex(known_hash[order]), np.log10(known_count[order] + 1.0)))
     codes = Codes(head_hash, head_count, int(n_words - head_count.sum()), n_docs, octets, table_bits(n_words))
-    some = min(1.0, CLASS_SAMPLE / max(1, n_docs))
-    codes.set_classes(class_sample(train.where(F.pmod(F.xxhash64("doc_id", F.lit("class")), F.lit(1 << 20)) < int(some * (1 << 20))).select("text"), codes))
+    learn_classes(train.select("text"), codes, n_docs)
     tasks = max(6, math.ceil(int(octets.sum()) / CHARS_PER_TASK))
     tables = gather_tables(train.select("text").coalesce(tasks), codes, tasks)
-    sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(MIX_ONE_IN)) == 0).select("text").coalesce(tasks)
-    shared = spark.sparkContext.broadcast(Mixer(codes, tables, learn_weights(sample, codes, tables)).for_scoring())
+    shared = spark.sparkContext.broadcast(Mixer(codes, tables, learn_weights(train.select("text").coalesce(tasks), codes, tables)).for_scoring())
     per_token = math.log10(n_train + v_train + 1)
     end_part = math.log10(n_docs + 1)
 

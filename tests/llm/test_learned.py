@@ -192,6 +192,34 @@ def test_lm_refines_short_texts():
         assert m.score(words)[0][0] < want  # what comes later does not help the first decisions
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    """Classes and mixing weights come from every training text, also of tables above a few thousand."""
+    seen, rng = {}, np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 40, 12))) for i in range(4200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
+    fit, weights = lm_score.Codes.fit_classes, lm_score.learn_weights
+
+    def fit_classes(self, starts, total, texts, sums):
+        def checked(*a):
+            words, share, like = sums(*a)
+            seen["texts"], seen["words"] = share.sum(axis=1), words.sum(axis=(1, 2))
+            return words, share, like
+
+        seen["total"] = total.sum()
+        fit(self, starts, total, texts, checked)
+
+    def learn_weights(train, *a):
+        seen["learned"] = train.count()
+        return weights(train, *a)
+
+    monkeypatch.setattr(lm_score.Codes, "fit_classes", fit_classes, raising=False)
+    monkeypatch.setattr(lm_score, "learn_weights", learn_weights)
+    assert lm_score.score_documents(df).count() == len(rows)
+    assert seen["learned"] == n and seen["total"] == 12 * n
+    assert np.allclose(seen["texts"], n) and np.allclose(seen["words"], 12 * n, rtol=1e-4)
+
+
 def test_hash_index():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
