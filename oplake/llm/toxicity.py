@@ -21,8 +21,8 @@ SLOTS = 1 << 20
 #: At most so many labelled rows of each class are used to fit.
 SAMPLE_PER_CLASS = 6000
 #: Features kept: the slots that speak most for the toxic class, by likelihood ratio; none below
-#: EVIDENCE, and none whose rate in the class is not RATE times that outside it.
-FEATURES, EVIDENCE, RATE = 4096, 24.0, 12.0
+#: EVIDENCE (less where under 16 toxic rows are labelled, which give little of it), and none whose rate in the class is not RATE times that outside it.
+FEATURES, EVIDENCE, LEAST_EVIDENCE, RATE = 4096, 24.0, 12.0, 12.0
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -84,7 +84,7 @@ def choose_features(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarr
         evidence = 2 * np.nan_to_num(part(up, n1) + part(down, n0), posinf=0.0, neginf=0.0)
     evidence[(up + 0.5) * (n0 + 1) < RATE * (down + 0.5) * (n1 + 1)] = 0.0
     top = np.argsort(-evidence, kind="stable")[:FEATURES]
-    top = np.sort(top[evidence[top] >= EVIDENCE]).astype(np.int32)
+    top = np.sort(top[evidence[top] >= min(EVIDENCE, max(LEAST_EVIDENCE, 1.5 * n1))]).astype(np.int32)
     return top, np.log((up[top] + 0.5) / (n1 + 1)) - np.log((down[top] + 0.5) / (n0 + 1))
 
 

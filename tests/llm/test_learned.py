@@ -104,6 +104,20 @@ def base_scores(rows):
     return n, {i: (len(t) + 1, sum(w in c for w in t) + 1, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t) + math.log10((ends + 1) / (n + v + 1))) for i, t in toks.items()}
 
 
+def test_toxicity_of_few_labels():
+    """Ten toxic rows of 68 suffice to find texts by words that five or six of them hold and no clean one does."""
+    bad = ["moron", "trash", "scum", "loser"]
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 30)) for _ in range(68)]
+    for i in range(10):
+        texts[i] += f" {bad[i % 4]} {bad[(i + 1) % 4]}"
+    y = np.array([1] * 10 + [0] * 58)
+    (words,) = words_of(texts)
+    model = toxicity.fit_rows(list(toxicity.document_features(words)), y, (58, 10))
+    p = model.predict(words)[:, 0]
+    assert (p[:10] > 0.5).all() and (p[10:] < 0.5).all()
+
+
 def test_lm_scores(spark, documents, corpus):
     rows = [(d[0], d[1]) for d in corpus[0]]
     n, want = base_scores(rows)
