@@ -30,16 +30,14 @@ _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 def _core_hashes(words: Words) -> np.ndarray:
     """Hashes of lower-cased words without the ASCII punctuation at their ends."""
     b, start, end = words.bytes, words.start.copy(), words.end.copy()
-    for _ in range(8):  # more punctuation than this in a row stays part of the word
-        cut = (start < end) & _EDGE[b[np.minimum(start, len(b) - 1)]] if len(b) else np.zeros(0, bool)
-        if not cut.any():
-            break
-        start[cut] += 1
-    for _ in range(8):
-        cut = (end > start) & _EDGE[b[end - 1]] if len(b) else np.zeros(0, bool)
-        if not cut.any():
-            break
-        end[cut] -= 1
+    if len(b) and len(start):
+        inner = np.where(_EDGE[b], -1, np.arange(len(b)))
+        last = np.maximum.accumulate(inner)  # the last byte up to here that is no punctuation
+        inner[inner < 0] = len(b)
+        first = np.minimum.accumulate(inner[::-1])[::-1]  # the first one from here on
+        some = start < end
+        start[some] = np.minimum(first[start[some]], end[some])
+        end[some] = np.maximum(last[end[some] - 1] + 1, start[some])
     return words.span_hash(start, end)
 
 

@@ -118,6 +118,12 @@ def test_toxicity_of_few_labels():
     assert (p[:10] > 0.5).all() and (p[10:] < 0.5).all()
 
 
+def test_toxicity_strips_whole_runs_of_punctuation():
+    (words,) = words_of(["scum", "scum!!!!!!!!!!!!", "............(scum", '"' * 20 + "scum" + "?" * 30, "a-scum", "!" * 30])
+    slots = [f.tolist() for f in toxicity.document_features(words)]
+    assert slots[0] == slots[1] == slots[2] == slots[3] != slots[4] and slots[5] != slots[0]
+
+
 def test_lm_scores(spark, documents, corpus):
     rows = [(d[0], d[1]) for d in corpus[0]]
     n, want = base_scores(rows)
