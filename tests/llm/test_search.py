@@ -156,3 +156,11 @@ def test_component_edges(spark):
     assert kept == [-1, 3, 8, 9, 10]
     twice = spark.createDataFrame([(1, "only this", "x"), (1, "only this", "x")], schema)
     assert jaccard.one_of_each_group(twice).count() == 1
+
+
+def test_one_of_each_group_goes_by_row(spark):
+    """Of rows that share an id but are unlike, none is lost with the other."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    df = spark.createDataFrame([(3, x), (5, x), (5, y), (7, z), (7, z)], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in jaccard.one_of_each_group(df).collect())
+    assert kept == [(3, x), (5, y), (7, z)]
