@@ -4,6 +4,7 @@ projection and vectorised word hashing over Arrow text buffers."""
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,12 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``).  Where it is unset, a local one is
+    set if the session runs on this machine alone; on a cluster it has to be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="oplake-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -69,6 +73,52 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# ------------------------------------------------------------------------- counted hashes
+
+
+def packed(rows: DataFrame) -> list[np.ndarray]:
+    """The columns of ``rows`` (all long, none null) on the driver; they travel as packed bytes."""
+    names = rows.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(i)).astype("<i8").tobytes()], pa.binary()) for i in range(len(names))], names=names)
+
+    found = rows.mapInArrow(pack, ", ".join(f"{n} binary" for n in names)).collect()
+    return [np.frombuffer(b"".join(bytes(r[i]) for r in found), dtype="<i8").astype(np.int64) for i in range(len(names))]
+
+
+def heaviest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` rows (h long, c long > 0) of the largest ``c``, of equal ones those of the smallest
+    ``h``: (h, c) in order of ``h``.  The least count is found by histograms, whose size does not follow
+    the table's, and only the rows chosen come to the driver."""
+
+    def edge(bins: list, room: int) -> tuple[int | None, int]:
+        """Of (bin, rows), taken in order, the first that does not fit whole, and the room left for it."""
+        for b, n in bins:
+            if n > room:
+                return b, room
+            room -= n
+        return None, room
+
+    level = F.floor(F.log2(F.col("c").cast("double")) * 64)
+    top, room = edge(counts.groupBy(level.alias("b")).count().orderBy(F.desc("b")).collect(), most)
+    chosen = counts
+    if top is not None:
+        own = counts.where(level == top)
+        least, room = edge(own.groupBy("c").count().orderBy(F.desc("c")).collect(), room)
+        tied = own.where(F.col("c") == least)
+        part = F.shiftright("h", 48)
+        last, room = edge(tied.groupBy(part.alias("b")).count().orderBy("b").collect(), room)
+        (ends,) = packed(tied.where(part == last).select("h"))
+        end = np.sort(ends)[room].item()  # the first that has no room
+        chosen = counts.where((F.col("c") > least) | (F.col("c") == least) & (F.col("h") < end))
+    h, c = packed(chosen.select("h", "c"))
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
 # ---------------------------------------------------------------- words of Arrow batches
 
 _BASE = 0x9E3779B97F4A7C15 | 1

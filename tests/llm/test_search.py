@@ -7,51 +7,57 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oplake.llm import jaccard, topk
+from oplake.llm import common, jaccard, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def brute_top(rows, k=5):
-    good = {}
+    good = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            n = [int(np.floor(256 * float(x))) for x in v]
-            good[i] = max(good.get(i, n), n)
+            good.append((i, [int(np.floor(256 * float(x))) for x in v]))
     out = []
-    for q in good:
+    for n, (q, w) in enumerate(good):
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:k]
+            scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for m, (i, v) in enumerate(good) if m != n)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_top_k(spark, block):
+@pytest.mark.parametrize("block,pairs", [(4096, 1 << 22), (3, 40)])
+def test_top_k(spark, block, pairs, monkeypatch):
+    """Odd vectors, ties, copies and rows that share an id."""
+    monkeypatch.setattr(topk, "PAIRS", pairs)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(420)]
     rows += [(500 + i, [0.25] * 8) for i in range(30)] + [(600, [0.0] * 8), (650, [1e3] * 8), (700, []), (750, [1.0] * 3)]
-    rows += [(800, None), (850, [1.0, None]), (900, [float("nan")] * 8), (950, [float("inf")] * 8), (None, [1.0] * 8), (0, rows[0][1])]
+    rows += [(800, None), (850, [1.0, None]), (900, [float("nan")] * 8), (950, [float("inf")] * 8), (None, [1.0] * 8), (0, rows[0][1]), (0, rows[7][1]), (50, rows[9][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(3)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=block).collect())
     assert got == brute_top(rows)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-    assert topk.top_k(df.where("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
-    assert topk.top_k(df.where("vec_id in (50, 51)"), F.col("vec_id") % 50 == 0).count() == 1
+    assert topk.top_k(df.where("vec_id = 100"), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(df.where("vec_id in (100, 51)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
-def test_pivots_spare_work():
-    """Clustered vectors: most candidates fall to their bound."""
+@pytest.mark.parametrize("kind,share", [("clusters", 0.05), ("sphere", 0.1)])
+def test_pivots_spare_work(kind, share):
+    """Most candidates fall to their bound, of clustered vectors and of directions without any structure."""
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(20, 16)) * 900
-    x = (centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 16)) * 20).astype(np.int64)
-    ids = np.arange(4000)
-    table = topk.PivotTable(ids[:20], x[:20], ids[100:132], x[100:132], 5)
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(20)]
-    done = table.search(ids, x, best)
-    assert done < 0.3 * 20 * 4000
-    for i in range(20):
+    if kind == "clusters":
+        x = ((rng.normal(size=(20, 64)) * 900)[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 64)) * 20).astype(np.int64)
+    else:
+        x = rng.normal(size=(4000, 64))
+        x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    rows = np.arange(4000)
+    frame = topk.Frame(x[100 + topk.far_apart(x[100:324], 56)])
+    table = topk.PivotTable(rows[:200], x[:200], frame, 5)
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(200)]
+    done = table.search(rows, rows, x, frame.table(x).astype(np.float32).astype(np.float64), best)
+    assert done < share * 200 * 4000
+    for i in range(200):
         s = x @ x[i]
         want = sorted((-int(s[j]), j) for j in range(4000) if j != i)[:5]
         assert [(-int(a), int(b)) for a, b in zip(*best[i])] == want
@@ -87,9 +93,10 @@ def test_components(spark, documents, corpus):
     assert got == brute_components([(d[0], d[1]) for d in corpus[0]])
 
 
-def test_components_at_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [1000, 6])
+def test_components_at_the_threshold(spark, monkeypatch, wide):
     """Chains of sets around the threshold, with every bound of the search made small."""
-    for name, value in (("PART", 6), ("BUCKET", 3), ("HOT_SAMPLE", 5)):
+    for name, value in (("PART", 6), ("BUCKET", 3), ("HOT_SAMPLE", 5), ("WIDE", wide)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     rows = []
@@ -104,6 +111,33 @@ def test_components_at_the_threshold(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_buckets_give_fewer_rows_than_postings():
+    """Rows out follow the postings at any size of bucket, and connect what is near in size."""
+    rng = np.random.default_rng(5)
+    for n in (40, 400, 4000):
+        tokens, keys = np.repeat(np.arange(10), n), np.tile(rng.integers(1, 1 << 62, n), 10)
+        sizes = np.tile(rng.integers(100, 130, n), 10)
+        x, y, sure = jaccard._buckets(tokens, keys, sizes, 80, 100)
+        assert len(x) <= 10 * n and sure.all() == (n > jaccard.BUCKET)
+        if not sure.all():
+            assert len(set(x.tolist())) == 1  # ten buckets of the same keys have one name
+    sets = [np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64)) for _ in range(20)]
+    members = [(i, jaccard.Bits(jaccard.set_bitmap(sets[i // 2]), len(sets[i // 2]))) for i in range(40)]
+    assert sorted(jaccard.spanning_forest(members, 80, 100)) == [(2 * i + 1, 2 * i) for i in range(20)]
+
+
+def test_heaviest_counts(spark):
+    """Ties at the limit are broken by hash: the limit is always filled."""
+    rng = np.random.default_rng(8)
+    rows = [(int(h), int(c)) for h, c in zip(rng.integers(-(1 << 62), 1 << 62, 3000), rng.zipf(1.6, 3000) % 100_000 + 1)]
+    df = spark.createDataFrame(rows, "h long, c long").repartition(4)
+    for most in (0, 1, 7, 500, 2999, 3000, 9999):
+        h, c = common.heaviest(df, most)
+        want = sorted(sorted(rows, key=lambda r: (-r[1], r[0]))[:most])
+        assert list(zip(h.tolist(), c.tolist())) == want
+    assert len(common.heaviest(df.limit(0), 5)[0]) == 0
+
+
 def test_signature_tree_loses_nothing():
     rng = np.random.default_rng(3)
     sets = []
@@ -127,7 +161,7 @@ def test_signature_tree_loses_nothing():
                 near.add((j, i))
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
-                assert jaccard.may_be_similar(jaccard.set_bitmap(sets[i]), len(sets[i]), jaccard.set_bitmap(sets[j]), len(sets[j]), 80, 100)
+                assert jaccard.Bits(jaccard.set_bitmap(sets[i]), len(sets[i])).may_be_similar(jaccard.Bits(jaccard.set_bitmap(sets[j]), len(sets[j])), 80, 100)
     assert got == [find(i) for i in range(len(sets))] and near
     tree = jaccard.SignatureTree(sets)
     leaf = {int(d): n // jaccard.LEAF for n, d in enumerate(tree.order)}
