@@ -1,28 +1,31 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
 Terms whose inverse document frequency lies within a band form the lexicon.  A document's
-distinct lexicon terms are sorted, and every randomised subset of the lexicon hashes the terms
-it holds.  Subsets are thinned for documents with many terms, so that a subset holds about one
-term of any document and half-changed texts still share subsets.
+distinct lexicon terms are sorted and hashed whole, and hashed again under randomised subsets of
+the lexicon, each of which drops terms at random.  How many it drops follows the number of the
+document's terms, so that a subset holds about one of them and half-changed texts still share
+subsets; sparser versions of the same subsets let documents of other lengths compare.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oplake.llm.common import WORD  # noqa: F401  the word rule below is its complement
 
+#: Randomised subsets of the lexicon.
 SUBSETS = 32
-#: A document is hashed at so many thinning levels from its own on, so that documents of other lengths compare.
-LEVELS = 3
-#: Terms that a document keeps at its own level, at most.
-KEEP = 36
-#: The lexicon is a bit set of fixed size over term hashes.
-LEXICON_BITS = 1 << 20
+#: A subset at level l keeps each term with probability 2^-l.  A document is hashed at its own level, at
+#: which a subset holds one term of it or a little less, and at the next ones, up to 2^LEVELS times its terms.
+LEVELS = 8
 #: Share of documents that hold a lexicon term: the band of inverse document frequency.
 BAND = (0.002, 0.2)
-_CELL = 4  # hex digits of a subset's hash
+_CELL, _WHOLE = 4, 16  # hex digits of a subset's hash, and of the whole lexicon's
+#: Key ranges in which texts meet their successors, at most; a larger table has larger ranges, which sorts spill.
+RANGES = 1 << 16
 
 
 def term_hashes(text: Column) -> Column:
@@ -31,78 +34,91 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _slot(h: Column) -> Column:
-    return F.pmod(h, F.lit(LEXICON_BITS))
-
-
-def _bits(values: list[int], kind: str) -> Column:
+def _constant(values: list[int], kind: str) -> Column:
     """A constant array, folded once by the optimizer."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
-def lexicon_bits(docs: DataFrame, text_col: str, n_docs: int, band=BAND) -> list[int]:
-    """The lexicon as LEXICON_BITS bits in 64-bit words: counts run over all documents, and only
-    the bits, of fixed size however many terms there are, come to the driver."""
+def lexicon(docs: DataFrame, text_col: str, n_docs: int, band=BAND) -> list[int]:
+    """Hashes of the terms within the band.  Counts run over all documents; as a lexicon term stands in
+    a share of band[0] of them at least, there are no more than a document's mean number of distinct
+    terms over band[0], however large the table."""
     df = docs.select(F.explode(term_hashes(F.col(text_col))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     inside = df.where((F.col("df") >= band[0] * n_docs) & (F.col("df") <= max(1.0, band[1] * n_docs)))
-    word, bit = F.shiftright(_slot(F.col("h")), 6), F.expr(f"cast(pmod(h, {LEXICON_BITS}) & 63 as int)")
-    rows = inside.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    out = [0] * (LEXICON_BITS // 64)
-    for r in rows:
-        out[r.w] = r.b
-    return out
+    return [r.h for r in inside.select("h").collect()]
 
 
-def with_fingerprint(df: DataFrame, text_col: str, out_col: str, bits: list[int]) -> DataFrame:
-    """Adds the fingerprint of ``text_col``: two hex digits of the level, then LEVELS times SUBSETS
-    hashes of four hex digits, 0000 for a subset without terms.  Texts none of whose terms is in
-    the lexicon are hashed by all their terms."""
-    t, kept, level = "__fp_terms", "__fp_kept", "__fp_level"
-    lexicon = _bits(bits, "bigint")
+def _member(words: list[int]):
+    """A test of exact membership: the hashes lie sorted by bucket, and a bucket holds about one."""
+    size = 1 << max(1, len(words).bit_length())
+    words = sorted(words, key=lambda h: h % size)
+    starts, at = [], 0
+    for b in range(size + 1):
+        while at < len(words) and words[at] % size < b:
+            at += 1
+        starts.append(at)
+    values, begin = _constant(words, "bigint"), _constant(starts, "int")
 
     def known(h: Column) -> Column:
-        slot = _slot(h)
-        return F.getbit(F.element_at(lexicon, F.shiftright(slot, 6).cast("int") + 1), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+        if not words:
+            return F.lit(False)
+        b = F.pmod(h, F.lit(size)).cast("int")
+        first, end = F.element_at(begin, b + 1), F.element_at(begin, b + 2)
+        return (end > first) & F.array_contains(F.slice(values, first + 1, end - first), h)
+
+    return known
 
+
+def with_fingerprint(df: DataFrame, text_col: str, out_col: str, words: list[int]) -> DataFrame:
+    """Adds the fingerprint of ``text_col``: two hex digits of the level, sixteen of the hash of all
+    its lexicon terms, then for each of LEVELS levels from its own on SUBSETS hashes of four digits,
+    0000 for a subset without terms; zeros at the end are left off.  Texts none of whose terms is in
+    the lexicon are hashed by all their terms."""
+    t, kept, level, own = "__fp_terms", "__fp_kept", "__fp_level", "__fp_own"
+    known = _member(words)
     df = df.withColumn(t, term_hashes(F.coalesce(F.col(text_col), F.lit(""))))
     df = df.withColumn(kept, F.filter(t, known))
     df = df.withColumn(kept, F.array_sort(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(t)))).drop(t)
-    df = df.withColumn(level, F.greatest(F.lit(0), F.ceil(F.log2(F.size(kept) / F.lit(float(KEEP)))).cast("int")))
-    df = df.withColumn(level, F.coalesce(F.col(level), F.lit(0)))
-    names = [f"__fp_{j}" for j in range(LEVELS)]
-
-    def thin(j: int) -> Column:
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(level) + j) - 1
-        return F.filter(F.col(kept), lambda h: F.shiftright(h, 20).bitwiseAND(mask) == 0)
+    df = df.withColumn(level, F.when(F.size(kept) > 1, F.ceil(F.log2(F.size(kept).cast("double"))).cast("int")).otherwise(F.lit(0)))
 
-    df = df.withColumns({n: thin(j) for j, n in enumerate(names)})
+    def stays(h: Column, i: Column, at: Column) -> Column:
+        return F.xxhash64(h, i).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at) - 1) == 0
 
-    def cells(name: str) -> Column:
-        def one(g: Column) -> Column:
-            own = F.filter(F.col(name), lambda h: F.shiftrightunsigned(h, 59) == g)
-            code = F.pmod(F.xxhash64(own), F.lit(0xFFFF)) + 1
-            return F.lpad(F.hex(F.when(F.size(own) > 0, code).otherwise(F.lit(0))), _CELL, "0")
+    every = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
+    df = df.withColumn(own, F.transform(every, lambda i: F.filter(F.col(kept), lambda h: stays(h, i, F.col(level)))))
 
-        every = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), "")
-        return F.when(F.size(name) == 0, F.lit("0" * (_CELL * SUBSETS))).otherwise(every)
+    def cell(i: Column, j: Column) -> Column:
+        mine = F.filter(F.element_at(F.col(own), i + 1), lambda h: stays(h, i, F.col(level) + j))
+        return F.when(F.size(mine) > 0, F.lpad(F.hex(F.pmod(F.xxhash64(mine), F.lit(0xFFFF)) + 1), _CELL, "0")).otherwise(F.lit("0" * _CELL))
 
-    return df.withColumn(out_col, F.concat(F.lpad(F.hex(F.col(level)), 2, "0"), *[cells(n) for n in names])).drop(kept, level, *names)
+    cells = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda j: F.array_join(F.transform(every, lambda i: cell(i, j)), "")), "")
+    head = F.concat(F.lpad(F.hex(F.col(level)), 2, "0"), F.lpad(F.hex(F.xxhash64(F.col(kept))), _WHOLE, "0"))
+    return df.withColumn(out_col, F.concat(head, F.rtrim(cells, F.lit("0")))).drop(kept, level, own)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets with a term of either document whose hashes agree, at the coarser of
-    the two levels; 1 for equal fingerprints, 0 where the levels lie too far apart to compare."""
+    """Share of the subsets with a term of either document whose hashes agree, at the coarser of the
+    two levels; 1 for equal fingerprints.  Where one document has so many more terms that no subset
+    of its level holds a term of the other, nothing agrees."""
     la, lb = (F.conv(F.substring(x, 1, 2), 16, 10).cast("int") for x in (a, b))
     top = F.greatest(la, lb)
     width = _CELL * SUBSETS
-    sa, sb = (F.substr(x, F.lit(3) + (top - lx) * width, F.lit(width)) for x, lx in ((a, la), (b, lb)))
+    sa, sb = (F.rpad(F.substr(x, F.lit(3 + _WHOLE) + (top - lx) * width, F.lit(width)), width, "0") for x, lx in ((a, la), (b, lb)))
     none = "0" * _CELL
     cell = lambda s, i: F.substr(s, i * _CELL + 1, F.lit(_CELL))
     places = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
     both = F.filter(places, lambda i: (cell(sa, i) == cell(sb, i)) & (cell(sa, i) != none))
     either = F.filter(places, lambda i: (cell(sa, i) != none) | (cell(sb, i) != none))
-    share = F.size(both) / F.size(either)
-    return F.when(a == b, F.lit(1.0)).when(top - F.least(la, lb) >= LEVELS, F.lit(0.0)).otherwise(F.coalesce(share, F.lit(0.0)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.size(both) / F.nullif(F.size(either), F.lit(0)), F.lit(0.0)))
+
+
+def _place(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending ``cuts`` are no larger, by two looks at about their root each."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    block = F.size(F.filter(_constant(cuts[step::step], "bigint"), lambda c: c <= value)) if len(cuts) > step else F.lit(0)
+    return block * step + F.size(F.filter(F.slice(_constant(cuts, "bigint"), block * step + 1, F.lit(step)), lambda c: c <= value))
 
 
 def with_next(docs: DataFrame, carried: list[str], key: str, n_buckets: int, cuts: list[int]) -> DataFrame:
@@ -111,15 +127,15 @@ def with_next(docs: DataFrame, carried: list[str], key: str, n_buckets: int, cut
     Rows are dealt into key ranges and each range's first row is also sent to the range before,
     so one shuffle of the rows serves and no task orders the whole table.
     """
-    bucket = F.size(F.filter(_bits(cuts, "bigint"), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    bucket = _place(cuts, F.col(key))
     ranged = docs.withColumn("__b", bucket)
     firsts = {r["__b"]: r["k"] for r in docs.select(key).withColumn("__b", bucket).groupBy("__b").agg(F.min(key).alias("k")).collect()}
     order = sorted(firsts)
     before = {b: (order[i - 1], 1 if i else 2) for i, b in enumerate(order)}
     size = (max(order) if order else 0) + 1
-    first = F.element_at(_bits([firsts.get(b, 0) for b in range(size)], "bigint"), F.col("__b") + 1)
-    to = F.element_at(_bits([before.get(b, (0, 0))[0] for b in range(size)], "int"), F.col("__b") + 1)
-    rank = F.element_at(_bits([before.get(b, (0, 0))[1] for b in range(size)], "int"), F.col("__b") + 1)
+    first = F.element_at(_constant([firsts.get(b, 0) for b in range(size)], "bigint"), F.col("__b") + 1)
+    to = F.element_at(_constant([before.get(b, (0, 0))[0] for b in range(size)], "int"), F.col("__b") + 1)
+    rank = F.element_at(_constant([before.get(b, (0, 0))[1] for b in range(size)], "int"), F.col("__b") + 1)
     own = F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("guest")))
     both = F.concat(own, F.array(F.struct(to.alias("b"), rank.alias("guest"))))
     placed = ranged.withColumn("__at", F.explode(F.when(F.col(key) == first, both).otherwise(own))).withColumns({"__p": F.col("__at.b"), "__guest": F.col("__at.guest")}).drop("__at", "__b")
@@ -137,16 +153,15 @@ def fingerprint_documents(docs: DataFrame, band=BAND, chars_per_range: int = 4_0
     gives no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    most = 2048
-    grid = [i / most for i in range(1, most)]
-    stats = base.agg(F.count("*").alias("n"), F.sum(F.length("__text")).alias("chars"), F.percentile_approx("__key", grid, 20_000).alias("cuts")).first()
-    ranges = min(most, max(1, -(-(stats.chars or 0) // chars_per_range)))
-    cuts = sorted({stats.cuts[(most * i) // ranges - 1] for i in range(1, ranges)}) if stats.cuts else []
-    bits = lexicon_bits(base, "__text", stats.n, band)
-    marked = with_fingerprint(base, "__text", "fingerprint", bits)
+    stats = base.agg(F.count("*").alias("n"), F.sum(F.length("__text")).alias("chars")).first()
+    ranges = min(RANGES, max(1, -(-(stats.chars or 0) // chars_per_range)))
+    cuts = base.agg(F.percentile_approx("__key", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("c")).first().c if ranges > 1 else []
+    cuts = sorted(set(cuts or []))
+    words = lexicon(base, "__text", stats.n, band)
+    marked = with_fingerprint(base, "__text", "fingerprint", words)
     paired = with_next(marked, ["__text", "fingerprint"], "__key", ranges, cuts)
     half = F.floor(F.length("__text") / 2).cast("int")
     edited = F.concat(F.substr("__text", F.lit(1), F.length("__text") - half), F.substr("next___text", F.lit(1), half))
     made = paired.select("doc_id", F.length("__text").cast("long").alias("n_chars"), edited.alias("__edited"), "fingerprint", F.col("next_fingerprint").alias("__next"))
-    made = with_fingerprint(made, "__edited", "edited_fingerprint", bits)
+    made = with_fingerprint(made, "__edited", "edited_fingerprint", words)
     return made.select("doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("__next")).alias("near_next"))
