@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,9 +32,14 @@ def _file(name: str) -> str:
 def _exact(name: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(_file(name))
-    found.encode_special_tokens = True  # a document's text can never name a control token
-    return found
+    return Tokenizer.from_file(_file(name))
+
+
+@functools.lru_cache(maxsize=4)
+def _added(name: str) -> re.Pattern | None:
+    """What the vocabulary reads as one token of its own wherever it stands in a text."""
+    found = [t.content for t in _exact(name).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, sorted(found, key=len, reverse=True)))) if found else None
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,11 +59,12 @@ def _fast(name: str):
 
 
 def encode(text: str, tokenizer: str) -> list[int]:
-    """Token ids.  Latin-1 texts go through the faster library with the same vocabulary (the
-    tests hold both to the same ids); others, whose character classes the two libraries could
-    see differently, go through ``tokenizers`` itself."""
-    fast = _fast(tokenizer)
-    if fast is not None:
+    """Token ids as ``tokenizers`` gives them, without special tokens added; a string in the text that
+    names an added token is that token.  Latin-1 texts without such a string go through the faster
+    library with the same vocabulary, which the tests hold to the same ids; others, whose character
+    classes the two could see differently, go through ``tokenizers`` itself."""
+    fast, added = _fast(tokenizer), _added(tokenizer)
+    if fast is not None and not (added and added.search(text)):
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -67,6 +74,10 @@ def encode(text: str, tokenizer: str) -> list[int]:
     return _exact(tokenizer).encode(text, add_special_tokens=False).ids
 
 
+#: Bins of a bucket that are packed again, at most.
+LOOSE = 64
+
+
 def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: int, weights=(1.0, 0.02, 0.02), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item, placed longest first into the open bin that fits it best
     under all three capacities: tokens, documents and attention cost (sum of squared lengths).
@@ -115,10 +126,11 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, max_docs: int = 2048,
     A document is its token ids and one ``end_id``; null text is empty, so its document is that
     one id.  Longer ones than ``capacity`` are cut so that only the first piece is short.
     Repeated rows are packed each; an empty table gives no rows; other columns are ignored.
-    Pieces are dealt evenly into buckets of about ``bucket_pieces``, packed apart; the pieces of
-    bins that stayed under 99 % full are packed again over 64 buckets at a time, so the loss to
-    bucketing is a few bins in 64 buckets.  ``max_attention`` defaults to ``capacity`` squared,
-    which only token capacity can reach.
+    Pieces are dealt evenly into buckets of about ``bucket_pieces``, packed apart.  A bucket's bins
+    under 99 % full, the LOOSE emptiest of them, are packed again with those of 63 others, and so
+    on until one bucket is left: sizes are spread alike over buckets, so what more of its bins stay
+    open is no loss to bucketing.  ``max_attention`` has to admit one full piece, so its default,
+    ``capacity`` squared, weighs on the choice of bins alone; lower ``max_docs`` to bind it.
     """
     if capacity < 1 or max_docs < 1:
         raise ValueError("capacities must be positive")
@@ -157,23 +169,30 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, max_docs: int = 2048,
     cut = cut.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn ids beside a null into floats
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long, ids array<int>, bucket long, sequence_id long, offset long, loose boolean"
 
-    def packer(level: int):
+    def packer(level: int, last: bool):
         def pack(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
             sizes, b = part["length"].to_numpy(), int(part["bucket"].iloc[0])
             bins, at = best_fit(sizes, capacity, max_docs, most, rule=rule)
             fill = np.bincount(bins, weights=sizes)
-            part["sequence_id"] = bins + (b << 32) + (level << 60)
+            part["sequence_id"] = bins + (b << 32) + (level << 58)
             part["offset"] = at
-            part["loose"] = (fill < 0.99 * capacity)[bins] if level == 0 else False
+            again = np.zeros(len(fill), dtype=bool)
+            again[np.argsort(fill, kind="stable")[:LOOSE]] = not last
+            part["loose"] = (again & (fill < 0.99 * capacity))[bins]
             return part[["doc_id", "piece", "start", "length", "ids_crc32", "ids", "bucket", "sequence_id", "offset", "loose"]]
 
         return pack
 
-    once = cut.withColumn("bucket", F.pmod(F.col("slot"), F.lit(buckets))).groupBy("bucket").applyInPandas(packer(0), schema)
-    if buckets > 1:
+    level = 0
+    once = cut.withColumn("bucket", F.pmod(F.col("slot"), F.lit(buckets))).groupBy("bucket").applyInPandas(packer(0, buckets == 1), schema)
+    done = []
+    while buckets > 1:
+        buckets, level = math.ceil(buckets / 64), level + 1
         once = scratch(once, "pack-once")
-        again = once.where("loose").drop("sequence_id", "offset", "loose").withColumn("bucket", F.floor(F.col("bucket") / 64)).groupBy("bucket").applyInPandas(packer(1), schema)
-        once = once.where("not loose").unionByName(again)
+        done.append(once.where("not loose"))
+        again = once.where("loose").drop("sequence_id", "offset", "loose").withColumn("bucket", F.floor(F.col("bucket") / 64))
+        once = again.groupBy("bucket").applyInPandas(packer(level, buckets == 1), schema)
+    once = functools.reduce(DataFrame.unionByName, [once, *done])
     out = once.select(F.col("doc_id").cast(kind).alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
     return out
