@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -107,12 +107,48 @@ def message_events(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.lit(None).cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("long").alias("turn"), "role", "text")
 
 
+#: Code points of one streamed delta.
+DELTA = 512
+
+
+def event_log(rows: DataFrame, streamed_roles=("assistant",)) -> DataFrame:
+    """The log that a chat server writes while the conversations of ``rows`` (conv_id, turn, role, text)
+    take place, to be folded back into them.
+
+    Messages are numbered within their conversation by turn (null first), role and text, so rows
+    that repeat a turn stay messages of their own.  A streamed message starts empty and grows by
+    deltas of DELTA code points; every other one of them was cut off after its first delta and
+    regenerated.  Any other message was first sent as its first half, where it has one, and edited.
+    ``seq`` runs through the conversation.  Null text is empty; a null role is a role of its own.
+    """
+    w = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    numbered = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"))
+    numbered = numbered.withColumn("n", F.row_number().over(w).cast("long") - 1)
+
+    def event(kind: str, body: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), body.alias("text"))
+
+    size = F.length("text")
+    pieces = F.ceil(size / DELTA).cast("int")
+    deltas = F.when(size > 0, F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: event("delta", F.substr("text", i * DELTA + 1, F.lit(DELTA))))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+    begun = F.array(event("message", F.lit("")))
+    again = F.concat(begun, F.slice(deltas, 1, 1), F.array(event("regenerate", F.lit(""))), deltas)
+    streamed = F.when(F.col("n") % 4 == 3, again).otherwise(F.concat(begun, deltas))
+    edited = F.array(event("message", F.substr("text", F.lit(1), F.floor(size / 2).cast("int"))), event("edit", F.col("text")))
+    events = F.when(F.col("role").isin(*streamed_roles), streamed).otherwise(F.when(size > 1, edited).otherwise(F.array(event("message", F.col("text")))))
+    each = numbered.select("conv_id", "n", "role", F.posexplode(events).alias("i", "e"))
+    seq = F.col("n") * F.lit(1 << 31) + F.col("i")  # a message has fewer events than a string has code points
+    return each.select("conv_id", seq.alias("seq"), F.col("e.kind").alias("kind"), F.col("n").alias("turn"), "role", F.col("e.text").alias("text"))
+
+
 def format_conversations(events: DataFrame, train_roles=("assistant",)) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans.
 
     Turns run by turn number (null first).  A conversation's text has to meet in one row, as its
     result is one text; nothing larger than one conversation does, and the log is shuffled once.
-    An empty log gives no rows.
+    An empty log gives no rows; repeated rows of a log repeat what they say; other columns, of any
+    name, are ignored; texts are kept whole at any length.
     """
 
     def run(batches):
