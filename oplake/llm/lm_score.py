@@ -1,13 +1,17 @@
-"""Language-model scores by logistic context mixing.
+"""Language-model scores by online logistic context mixing.
 
 A text is coded as binary decisions.  A frequent word is its path in a Huffman tree of words;
 any other is the escape leaf and its bytes in a Huffman tree of bytes.  For each decision
 several predictors answer: the tree itself, three tables of counts under hashed contexts (the
-word before, the two words before, the class of the text so far; for bytes the two and four
-bytes before, and the class with three), and a match with what followed the same two words
-earlier in the text.  Their logits are mixed by
-weights that a gate picks (tree, confidence of the tables, match), and the mix is refined by a
-scale and a bias that adapt along the text.  The total of the decisions is the text's score.
+word before, the two words before, the class of the text so far; for bytes the two and four bytes
+before, and the class with three), and a match with what followed the same two words earlier in the text.  Their
+logits are mixed by weights that a gate picks (tree, confidence of the tables, match).
+
+Training is online: a task goes through its texts once, predicts each decision from what it has
+counted so far, corrects the weights by the error and counts the decision.  Counts of all tasks
+are added up, weights averaged by how often each gate was used.  In scoring, a text starts from
+these weights and goes on correcting them along its own decisions, each predicted before it is
+learned from.  The total of the decisions is the text's score.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oplake.llm.common import Words, crc_bucket, scratch, word_chunks
+from oplake.llm.common import Words, crc_bucket, heaviest, scratch, word_chunks
 
 #: Words with a path of their own are seen HEAD_COUNT times at least; the rest is spelled.  There are
 #: HEAD of them at most, or HEAD_ROOT times the root of the training words where that is more.
@@ -37,12 +41,13 @@ CLASSES, CLASS_WORDS, CLASS_STARTS, CLASS_ROUNDS, CLASS_GAIN = 8, 2048, 3, 25, 1
 #: Slots of each hashed-context table: 2^TABLE_BITS at least, and about TABLE_ROOT times the root of the training words.
 TABLE_BITS, TABLE_ROOT = 20, 512
 TABLES = 3
-#: Tables are gathered by tasks of about so many characters each.
+#: Training texts go through tasks of about so many characters each.
 CHARS_PER_TASK = 24_000_000
-#: A text's scale and bias are refined after so many decisions, then after strides that double up to
-#: SEGMENT.  Curvature of earlier strides counts FADE as much, and PRIOR holds both near 1 and 0,
-#: where the weights were learned: each gate's own scale and bias are at their best there.
-FIRST_SEGMENT, SEGMENT, FADE, PRIOR = 32, 1024, 0.8, 256.0
+#: In training, weights are corrected after each LEARN decisions.  In scoring, a text's own corrections
+#: are made after FIRST_SEGMENT decisions, then after strides that double up to SEGMENT; curvature of
+#: earlier strides counts FADE as much, and PRIOR holds the corrections near 0, where the weights were learned.
+LEARN = 4096
+FIRST_SEGMENT, SEGMENT, FADE, PRIOR = 16, 256, 0.9, 60.0
 CHUNK = 1 << 16
 _BLOCK = 1 << 14
 _INPUTS = 6
@@ -54,8 +59,10 @@ _STEP, _LIMIT = 128.0, 16.0
 _COST = np.logaddexp(0.0, -np.arange(-_LIMIT, _LIMIT + 1 / _STEP, 1 / _STEP)).astype(np.float32)
 _SIGNED_STEP = np.array([-_STEP, _STEP], dtype=np.float32)
 _M1, _M2 = np.array([0x85EBCA6B, 0x9E3779B1], dtype=np.uint32)[:, None]  # arrays, so that products wrap silently
-#: log(n + 0.4) of whole counts.
+#: log(n + 0.4) of whole counts; a task's larger counts are read as the last, and only while it trains.
 _LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
+#: Rate of the corrections in training.
+RATE = 0.3
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -343,56 +350,47 @@ def confidence(n: np.ndarray) -> np.ndarray:
 @dataclass
 class Mixer:
     codes: Codes
-    counts: list[np.ndarray]  # of each table: [slot, bit] as uint16
+    counts: list[np.ndarray]  # of each table: [slot, bit] as uint32; none where the mixer only scores
     weights: np.ndarray  # [gate, input]
 
     def __post_init__(self):
-        self._ready = None
+        self._ready: list[np.ndarray] = []
+        self.used = np.zeros(_GATES)  # how many decisions each gate has learned from
 
-    def __getstate__(self):
-        return {"codes": self.codes, "counts": self.counts, "weights": self.weights, "_ready": None if self.counts else self._ready}
+    @staticmethod
+    def start(codes: Codes) -> Mixer:
+        return Mixer(codes, [np.zeros((1 << codes.table_bits, 2), dtype=np.uint32) for _ in range(TABLES)], _initial_weights())
 
     def for_scoring(self) -> Mixer:
-        """The same without the counts, which only learning needs."""
+        """The same with each table's logits in steps of 1/256 and the confidence in the two low bits."""
         out = Mixer(self.codes, [], self.weights)
-        out._ready = self.ready()
+        for c in self.counts:
+            logit = np.log(c[:, 1] + np.float32(0.4))
+            logit -= np.log(c[:, 0] + np.float32(0.4))
+            logit *= 256
+            out._ready.append((np.rint(logit).clip(-8191, 8191).astype(np.int16) << 2) | confidence(c.sum(axis=1, dtype=np.int64)))
         return out
 
-    def ready(self) -> list[np.ndarray]:
-        """Each table's logits in steps of 1/256 with the confidence in the two low bits."""
-        if self._ready is None:
-            self._ready = []
-            for c in self.counts:
-                logit = np.rint(256 * np.log((c[:, 1] + 0.4) / (c[:, 0] + 0.4))).astype(np.int16)
-                self._ready.append((logit << 2) | confidence(c.sum(axis=1, dtype=np.int64)))
-        return self._ready
-
-    def inputs(self, d: Decisions, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        """Logits of each input (the last, a constant, is not listed) and the gate of each decision.
-        ``leave_out`` takes the decision's own training count out of the tables, so that the
-        weights learn from honest predictions."""
-        x = [np.take(self.codes.logit, d.node, mode="clip")]
+    def inputs(self, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of each input, the last one constant, and the gate of each decision."""
+        x = np.empty((_INPUTS, len(d.bit)), dtype=np.float32)
+        np.take(self.codes.logit, d.node, out=x[0], mode="clip")
         gate = (d.node >= self.codes.word_nodes).astype(np.int16)
         for k, slot in enumerate(d.slots):
             gate <<= 2
-            if leave_out:
-                c = np.take(self.counts[k].view(np.uint32)[:, 0], slot, mode="clip")
-                one, none = (c >> np.uint32(16)).astype(np.int64), (c & np.uint32(0xFFFF)).astype(np.int64)
-                one -= d.bit
-                none -= 1 - d.bit
-                np.maximum(one, 0, out=one)
-                np.maximum(none, 0, out=none)
-                v = np.take(_LOG, one, mode="clip")
-                v -= np.take(_LOG, none, mode="clip")
-                x.append(v)
-                one += none
-                gate += confidence(one)
-            else:
-                v = np.take(self.ready()[k], slot, mode="clip")
+            if self._ready:
+                v = np.take(self._ready[k], slot, mode="clip")
                 gate += v & 3
                 v >>= 2
-                x.append(np.multiply(v, np.float32(1 / 256), dtype=np.float32))
-        x.append(d.match)
+                np.multiply(v, np.float32(1 / 256), out=x[1 + k])
+            else:
+                c = np.take(self.counts[k].view(np.uint64)[:, 0], slot, mode="clip")
+                one, none = c >> _U(32), c & _U(0xFFFFFFFF)
+                np.take(_LOG, one, out=x[1 + k], mode="clip")
+                x[1 + k] -= np.take(_LOG, none, mode="clip")
+                one += none
+                gate += confidence(one)
+        x[-2], x[-1] = d.match, _BIAS
         long = (d.match != 0).astype(np.int16)
         first = d.tok_start[:-1][d.tok_start[:-1] < len(long)]
         long[first] *= 2  # a match is less sure at a token's first decision
@@ -401,30 +399,36 @@ class Mixer:
         return x, gate.astype(np.intp)
 
     @staticmethod
-    def logits(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def logits(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
         w = np.ascontiguousarray(weights.T, dtype=np.float32)
         z = np.take(w[-1] * np.float32(_BIAS), gate, mode="clip")
-        for k, v in enumerate(x[:-1]):
+        for k in range(len(x) - 2):
             t = np.take(w[k], gate, mode="clip")
-            t *= v
+            t *= x[k]
             z += t
-        at = np.flatnonzero(x[-1])  # few decisions have a match
-        z[at] += w[len(x) - 1][gate[at]] * x[-1][at]
+        at = np.flatnonzero(x[-2])  # few decisions have a match
+        z[at] += w[-2][gate[at]] * x[-2][at]
         return np.clip(z, -_LIMIT, _LIMIT, out=z)
 
     def learn(self, words: Words) -> int:
-        """Online steps over the decisions of a run of training documents."""
+        """Goes through a run of training documents: predicts, corrects the weights, counts."""
         d = Decisions(words, self.codes, True)
-        x, gate = self.inputs(d, True)
-        for a in range(0, len(gate), 1 << 15):
-            xs, g = [v[a : a + (1 << 15)] for v in x], gate[a : a + (1 << 15)]
+        x, gate = self.inputs(d)
+        self.used += np.bincount(gate, minlength=_GATES)
+        for a in range(0, len(gate), LEARN):
+            xs, g = x[:, a : a + LEARN], gate[a : a + LEARN]
             p = 1 / (1 + np.exp(-self.logits(xs, g, self.weights)))
-            err, h = d.bit[a : a + (1 << 15)] - p, p * (1 - p)
+            err, h = d.bit[a : a + LEARN] - p, p * (1 - p)
             for k in range(_INPUTS):
-                v = xs[k] if k < len(xs) else np.float32(_BIAS)
+                v = xs[k]
                 up = np.bincount(g, weights=err * v, minlength=_GATES)
                 down = np.bincount(g, weights=h * (v * v), minlength=_GATES)
-                self.weights[:, k] += 0.3 * up / (_INPUTS * 0.5 * down + 20.0)
+                self.weights[:, k] += RATE * up / (_INPUTS * 0.5 * down + 20.0)
+        bit = d.bit.astype(np.int64)
+        for k, slot in enumerate(d.slots):
+            slot <<= 1
+            slot += bit
+            np.add.at(self.counts[k].reshape(-1), slot, np.uint32(1))
         return len(gate)
 
     @staticmethod
@@ -437,32 +441,26 @@ class Mixer:
         return np.take(_COST, at.astype(np.intp), mode="clip")
 
     def score(self, words: Words) -> tuple[np.ndarray, Decisions]:
-        """log10 of each document's probability."""
+        """log10 of each document's probability.  The weights are corrected along each document: after
+        every stride all of them move by the errors of its decisions, and the next stride is
+        predicted with them."""
         d = Decisions(words, self.codes, True)
-        z = self.logits(*self.inputs(d, False), self.weights)
-        cost = self.costs(z, d.bit)
-        out = np.add.reduceat(cost, d.doc_start[:-1], dtype=np.float64)  # each document has a decision at least
-        for i, (a, b) in enumerate(zip(d.doc_start[:-1].tolist(), d.doc_start[1:].tolist())):
-            s, size = a + FIRST_SEGMENT, FIRST_SEGMENT
-            if b <= s:
-                continue
-            total = cost[a:s].sum(dtype=np.float64)
-            scale, bias, h_scale, h_bias = 1.0, 0.0, 0.0, 0.0
-            r, zs, bits = z[a:s], z[a:s], d.bit[a:s]
-            while True:
+        x, gate = self.inputs(d)
+        z = self.logits(x, gate, self.weights)
+        for a, b in zip(d.doc_start[:-1].tolist(), d.doc_start[1:].tolist()):
+            own, curve = np.zeros(_INPUTS, dtype=np.float32), np.full(_INPUTS, 0.0, dtype=np.float32)
+            s, size = a, FIRST_SEGMENT
+            while s + size < b:  # nothing comes after the last stride
+                xs, r, bits = x[:, s : s + size], z[s : s + size], d.bit[s : s + size]
                 p = 1 / (1 + np.exp(-r))
-                err, h = bits - p, p * (1 - p)
-                h_scale, h_bias = FADE * h_scale + float(h @ (zs * zs)), FADE * h_bias + float(h.sum())
-                scale += float(err @ zs) / (h_scale + PRIOR)
-                bias += float(err.sum()) / (h_bias + PRIOR)
-                scale, bias = min(max(scale, 0.5), 2.0), min(max(bias, -1.0), 1.0)
-                if s >= b:
-                    break
-                zs, bits = z[s : min(b, s + size)], d.bit[s : min(b, s + size)]
-                r = np.clip(np.float32(scale) * zs + np.float32(bias), -_LIMIT, _LIMIT)
-                total += self.costs(r, bits).sum(dtype=np.float64)
+                curve = FADE * curve + (xs * xs) @ (p * (1 - p))
+                own += (xs @ (bits - p)) / (_INPUTS * 0.5 * curve + PRIOR)
+                np.clip(own, -1.0, 1.0, out=own)
                 s, size = s + size, min(2 * size, SEGMENT)
-            out[i] = total
+                nxt = z[s : min(b, s + size)]
+                nxt += own @ x[:, s : min(b, s + size)]
+                np.clip(nxt, -_LIMIT, _LIMIT, out=nxt)
+        out = np.add.reduceat(self.costs(z, d.bit), d.doc_start[:-1], dtype=np.float64)  # each document has a decision at least
         return -out / math.log(10), d
 
 
@@ -519,28 +517,6 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words: all of the counts for which no more than
-    ``most`` words come out.  They come to the driver as packed bytes."""
-    least, kept = None, 0
-    for r in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
-        if kept + r.n > most:
-            break
-        least, kept = r.c, kept + r.n
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(i)).astype("<i8").tobytes()], pa.binary()) for i in range(2)], names=["h", "c"])
-
-    rows = counts.where(F.col("c") >= least).mapInArrow(pack, "h binary, c binary").collect()
-    h, c = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), dtype="<i8") for i in range(2))
-    order = np.argsort(h)
-    return h[order].view(np.uint64), c[order]
-
-
 def learn_classes(train: DataFrame, codes: Codes, texts: int) -> None:
     """Fits the classes of ``codes`` to all training texts (a column): their frequent words are kept
     packed, and a round adds up each task's sums."""
@@ -608,69 +584,59 @@ def learn_classes(train: DataFrame, codes: Codes, texts: int) -> None:
     codes.fit_classes(starts, total, texts, sums)
 
 
-def gather_tables(train: DataFrame, codes: Codes, tasks: int) -> list[np.ndarray]:
-    """The counts of the tables over all training texts.  Tasks send compressed blocks,
-    which are added up 32 at a time, so no task or driver step holds more than that."""
+def learn_model(train: DataFrame, codes: Codes, tasks: int) -> Mixer:
+    """Tables and weights from one pass over all training texts.  Tasks send compressed blocks, which
+    are added up 32 tasks at a time, so no task or driver step holds more than that."""
     shared = train.sparkSession.sparkContext.broadcast(codes)
     size = 1 << codes.table_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(2 * size, dtype=np.uint32) for _ in range(TABLES)]
-        any_, one = False, np.uint32(1)
+        own, n = Mixer.start(shared.value), 0
         for batch in batches:
             for _, _, words in word_chunks(batch.column(0), limit=CHUNK):
-                any_ = True
-                d = Decisions(words, shared.value, False)
-                bit = d.bit.astype(np.int64)
-                for k, slot in enumerate(d.slots):
-                    slot <<= 1
-                    slot += bit
-                    np.add.at(total[k], slot, one)
-        if any_:
+                n += own.learn(words)
+        if n:
             task = int.from_bytes(os.urandom(4), "little")
+            weights = np.concatenate([own.used[:, None], own.weights * own.used[:, None]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([task], pa.int64()), pa.array([zlib.compress(weights.tobytes(), 1)], pa.binary())], names=["b", "task", "v"])
             for k in range(TABLES):
-                blocks = total[k].reshape(-1, 2 * _BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([k * len(blocks) + i for i in range(len(blocks))], pa.int32()), pa.array([task] * len(blocks), pa.int64()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], names=["b", "task", "v"])
+                blocks = own.counts[k].reshape(-1, 2 * _BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([k * len(blocks) + i for i in range(len(blocks))], pa.int32()), pa.array([task] * len(blocks), pa.int64()), pa.array([zlib.compress(_narrow(b), 1) for b in blocks], pa.binary())], names=["b", "task", "v"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(2 * _BLOCK, dtype=np.int64)
-        for v in part["v"]:
-            total += np.frombuffer(zlib.decompress(bytes(v)), dtype=np.uint32)
-        return pd.DataFrame({"b": part["b"].iloc[:1].astype("int32"), "task": part["task"].iloc[:1], "v": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
+        if part["b"].iloc[0] < 0:
+            total = sum(np.frombuffer(zlib.decompress(bytes(v))) for v in part["v"]).tobytes()
+        else:
+            total = _narrow(sum(_wide(zlib.decompress(bytes(v))) for v in part["v"]))
+        return pd.DataFrame({"b": part["b"].iloc[:1].astype("int32"), "task": part["task"].iloc[:1], "v": [zlib.compress(total, 1)]})
 
     fields = "b int, task long, v binary"
-    now = scratch(train.mapInArrow(run, fields), "lm-blocks")
+    now = train.mapInArrow(run, fields)
     left = tasks
     while left > 32:
         left = math.ceil(left / 32)
         now = scratch(now.withColumn("g", F.pmod(F.xxhash64("task"), F.lit(left))).groupBy("b", "g").applyInPandas(add, fields), "lm-blocks")
-    out = [np.zeros((size, 2), dtype=np.uint16) for _ in range(TABLES)]
+    out = Mixer.start(codes)
     per = size // _BLOCK
-    for r in now.groupBy("b").applyInPandas(add, fields).toLocalIterator():
-        c = np.frombuffer(zlib.decompress(bytes(r.v)), dtype=np.uint32).reshape(-1, 2).astype(np.float64)
-        top = np.maximum(c.max(axis=1, keepdims=True) / 65535.0, 1.0)
-        i = (r.b % per) * _BLOCK
-        out[r.b // per][i : i + _BLOCK] = np.round(c / top).astype(np.uint16)
+    for r in scratch(now.groupBy("b").applyInPandas(add, fields), "lm-tables").toLocalIterator():
+        if r.b < 0:
+            weights = np.frombuffer(zlib.decompress(bytes(r.v))).reshape(_GATES, 1 + _INPUTS)
+            seen = weights[:, 0] > 0
+            out.weights[seen] = weights[seen, 1:] / weights[seen, :1]
+        else:
+            i = (r.b % per) * _BLOCK
+            out.counts[r.b // per][i : i + _BLOCK] = np.minimum(_wide(zlib.decompress(bytes(r.v))), 0xFFFFFFFF).astype(np.uint32).reshape(-1, 2)
     return out
 
 
-def learn_weights(train: DataFrame, codes: Codes, counts: list[np.ndarray]) -> np.ndarray:
-    """Weights learned online by each task over its texts, averaged by the decisions each saw."""
-    shared = train.sparkSession.sparkContext.broadcast(Mixer(codes, counts, _initial_weights()))
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts as bytes, in the fewest that hold the largest; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * w) - (w == 8))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = shared.value
-        own, n = Mixer(base.codes, base.counts, base.weights.copy()), 0
-        for batch in batches:
-            for _, _, words in word_chunks(batch.column(0), limit=CHUNK):
-                n += own.learn(words)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(own.weights.size, dtype=np.int32)), pa.array(own.weights.ravel() * n), pa.array(np.full(own.weights.size, float(n)))], names=["i", "w", "n"])
 
-    out = _initial_weights().ravel()
-    for r in train.mapInArrow(run, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect():
-        out[r.i] = r.w
-    return out.reshape(_GATES, _INPUTS)
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -694,7 +660,8 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     n_docs = totals[2].n if 2 in totals else 0
     n_words, v_words = (totals[0].n, totals[0].v) if 0 in totals else (0, 0)
     n_train, v_train = n_words + n_docs, v_words + (1 if n_docs else 0)
-    known_hash, known_count = most_frequent(counts.where("kind = 0").select("h", "c"), max(KNOWN, head_words(n_words)))
+    known_hash, known_count = heaviest(counts.where("kind = 0").select("h", "c"), max(KNOWN, head_words(n_words)))
+    known_hash = known_hash.view(np.uint64)
     order = np.argsort(-known_count, kind="stable")
     order = order[known_count[order] >= HEAD_COUNT][: head_words(n_words)]
     head_hash, head_count = known_hash[order], known_count[order]
@@ -703,8 +670,7 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     codes = Codes(head_hash, head_count, int(n_words - head_count.sum()), n_docs, octets, table_bits(n_words))
     learn_classes(train.select("text"), codes, n_docs)
     tasks = max(6, math.ceil(int(octets.sum()) / CHARS_PER_TASK))
-    tables = gather_tables(train.select("text").coalesce(tasks), codes, tasks)
-    shared = spark.sparkContext.broadcast(Mixer(codes, tables, learn_weights(train.select("text").coalesce(tasks), codes, tables)).for_scoring())
+    shared = spark.sparkContext.broadcast(learn_model(train.select("text").coalesce(tasks), codes, tasks).for_scoring())
     per_token = math.log10(n_train + v_train + 1)
     end_part = math.log10(n_docs + 1)
 

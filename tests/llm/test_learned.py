@@ -153,7 +153,7 @@ def mixer(rng):
     h = np.sort(rng.integers(1, 1 << 62, 500).astype(np.uint64))
     codes = lm_score.Codes(h, rng.integers(3, 900, 500), 700, 20, rng.integers(0, 99, 257))
     codes.set_classes([rng.integers(0, 500, 40) for _ in range(100)])
-    counts = [rng.integers(0, 60, (1 << lm_score.TABLE_BITS, 2)).astype(np.uint16) for _ in range(lm_score.TABLES)]
+    counts = [rng.integers(0, 60, (1 << lm_score.TABLE_BITS, 2)).astype(np.uint32) for _ in range(lm_score.TABLES)]
     return lm_score.Mixer(codes, counts, lm_score._initial_weights())
 
 
@@ -188,28 +188,95 @@ def test_lm_tables_grow_with_the_training_words(spark):
     codes = lm_score.Codes(h, rng.integers(3, 900, 500), 700, 20, rng.integers(0, 99, 257), 22)
     texts = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(300)) for _ in range(8)]
     d = [lm_score.Decisions(w, codes, False) for w in words_of(texts)]
-    tables = lm_score.gather_tables(spark.createDataFrame([(t,) for t in texts], "text string"), codes, 2)
+    tables = lm_score.learn_model(spark.createDataFrame([(t,) for t in texts], "text string"), codes, 2).counts
     for k, table in enumerate(tables):
         slots = np.concatenate([x.slots[k] for x in d])
         assert table.shape == (1 << 22, 2) and slots.max() >= 3 << 20
         assert (table.sum(axis=1) == np.bincount(slots, minlength=1 << 22)).all()
 
 
-def test_lm_refines_short_texts():
-    """Where the mixed logits are too weak, or lean one way, a text of a few hundred decisions gains by refinement."""
-    m = mixer(np.random.default_rng(2))
-    for text in ("alpha beta gamma delta " * 8, "zeta " * 30):
+def brute_logit(m, d, i):
+    """(inputs, gate) of decision ``i`` from the tables, one at a time."""
+    x, gate = [float(m.codes.logit[d.node[i]])], int(d.node[i] >= m.codes.word_nodes)
+    for k in range(lm_score.TABLES):
+        none, one = (int(v) for v in m.counts[k][d.slots[k][i]])
+        x.append(math.log(one + 0.4) - math.log(none + 0.4))
+        n = one + none
+        gate = 4 * gate + (n > 0) + (n > 2) + (n > 15)
+    match = int(d.match[i])
+    return [*x, match, lm_score._BIAS], 3 * gate + (0 if not match else 2 if i in d.tok_start.tolist() else 1)
+
+
+def brute_score(m, words):
+    """log10 of the probability of one text, decision by decision, its own corrections included."""
+    d = lm_score.Decisions(words, m.codes, True)
+    own, curve, up, down = [0.0] * 6, [0.0] * 6, [0.0] * 6, [0.0] * 6
+    total, size, at = 0.0, lm_score.FIRST_SEGMENT, 0
+    for i in range(len(d.bit)):
+        x, gate = brute_logit(m, d, i)
+        base = max(-16.0, min(16.0, sum(w * v for w, v in zip(m.weights[gate], x))))
+        z = max(-16.0, min(16.0, base + sum(w * v for w, v in zip(own, x)))) if any(own) else base
+        p = 1 / (1 + math.exp(-z))
+        total += math.log(p if d.bit[i] else 1 - p)
+        for k in range(6):
+            up[k] += (d.bit[i] - p) * x[k]
+            down[k] += p * (1 - p) * x[k] ** 2
+        at += 1
+        if at == size:
+            curve = [lm_score.FADE * c + h for c, h in zip(curve, down)]
+            own = [max(-1.0, min(1.0, w + g / (3 * c + lm_score.PRIOR))) for w, g, c in zip(own, up, curve)]
+            up, down, at, size = [0.0] * 6, [0.0] * 6, 0, min(2 * size, lm_score.SEGMENT)
+    return total / math.log(10)
+
+
+def test_lm_score_by_brute_force():
+    """Whole scores against a second implementation: short, empty, repeating and unknown texts, from the
+    first correction on; a correction gains where the weights are wrong, and never reaches back."""
+    rng = np.random.default_rng(2)
+    m = mixer(rng)
+    m.weights = m.weights + rng.normal(size=m.weights.shape) * 0.1
+    texts = ["alpha beta gamma delta " * 12, "", "zeta", "x y x y x y z " * 9, " ".join(f"w{i}" for i in range(60))]
+    scoring = m.for_scoring()
+    for t in texts:
+        (words,) = words_of([t])
+        want = brute_score(m, words)
+        for kind in (m, scoring):
+            assert abs(kind.score(words)[0][0] - want) < 0.004 * max(1.0, abs(want))
+
+
+def test_lm_training_is_online(monkeypatch):
+    """Weights and counts of a task against a second implementation that predicts, corrects, counts."""
+    rng = np.random.default_rng(4)
+    codes = mixer(rng).codes
+    monkeypatch.setattr(lm_score, "LEARN", 64)
+    own = lm_score.Mixer.start(codes)
+    weights = own.weights.copy()
+    counts = [np.zeros_like(c) for c in own.counts]
+    for text in ("alpha beta gamma " * 6, "beta gamma alpha x " * 5):
         (words,) = words_of([text])
-        d = lm_score.Decisions(words, m.codes, True)
-        assert 150 < len(d.bit) < 4096
-        lean = np.where(d.bit == 1, 0.3, -0.3).astype(np.float32)
-        m.logits = lambda *a, lean=lean: lean
-        plain = -float(m.costs(lean, d.bit).sum(dtype=np.float64)) / math.log(10)
-        assert m.score(words)[0][0] > plain * 0.995
-        first = d.bit[: lm_score.FIRST_SEGMENT]
-        m.logits = lambda *a, lean=np.concatenate([lean[: len(first)], -lean[len(first) :]]): lean
-        want = -float(m.costs(np.full(len(first), 0.3, np.float32), np.ones(len(first), np.int8)).sum()) / math.log(10)
-        assert m.score(words)[0][0] < want  # what comes later does not help the first decisions
+        d = lm_score.Decisions(words, codes, True)
+        other = lm_score.Mixer(codes, counts, weights)
+        seen = [brute_logit(other, d, i) for i in range(len(d.bit))]
+        for a in range(0, len(d.bit), 64):
+            up, down = np.zeros_like(weights), np.zeros_like(weights)
+            for i in range(a, min(a + 64, len(d.bit))):
+                x, g = np.array(seen[i][0]), seen[i][1]
+                p = 1 / (1 + math.exp(-max(-16.0, min(16.0, float(weights[g] @ x)))))
+                up[g] += (d.bit[i] - p) * x
+                down[g] += p * (1 - p) * x * x
+            weights = weights + lm_score.RATE * up / (3 * down + 20)
+        for k in range(lm_score.TABLES):
+            for slot, bit in zip(d.slots[k], d.bit):
+                counts[k][slot, bit] += 1
+        assert own.learn(words) == len(d.bit)
+        assert np.allclose(own.weights, weights, atol=1e-4) and all((a == b).all() for a, b in zip(own.counts, counts))
+
+
+def test_lm_blocks_keep_counts():
+    for top in (0, 3, 255, 256, 65_535, 65_536, 1 << 33):
+        c = np.array([0, 1, top], dtype=np.int64)
+        assert lm_score._wide(lm_score._narrow(c)).tolist() == c.tolist()
+    assert len(lm_score._narrow(np.zeros(8, np.int64))) == 9
 
 
 def test_lm_learns_from_all_training_texts(spark, monkeypatch):
@@ -218,7 +285,7 @@ def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 40, 12))) for i in range(4200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     n = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
-    fit, weights = lm_score.Codes.fit_classes, lm_score.learn_weights
+    fit, model = lm_score.Codes.fit_classes, lm_score.learn_model
 
     def fit_classes(self, starts, total, texts, sums):
         def checked(*a):
@@ -229,12 +296,12 @@ def test_lm_learns_from_all_training_texts(spark, monkeypatch):
         seen["total"] = total.sum()
         fit(self, starts, total, texts, checked)
 
-    def learn_weights(train, *a):
+    def learn_model(train, *a):
         seen["learned"] = train.count()
-        return weights(train, *a)
+        return model(train, *a)
 
     monkeypatch.setattr(lm_score.Codes, "fit_classes", fit_classes, raising=False)
-    monkeypatch.setattr(lm_score, "learn_weights", learn_weights)
+    monkeypatch.setattr(lm_score, "learn_model", learn_model)
     assert lm_score.score_documents(df).count() == len(rows)
     assert seen["learned"] == n and seen["total"] == 12 * n
     assert np.allclose(seen["texts"], n) and np.allclose(seen["words"], 12 * n, rtol=1e-4)
