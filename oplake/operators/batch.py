@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,46 +81,47 @@ def sizes(batches: DataFrame, key: Column | None = None, value: Column | None =
     return batches.groupBy("batch_no").agg((F.sum(record) + HEADER_BYTES).cast("long").alias("batch_bytes"), F.count("*").alias("records"))
 
 
-def group_commits(queue: Iterable[tuple[int, bool]]) -> list[int]:
-    """The group number of each waiting write (bytes, sync) in order.
+class GroupFold:
+    """Groups of waiting writes, one after the other.
 
     A leader takes those that follow while the group stays within its limit; a leader that does
     not sync takes none that does.
     """
-    groups: list[int] = []
-    group, total, limit, sync = -1, 0, 0, False
-    for size, wants_sync in queue:
+
+    def __init__(self):
+        self.group, self.total, self.limit, self.sync = -1, 0, 0, False
+
+    def add(self, size: int, wants_sync: bool) -> int:
+        """The group number of the next write."""
         if size < HEADER_BYTES:
             raise InvalidArgument("a batch is at least its header")
-        if group >= 0 and total + size <= limit and (sync or not wants_sync):
-            total += size
+        if self.group >= 0 and self.total + size <= self.limit and (self.sync or not wants_sync):
+            self.total += size
         else:
-            group, total, sync = group + 1, size, wants_sync
-            limit = size + SMALL if size <= SMALL else LARGE
-        groups.append(group)
-    return groups
+            self.group, self.total, self.sync = self.group + 1, size, wants_sync
+            self.limit = size + SMALL if size <= SMALL else LARGE
+        return self.group
+
+
+def group_commits(queue: Iterable[tuple[int, bool]]) -> list[int]:
+    """The group number of each waiting write (bytes, sync) in order."""
+    fold = GroupFold()
+    return [fold.add(size, sync) for size, sync in queue]
 
 
 def group_commit_plan(batches: DataFrame, sync_every: int = 0) -> DataFrame:
     """(batch_no, batch_bytes, group_no) of batches written in order of number; each ``sync_every``-th
-    syncs.  The fold is sequential by nature; it runs over one row a batch and window of the queue:
-    chunks of the queue, each starting with a leader, fold apart."""
-    sized = sizes(batches)
+    syncs.
 
-    def run(parts):
-        import pandas as pd
+    A group's members follow from all groups before it, so the last step is one task that reads the
+    sorted queue as a stream, two numbers a batch, and holds one group's state; sizes are added up and
+    batches sorted in parallel before."""
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = GroupFold()
         for part in parts:
-            part = part.sort_values("batch_no")
-            wants = [bool(sync_every) and int(b) % sync_every == sync_every - 1 for b in part["batch_no"]]
-            yield pd.DataFrame({"batch_no": part["batch_no"], "batch_bytes": part["batch_bytes"], "group_no": [int(part["batch_no"].iloc[0] // QUEUE) * QUEUE + g for g in group_commits(zip(part["batch_bytes"].tolist(), wants))]})
-
-    def fold(part):
-        return next(run([part]))
-
-    keyed = sized.withColumn("__queue", F.floor(F.col("batch_no") / QUEUE))
-    return keyed.groupBy("__queue").applyInPandas(lambda part: fold(part.drop(columns="__queue")), "batch_no long, batch_bytes long, group_no long")
-
+            groups = [fold.add(size, bool(sync_every) and no % sync_every == sync_every - 1) for no, size in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(groups, pa.int64())], names=["batch_no", "batch_bytes", "group_no"])
 
-#: Batches that wait together, at most.
-QUEUE = 1024
+    sized = sizes(batches).select(F.col("batch_no").cast("long").alias("batch_no"), "batch_bytes")
+    return sized.orderBy("batch_no").coalesce(1).mapInArrow(run, "batch_no long, batch_bytes long, group_no long")

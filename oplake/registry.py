@@ -152,8 +152,8 @@ def batch_last_wins(spark, d):
 
 
 _V = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 ELSE 5 END"
-_BATCH_SIZE = f"""{sql_with('chat_batches')}, s AS (SELECT batch_no, kind, octet_length(encode(user_key)) AS k, octet_length(encode(value)) AS v FROM chat_batches)
-SELECT batch_no, CAST(12 + sum(1 + {_V.format('k')} + k + CASE WHEN kind = 1 THEN {_V.format('v')} + v ELSE 0 END) AS BIGINT) AS batch_bytes, count(*) AS records FROM s GROUP BY batch_no"""
+_BATCH_SIZE = f"""{sql_with('chat_batches')}, b AS (SELECT batch_no, kind, octet_length(encode(user_key)) AS k, octet_length(encode(value)) AS v FROM chat_batches)
+SELECT batch_no, CAST(12 + sum(1 + {_V.format('k')} + k + CASE WHEN kind = 1 THEN {_V.format('v')} + v ELSE 0 END) AS BIGINT) AS batch_bytes, count(*) AS records FROM b GROUP BY batch_no"""
 
 
 @query("batch_size", _BATCH_SIZE)
@@ -161,7 +161,21 @@ def batch_size(spark, d):
     return batch.sizes(rel.chat_batches(spark, d))
 
 
-@query("group_commit_plan")
+#: The fold as a recursion: the state of the group that each batch is in, one batch after the other.
+_JOINS = "f.total + s.batch_bytes <= f.room AND (f.synced OR NOT s.sync)"
+_ROOM = "CASE WHEN s.batch_bytes <= 131072 THEN s.batch_bytes + 131072 ELSE 1048576 END"
+_GROUPS = f"""{_BATCH_SIZE.replace('WITH', 'WITH RECURSIVE', 1).replace('SELECT batch_no, CAST(12', ', sized AS (SELECT batch_no, CAST(12', 1)}), s AS (
+  SELECT batch_no, batch_bytes, batch_no % 16 = 15 AS sync, row_number() OVER (ORDER BY batch_no) AS i FROM sized
+), f AS (
+  SELECT s.i, s.batch_no, s.batch_bytes, CAST(0 AS BIGINT) AS group_no, s.batch_bytes AS total, {_ROOM} AS room, s.sync AS synced FROM s WHERE s.i = 1
+  UNION ALL
+  SELECT s.i, s.batch_no, s.batch_bytes, CASE WHEN {_JOINS} THEN f.group_no ELSE f.group_no + 1 END, CASE WHEN {_JOINS} THEN f.total ELSE 0 END + s.batch_bytes,
+    CASE WHEN {_JOINS} THEN f.room ELSE {_ROOM} END, CASE WHEN {_JOINS} THEN f.synced ELSE s.sync END
+  FROM f JOIN s ON s.i = f.i + 1
+) SELECT batch_no, batch_bytes, group_no FROM f"""
+
+
+@query("group_commit_plan", _GROUPS)
 def group_commit_plan(spark, d):
     return batch.group_commit_plan(rel.chat_batches(spark, d), sync_every=16)
 
