@@ -6,18 +6,26 @@ works on op rows and is a DataFrame plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import bisect
+import functools
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oplake.functions.keys import BYTEWISE, KeyOrder
+from oplake.operators.visibility import versions
+
 #: Levels, level-0 thresholds and growth of the level capacities (fixed values).
 LEVELS = 7
 L0_TRIGGER, L0_SLOWDOWN, L0_STOP = 4, 8, 12
 LEVEL1_BYTES, LEVEL_FACTOR = 10 * 1048576, 10
 EXPAND_FACTOR, GRANDPARENT_FACTOR = 25, 10
 MAX_FLUSH_LEVEL = 2
+#: How long a write is held up, once, where level-0 files pile up (fixed value).
+SLOWDOWN_SECONDS = 0.001
 
 
 def capacity(level: int) -> float:
@@ -26,7 +34,8 @@ def capacity(level: int) -> float:
 
 @dataclass(frozen=True, order=True)
 class TableFile:
-    """One immutable sorted file.  Internal keys order by user key, then newest sequence first."""
+    """One immutable sorted file.  Internal keys order by user key, then newest sequence first;
+    keys compare by their sort keys, in ``order``."""
 
     number: int
     level: int = field(compare=False)
@@ -35,14 +44,26 @@ class TableFile:
     largest: bytes = field(compare=False)
     smallest_sequence: int = field(default=0, compare=False)
     largest_sequence: int = field(default=0, compare=False)
+    order: KeyOrder = field(default=BYTEWISE, compare=False)
+
+    @functools.cached_property
+    def first(self) -> bytes:
+        return self.order.of(self.smallest)
+
+    @functools.cached_property
+    def last(self) -> bytes:
+        return self.order.of(self.largest)
 
     @property
     def low(self) -> tuple[bytes, int]:
-        return self.smallest, -self.smallest_sequence
+        return self.first, -self.smallest_sequence
 
     @property
     def high(self) -> tuple[bytes, int]:
-        return self.largest, -self.largest_sequence
+        return self.last, -self.largest_sequence
+
+    def at(self, level: int) -> TableFile:
+        return replace(self, level=level)
 
 
 Files = list[TableFile]
@@ -83,13 +104,13 @@ def best_score(files: Files) -> tuple[int, float]:
 
 
 def overlapping(files: Files, level: int, low: bytes, high: bytes) -> Files:
-    """Files whose user keys meet [low, high]; in level 0 the range grows with what it meets."""
+    """Files whose keys meet the sort keys [low, high]; in level 0 the range grows with what it meets."""
     own = of_level(files, level)
     while True:
-        found = [f for f in own if f.largest >= low and f.smallest <= high]
+        found = [f for f in own if f.last >= low and f.first <= high]
         if level or not found:
             return found
-        wider = min(low, *(f.smallest for f in found)), max(high, *(f.largest for f in found))
+        wider = min(low, *(f.first for f in found)), max(high, *(f.last for f in found))
         if wider == (low, high):
             return found
         low, high = wider
@@ -103,14 +124,15 @@ def with_boundaries(files: Files, level: int, chosen: Files) -> Files:
         end = max(f.high for f in out)
         after = [f for f in of_level(files, level) if f.low > end]
         step = min(after, key=lambda f: f.low, default=None)
-        if step is None or step.smallest != end[0]:
+        if step is None or step.first != end[0]:
             break
         out.append(step)
     return out
 
 
 def key_range(files: Files) -> tuple[bytes, bytes]:
-    return min(f.smallest for f in files), max(f.largest for f in files)
+    """The sort keys that the files span."""
+    return min(f.first for f in files), max(f.last for f in files)
 
 
 @dataclass
@@ -119,7 +141,7 @@ class Compaction:
     inputs: Files
     next_inputs: Files
     grandparents: Files
-    pointer: tuple[bytes, int]  # where the next round of this level starts
+    pointer: tuple[bytes, int]  # (user key, -sequence) after which the next round of this level starts
 
     def is_trivial(self, target_size: int) -> bool:
         return len(self.inputs) == 1 and not self.next_inputs and total_size(self.grandparents) <= GRANDPARENT_FACTOR * target_size
@@ -131,7 +153,8 @@ def pick(files: Files, pointers: dict[int, tuple[bytes, int]], target_size: int,
     if score >= 1:
         own = of_level(files, level)
         start = pointers.get(level)
-        inputs = [next((f for f in own if start is None or f.high > start), own[0])]
+        after = None if start is None else (own[0].order.of(start[0]), start[1])
+        inputs = [next((f for f in own if after is None or f.high > after), own[0])]
     elif seek_file is not None:
         level, inputs = seek_file.level, [seek_file]
     else:
@@ -147,11 +170,12 @@ def pick(files: Files, pointers: dict[int, tuple[bytes, int]], target_size: int,
             if len(deeper) == len(below):
                 inputs, below = wider, deeper
     grand = overlapping(files, level + 2, *key_range(inputs + below)) if level + 2 < LEVELS else []
-    return Compaction(level, inputs, below, grand, max(f.high for f in inputs))
+    end = max(inputs, key=lambda f: f.high)
+    return Compaction(level, inputs, below, grand, (end.largest, -end.largest_sequence))
 
 
 def flush_level(files: Files, low: bytes, high: bytes, target_size: int) -> int:
-    """The level for a flushed range: down to 2 while nothing there overlaps and little below does."""
+    """The level for a flushed range of sort keys: down to 2 while nothing there overlaps and little below does."""
     level = 0
     if overlapping(files, 0, low, high):
         return 0
@@ -186,26 +210,62 @@ def seek_budget(size: int) -> int:
     return max(size // 16384, 100)
 
 
-def retention(history: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = None) -> DataFrame:
+#: Key ranges up to this many bytes go to every task; more of them are joined.
+RANGE_BYTES = 32 << 20
+
+
+def merged_ranges(ranges: list[tuple[bytes, bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """The union of closed key ranges as disjoint ones in order: their lows and their highs."""
+    lows: list[bytes] = []
+    highs: list[bytes] = []
+    for low, high in sorted(ranges):
+        if highs and low <= highs[-1]:
+            highs[-1] = max(highs[-1], high)
+        else:
+            lows.append(low)
+            highs.append(high)
+    return lows, highs
+
+
+def _in_ranges(rows: DataFrame, key: str, ranges: list[tuple[bytes, bytes]]) -> DataFrame:
+    """The rows whose key lies in one of the ranges, found by binary search in each task."""
+    shared = rows.sparkSession.sparkContext.broadcast(merged_ranges(ranges))
+    at = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs = shared.value
+        for batch in batches:
+            places = ((k, bisect.bisect_right(lows, k) - 1) for k in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([k is not None and i >= 0 and k <= highs[i] for k, i in places], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def retention(history: DataFrame, smallest_snapshot: int, deeper: DataFrame | list[tuple[bytes, bytes]] | None = None) -> DataFrame:
     """Rows that a compaction keeps.
 
     A row goes if the next newer row of its key is visible at ``smallest_snapshot`` already, or if
-    it is a deletion visible there and no range of ``deeper`` (smallest_key, largest_key) could
-    hold an older version.  ``lag`` runs over all rows, those that go included.
+    it is a deletion visible there and no range of ``deeper`` (smallest_key, largest_key; of sort
+    keys where the history has them) could hold an older version.
+
+    So rows above the snapshot stay where they are; of the others the newest of each key is left,
+    which shuffles one row of a key and task, and deletions among those are looked up.
     """
     key = "sort_key" if "sort_key" in history.columns else "user_key"
-    newer = F.lag("sequence").over(Window.partitionBy(key).orderBy(F.desc("sequence")))
-    rows = history.withColumn("__newer", newer)
-    covered = F.lit(False)
-    if deeper is not None:
-        # only keys with a droppable deletion are looked up in the ranges, once each
-        asked = rows.where(F.col("kind") == 0).where(F.col("sequence") <= smallest_snapshot).select(F.col("user_key").alias("__k")).distinct()
-        low, high = F.col("smallest_key"), F.col("largest_key")
-        hit = asked.join(deeper.select("smallest_key", "largest_key"), (F.col("__k") >= low) & (F.col("__k") <= high), "left_semi").withColumn("__deep", F.lit(True))
-        rows = rows.join(hit, F.col("user_key") == F.col("__k"), "left").drop("__k")
-        covered = F.coalesce("__deep", F.lit(False))
-    drop = (F.coalesce(F.col("__newer"), F.lit(1 << 62)) <= smallest_snapshot) | ((F.col("kind") == 0) & (F.col("sequence") <= smallest_snapshot) & ~covered)
-    return rows.where(~drop).select(*history.columns)
+    above = history.where(F.col("sequence") > smallest_snapshot)
+    newest = versions(history, smallest_snapshot)
+    out = above.unionByName(newest.where(F.col("kind") != 0))
+    deletions = newest.where(F.col("kind") == 0)
+    if isinstance(deeper, list):
+        if not deeper:
+            return out
+        if sum(len(a) + len(b) for a, b in deeper) <= RANGE_BYTES and history.schema[key].dataType.simpleString() == "binary":
+            return out.unionByName(_in_ranges(deletions, key, deeper))
+        deeper = history.sparkSession.createDataFrame([(bytearray(a), bytearray(b)) for a, b in deeper], "smallest_key binary, largest_key binary")
+    if deeper is None:
+        return out
+    held = deletions.join(deeper.select("smallest_key", "largest_key"), (F.col(key) >= F.col("smallest_key")) & (F.col(key) <= F.col("largest_key")), "left_semi")
+    return out.unionByName(held.select(*history.columns))
 
 
 def overlap_files(files: DataFrame, low: bytes, high: bytes) -> DataFrame:
@@ -218,21 +278,14 @@ def fold_version(edits: DataFrame, version: int) -> DataFrame:
     return last.where(F.col("last.action") == "add").select("level", "number")
 
 
-def split_outputs(sizes: list[tuple[bytes, int]], target_size: int, grandparents: Files) -> list[int]:
-    """The output number of each (user key, bytes) in order: a new one starts after ``target_size``
-    bytes or once more than ten targets of grandparents overlap, but never within a key."""
-    out, number, held, overlap, at, last = [], 0, 0, 0, 0, None
-    grand = sorted(grandparents, key=lambda f: f.low)
-    for key, size in sizes:
-        if key != last:
-            while at < len(grand) and key > grand[at].largest:
-                overlap += grand[at].size if held else 0
-                at += 1
-            if held and (held >= target_size or overlap > GRANDPARENT_FACTOR * target_size):
-                number, held, overlap = number + 1, 0, 0
-        held, last = held + size, key
-        out.append(number)
+def output_cuts(grandparents: Files, target_size: int) -> list[bytes]:
+    """Sort keys at which an output file must end: a new one starts behind a grandparent once more than
+    ten targets of grandparents overlap, so that no output will drag more than that into its next
+    compaction.  Size splits the outputs besides."""
+    out, overlap = [], 0
+    for f in sorted(grandparents, key=lambda f: f.low):
+        overlap += f.size
+        if overlap > GRANDPARENT_FACTOR * target_size:
+            out.append(f.last)
+            overlap = 0
     return out
-
-
-Clock = Callable[[], float]

@@ -56,8 +56,8 @@ class Options:
     allow_weak_namespace_durability: bool = False  # inert
     block_cache: BlockCacheOptions | None = None  # inert
     reuse_table_readers: bool = False  # inert
-    clock: Callable[[], float] = field(default=time.monotonic, compare=False)
-    executor: Callable[[Callable[[], Any]], Any] | None = field(default=None, compare=False)
+    clock: Callable[[], float] = field(default=time.monotonic, compare=False)  # times the slow-down of writes
+    executor: Callable[[Callable[[], Any]], Any] | None = field(default=None, compare=False)  # runs flushes and compactions beside writes
 
     def prepared(self) -> Options:
         """Validated and clipped."""

@@ -6,6 +6,7 @@ engine's own tables are Parquet.
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 from collections.abc import Iterator
@@ -129,7 +130,7 @@ def read_log(data: bytes) -> Iterator[LogRecord | LogCorruption]:
         if FRAME + size > left:
             if at + left > len(data):
                 return
-            yield lost(at, block_end - at + sum(map(len, parts)), "bad record length")
+            yield lost(at, block_end - at + sum(map(len, parts)), "a frame longer than its block")
             parts, at = [], block_end
             continue
         if at + FRAME + size > len(data):
@@ -139,21 +140,21 @@ def read_log(data: bytes) -> Iterator[LogRecord | LogCorruption]:
             continue
         part = data[at + FRAME : at + FRAME + size]
         if mask_crc(crc32c(bytes([kind]) + part)) != crc:
-            yield lost(at, block_end - at + sum(map(len, parts)), "checksum mismatch")
+            yield lost(at, block_end - at + sum(map(len, parts)), "these bytes are not those that were written")
             parts, at = [], block_end
             continue
         here, at = at, at + FRAME + size
         if kind in (FULL, FIRST):
             if parts:
-                yield lost(begin, sum(map(len, parts)), "partial record without end")
+                yield lost(begin, sum(map(len, parts)), "a record broke off")
             parts, begin = [part], here
         elif kind in (MIDDLE, LAST):
             if not parts:
-                yield lost(here, size, "missing start of fragmented record")
+                yield lost(here, size, "a record goes on that never began")
                 continue
             parts.append(part)
         else:
-            yield lost(here, size + sum(map(len, parts)), "unknown record type")
+            yield lost(here, size + sum(map(len, parts)), "a frame of no known kind")
             parts = []
             continue
         if kind in (FULL, LAST):
@@ -204,27 +205,70 @@ def read_block(data: bytes, offset: int, size: int, end: int) -> bytes:
     body, codec = data[offset : offset + size], data[offset + size]
     (crc,) = struct.unpack_from("<I", data, offset + size + 1)
     if mask_crc(crc32c(body + bytes([codec]))) != crc:
-        raise Corruption("block checksum mismatch")
+        raise Corruption(f"the block at {offset} is not as it was written")
     return _uncompress(body, codec)
 
 
+def internal_order(key: bytes) -> tuple[bytes, int]:
+    """What internal keys sort by: the user key, then the newest sequence."""
+    user_key, sequence, kind = parse_internal_key(key)
+    return user_key, -(sequence << 8 | kind)
+
+
+Entries = list[tuple[bytes, bytes]]
+
+
+class Block:
+    """A block as runs of entries: a run starts at a restart, where a key is stored whole."""
+
+    def __init__(self, data: bytes):
+        words = len(data) // 4
+        count = struct.unpack("<I", data[-4:])[0] if words else 0
+        self.end = len(data) - 4 * (count + 1)
+        if not words or self.end < 0:
+            raise Corruption("a block has no room for its restarts")
+        self.data = data
+        self.starts = [n for (n,) in struct.iter_unpack("<I", data[self.end : -4])]
+        if any(n > self.end for n in self.starts) or self.starts != sorted(self.starts):
+            raise Corruption("restarts of a block point out of it")
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def run(self, i: int) -> Entries:
+        """The entries of the ``i``-th run."""
+        at, end = self.starts[i], (*self.starts, self.end)[i + 1]
+        out: Entries = []
+        key = b""
+        while at < end:
+            shared, at = get_varint(self.data, at, 32)
+            n, at = get_varint(self.data, at, 32)
+            size, at = get_varint(self.data, at, 32)
+            if shared > len(key) or at + n + size > end:
+                raise Corruption("an entry runs out of its block")
+            key = key[:shared] + self.data[at : at + n]
+            out.append((key, self.data[at + n : at + n + size]))
+            at += n + size
+        return out
+
+    def first(self, i: int) -> bytes:
+        """The first key of the ``i``-th run, which is stored whole."""
+        _, at = get_varint(self.data, self.starts[i], 32)
+        n, at = get_varint(self.data, at, 32)
+        _, at = get_varint(self.data, at, 32)
+        return self.data[at : at + n]
+
+    def run_of(self, bound) -> int:
+        """The run that holds the first entry not below ``bound``, unless that one begins the next run."""
+        return max(0, bisect.bisect_left(range(len(self)), bound, key=lambda i: internal_order(self.first(i))) - 1)
+
+
 def block_entries(block: bytes) -> Iterator[tuple[bytes, bytes]]:
-    if len(block) < 4:
-        raise Corruption("block is too short")
-    (restarts,) = struct.unpack_from("<I", block, len(block) - 4)
-    end = len(block) - 4 - 4 * restarts
-    if end < 0:
-        raise Corruption("block restart array is malformed")
-    at, key = 0, b""
-    while at < end:
-        shared, at = get_varint(block, at, 32)
-        fresh, at = get_varint(block, at, 32)
-        size, at = get_varint(block, at, 32)
-        if shared > len(key) or at + fresh + size > end:
-            raise Corruption("block entry is malformed")
-        key = key[:shared] + block[at : at + fresh]
-        yield key, block[at + fresh : at + fresh + size]
-        at += fresh + size
+    parts = Block(block)
+    if parts.end and not parts.starts:
+        raise Corruption("a block has entries and no restart")
+    for i in range(len(parts)):
+        yield from parts.run(i)
 
 
 def build_block(entries: list[tuple[bytes, bytes]], interval: int = 16) -> bytes:
@@ -257,11 +301,11 @@ class TableReader:
 
     def __post_init__(self):
         if len(self.data) < FOOTER:
-            raise Corruption("file is too short to be a table")
+            raise Corruption("no table ends this early")
         self.end = len(self.data) - FOOTER
         footer = self.data[self.end :]
         if struct.unpack_from("<Q", footer, 40)[0] != TABLE_MAGIC:
-            raise Corruption("bad table magic number")
+            raise Corruption("this file does not end as a table does")
         m_off, m_size, at = _handle(footer)
         i_off, i_size, _ = _handle(footer, at)
         for key, value in block_entries(read_block(self.data, i_off, i_size, self.end)):
@@ -282,22 +326,111 @@ class TableReader:
             return filters.BlockRangeFilters(read_block(self.data, *self.meta[BLOCK_FILTER_KEY], self.end)).may_match(block_offset, user_key)
         return True
 
+    def block(self, i: int) -> Block:
+        _, offset, size = self.index[i]
+        return Block(read_block(self.data, offset, size, self.end))
+
+    def cursor(self) -> TableCursor:
+        return TableCursor(self)
+
     def get(self, user_key: bytes, sequence: int = MAX_SEQUENCE) -> tuple[int, bytes] | None:
         """(kind, value) of the newest version at ``sequence``."""
-        for last, offset, size in self.index:
-            if last[:-8] < user_key:
-                continue
-            if not self.may_match(user_key, offset):
-                return None
-            for key, value in block_entries(read_block(self.data, offset, size, self.end)):
-                own, seq, kind = parse_internal_key(key)
-                if own == user_key and seq <= sequence:
-                    return kind, value
-                if own > user_key:
-                    return None
+        at = self.cursor()
+        if at.would_look(user_key, sequence) and at.seek(user_key, sequence) and at.entry[0] == user_key:
+            return at.entry[2:]
         return None
 
 
+class TableCursor:
+    """Moves over a table's entries both ways: in the run it stands in, else to the next or previous
+    run or block.  A seek reads the index, the restarts of one block and one run of it."""
+
+    def __init__(self, table: TableReader):
+        self.table = table
+        self._block, self._run, self._at = -1, 0, 0
+        self._open: Block | None = None
+        self._entries: Entries = []
+
+    @property
+    def valid(self) -> bool:
+        return 0 <= self._at < len(self._entries)
+
+    @property
+    def entry(self) -> tuple[bytes, int, int, bytes]:
+        """(user key, sequence, kind, value)."""
+        if not self.valid:
+            raise InvalidArgument("the cursor is not on an entry")
+        key, value = self._entries[self._at]
+        user_key, sequence, kind = parse_internal_key(key)
+        return user_key, sequence, kind, value
+
+    def _enter(self, block: int, run: int | None, last: bool = False) -> bool:
+        """Stands at the first or last entry of a run (None: the last one); steps over what is empty."""
+        while 0 <= block < len(self.table.index):
+            if block != self._block or self._open is None:
+                self._block, self._open = block, self.table.block(block)
+            run = len(self._open) - 1 if run is None else run
+            while 0 <= run < len(self._open):
+                self._run, self._entries = run, self._open.run(run)
+                if self._entries:
+                    self._at = len(self._entries) - 1 if last else 0
+                    return True
+                run += -1 if last else 1
+            block, run = block + (-1 if last else 1), None if last else 0
+        self._entries, self._at = [], 0
+        return False
+
+    def first(self) -> bool:
+        return self._enter(0, 0)
+
+    def last(self) -> bool:
+        return self._enter(len(self.table.index) - 1, None, last=True)
+
+    def next(self) -> bool:
+        self._at += 1
+        return self.valid or self._enter(self._block, self._run + 1)
+
+    def prev(self) -> bool:
+        self._at -= 1
+        if self._at >= 0:
+            return True
+        return self._enter(self._block, self._run - 1, last=True) if self._run else self._enter(self._block - 1, None, last=True)
+
+    def _place(self, user_key: bytes, sequence: int) -> tuple[tuple[bytes, int], int]:
+        bound = (user_key, -(sequence << 8 | 1))
+        return bound, bisect.bisect_left(self.table.index, bound, key=lambda e: internal_order(e[0]))
+
+    def would_look(self, user_key: bytes, sequence: int = MAX_SEQUENCE) -> bool:
+        """Whether the filters let the block that could hold the key do so."""
+        _, block = self._place(user_key, sequence)
+        return block < len(self.table.index) and self.table.may_match(user_key, self.table.index[block][1])
+
+    def seek(self, user_key: bytes, sequence: int = MAX_SEQUENCE) -> bool:
+        """The first entry at or after the key's version at ``sequence``."""
+        bound, block = self._place(user_key, sequence)
+        if block < len(self.table.index):
+            if block != self._block or self._open is None:
+                self._block, self._open = block, self.table.block(block)
+            if self._enter(block, self._open.run_of(bound)):
+                while internal_order(self._entries[self._at][0]) < bound:
+                    if not self.next():
+                        return False
+                return True
+        self._entries, self._at = [], 0
+        return False
+
+    def seek_for_prev(self, user_key: bytes, sequence: int = 0) -> bool:
+        """The last entry at or before the key's version at ``sequence``, of all its versions by default."""
+        bound = (user_key, -(sequence << 8))
+        if not self.seek(user_key, sequence):
+            return self.last()
+        while internal_order(self._entries[self._at][0]) > bound:
+            if not self.prev():
+                return False
+        return True
+
+
+
 def build_table(rows: list[tuple[bytes, int, int, bytes]], block_size: int = 4096, interval: int = 16, codec: int = SNAPPY, level: int = 1, bits_per_key: int | None = 10, layout: str = "full_table") -> bytes:
     """A table of (user_key, sequence, kind, value) in internal order; out-of-order rows are refused."""
     out, index, waiting = bytearray(), [], []

@@ -149,3 +149,54 @@ def test_filters():
     assert not filters.bloom_may_match(b"a", b"") and filters.bloom_may_match(b"a", bytes(8) + b"\x1f")
     with pytest.raises(Corruption):
         filters.full_may_match(b"a", bytes(80))
+
+
+@pytest.mark.parametrize("interval,block_size", [(1, 64), (3, 200), (16, 4096)])
+def test_table_cursor_both_ways(interval, block_size):
+    """Seeks and moves of a table cursor against the sorted list, at any size of block and run."""
+    rng = random.Random(interval)
+    rows = sorted({(bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(5))), rng.randrange(1, 40)) for _ in range(300)}, key=lambda r: (r[0], -r[1]))
+    table = native.TableReader(native.build_table([(k, s, 1, b"%d" % s) for k, s in rows], block_size=block_size, interval=interval))
+    c, seen = table.cursor(), []
+    assert not c.valid and c.first()
+    while c.valid:
+        seen.append(c.entry[:2])
+        c.next()
+    assert seen == rows
+    c.last()
+    back = []
+    while c.valid:
+        back.append(c.entry[:2])
+        c.prev()
+    assert back == rows[::-1]
+    at = lambda r: (r[0], -r[1])
+    for _ in range(200):
+        key, s = bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(5))), rng.randrange(0, 42)
+        after = [r for r in rows if at(r) >= (key, -s)]
+        assert c.seek(key, s) == bool(after) and (not after or c.entry[:2] == after[0])
+        if after and rng.random() < 0.5:
+            i = rows.index(after[0])
+            assert c.prev() == (i > 0) and (i == 0 or c.entry[:2] == rows[i - 1])
+        before = [r for r in rows if r[0] <= key]
+        assert c.seek_for_prev(key) == bool(before) and (not before or c.entry[:2] == before[-1])
+        own = [r for r in rows if r[0] == key and r[1] <= s]
+        assert table.get(key, s) == ((1, b"%d" % own[0][1]) if own else None)
+
+
+def test_checksum_of_any_length():
+    """The checksum by pieces against the one byte by byte, whole and continued."""
+    rng = random.Random(2)
+
+    def plain(data, crc=0):
+        crc ^= 0xFFFFFFFF
+        for b in data:
+            crc ^= b
+            for _ in range(8):
+                crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    for n in (0, 1, 3, 4, 47, 48, 49, 255, 4095, 4096, 4097, 4100, 9000):
+        data = rng.randbytes(n)
+        assert crc32c(data) == plain(data)
+        cut = rng.randrange(n + 1)
+        assert crc32c(data[cut:], crc32c(data[:cut])) == plain(data)

@@ -102,6 +102,29 @@ def test_dense_sequence_over_ranges(spark):
     assert dense_sequence(df.limit(0), ["a"]).count() == 0
 
 
+@pytest.mark.parametrize("per_range", [1, 7, 100, 5000])
+def test_dense_sequence_deals_ties(spark, per_range):
+    """A value that half of the rows share, nulls, and numbers that one double stands for: any number of
+    ranges numbers alike, and no range holds all rows of a heavy value."""
+    rows = [(5 if i % 2 else i, i * 31 % 997) for i in range(997)] + [(None, 4), (None, 3), (1 << 60, 9), ((1 << 60) + 1, 1), ((1 << 60) + 2, 5)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(4)
+    out = dense_sequence(df, ["a", "b"], rows_per_range=per_range)
+    got = [(r.a, r.b) for r in out.orderBy("sequence").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted(r.sequence for r in out.select("sequence").collect()) == list(range(1, len(rows) + 1))
+
+
+def test_group_commit_plan_has_no_edges(spark):
+    """The plan of 3000 batches is the fold over all of them, beyond any window."""
+    rng = random.Random(4)
+    rows = [(no, 0, b"k", 1, "v" * rng.choice([1, 900, 40_000, 200_000])) for no in range(3000)]
+    df = spark.createDataFrame([(a, b, bytearray(k), d, v) for a, b, k, d, v in rows], "batch_no long, pos long, user_key binary, kind int, value string").repartition(6)
+    got = bt.group_commit_plan(df, sync_every=16).collect()
+    want = bt.group_commits([(r.batch_bytes, r.batch_no % 16 == 15) for r in sorted(got, key=lambda r: r.batch_no)])
+    assert [r.group_no for r in sorted(got, key=lambda r: r.batch_no)] == want and len(got) == 3000
+    assert bt.group_commit_plan(df.limit(0)).count() == 0
+
+
 #: A history, smallest snapshot 10, and what a compaction of it keeps (fixed values); D is a deletion.
 HISTORY = "k0@12 k0@10 k0@8 k1@20 k1@15 k1@9 k1@8 k2@12D k2@5 k3@7D k3@4 k4@6D k4@2 k5@10D k6@9D k7@3D k9@2D"
 KEPT = "k0@12 k0@10 k1@20 k1@15 k1@9 k2@12D k2@5 k4@6D k7@3D k9@2D"
@@ -173,10 +196,36 @@ def test_flush_level_and_room():
     assert comp.seek_budget(0) == 100 and comp.seek_budget(16384 * 500) == 500
 
 
-def test_split_outputs():
-    rows = [(b"a", 5), (b"a", 5), (b"b", 5), (b"c", 5), (b"c", 5), (b"d", 5)]
-    assert comp.split_outputs(rows, 6, []) == [0, 0, 1, 1, 1, 2]
-    assert comp.split_outputs([(b"a", 1), (b"m", 1)], 100, [f(1, 3, 2000, b"b", b"c")]) == [0, 1]
+def test_output_cuts():
+    grand = [f(i, 3, 600, b"%d" % i, b"%d~" % i) for i in range(5)]
+    assert comp.output_cuts(grand, 100) == [b"1~", b"3~"]
+    assert comp.output_cuts([f(1, 3, 2000, b"b", b"c")], 100) == [b"c"] and comp.output_cuts(grand, 10_000) == []
+
+
+def test_other_orders_place_and_pick():
+    """Ranges compare by sort key: under the reverse order the largest bytes come first."""
+    r = lambda n, level, a, b, size=1: TableFile(n, level, size, a, b, 1, 1, REVERSE_BYTEWISE)
+    of = REVERSE_BYTEWISE.of
+    files = [r(1, 2, b"z", b"p"), r(2, 2, b"m", b"a")]
+    assert comp.flush_level(files, of(b"n"), of(b"n"), 1) == 2 and comp.flush_level(files, of(b"q"), of(b"b"), 1) == 1
+    assert [x.number for x in comp.of_level(files, 2)] == [1, 2]
+    l0 = [r(i, 0, b"z", b"a") for i in range(1, 5)]
+    c = comp.pick(l0 + [r(9, 1, b"k", b"j")], {}, 1 << 20)
+    assert [x.number for x in c.inputs] == [1, 2, 3, 4] and [x.number for x in c.next_inputs] == [9] and c.pointer[0] == b"a"
+
+
+def test_retention_ranges_agree(spark):
+    """A list of ranges, a frame of them and more bytes than a task is sent give the same rows; a key
+    written without end costs one row a task and key in the shuffle."""
+    history = entries(HISTORY) + [(b"hot", s, s % 2, b"v" if s % 2 else None) for s in range(100, 3000)] + [(b"old", s, 0, None) for s in range(1, 9)]
+    df, ranges = frame(spark, history), [*DEEPER, (b"o", b"p"), (b"ok", b"q")]
+    key = lambda rows: sorted((bytes(r.user_key), r.sequence) for r in rows)
+    by_list = key(comp.retention(df, 2000, ranges).collect())
+    by_frame = key(comp.retention(df, 2000, spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in ranges], "smallest_key binary, largest_key binary")).collect())
+    assert by_list == by_frame and (b"old", 8) in by_list and sum(k == b"hot" for k, _ in by_list) == 999 + 1 - 1
+    assert comp.merged_ranges(ranges) == ([b"k4", b"k7", b"k9", b"o"], [b"k4", b"k8", b"k9", b"q"])
+    plan = comp.retention(df, 2000, ranges)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "NestedLoop" not in plan
 
 
 def test_group_commits():
