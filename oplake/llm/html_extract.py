@@ -2,8 +2,9 @@
 
 A page is a sequence of words and tags.  Each token's score is the log odds, learned from
 labelled pages, of standing inside the main text; one linear scan finds the contiguous region
-of the largest total.  Text under elements that never hold main text (menus, forms, scripts,
-notices, comments) scores nothing and is never output.
+of the largest total.  Elements beside the main text (menus, notices, adverts, reader comments)
+are told by what their names say, by weights learned from the same pages: what stands in them
+scores nothing and is never output, and nothing else is left out of the region.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,54 +27,90 @@ RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "
 FURNITURE = frozenset(["nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "label", "fieldset", "input", "datalist", "head"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 BLOCKS = frozenset(["address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "tfoot", "thead", "tr", "td", "th", "ul", "caption"])
-#: Words of class, id and role values that mark furniture (fixed values).
-MARKS = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "sidebar", "sidebars", "widget", "widgets", "menu", "menus", "submenu", "nav", "navbar", "navmenu", "topnav", "mainnav", "subnav", "sidenav", "sitenav", "adsbygoogle", "navigation", "navigations", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "share", "sharing", "social", "related", "recommended", "recommendations", "trending", "comment", "comments", "commentlist", "respond", "disqus", "replies", "discussion", "footer", "foot", "masthead", "topbar", "header", "skip", "search", "searchform", "copyright", "complementary", "contentinfo", "hidden"])
-#: Words beside a mark that take it back: layout flags (``has-sidebar``), and what a text's own header is called.
-_LAYOUT = frozenset(["has", "with", "no", "without"])
-_OF_TEXT = frozenset(["post", "entry", "article", "content", "story", "title"])
+#: Elements of other markup, in which a slash closes a tag (fixed values).
+FOREIGN = frozenset(["svg", "math"])
+#: A link after so many words of its block stands in running text.
+INLINE = 3
+#: A tag speaks this much at most for or against what the names on it say.
+TAG = 2.0
+#: An element's names count only as far as they weigh more than this against the main text.
+FURNITURE_MARGIN = 1.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|(?P<text>[^<]++|<)",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|style|aria-hidden|hidden)(?=[\s=/>]|\Z)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _furniture(name: str, attrs: str) -> bool:
-    if name in FURNITURE:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+@dataclass(frozen=True)
+class Weights:
+    """Log odds of token kinds inside against outside the main text, and of elements' names beside against around or in it."""
+
+    kinds: dict[str, float]
+    names: dict[str, float]
+
+
+def name_features(name: str, attrs: str) -> list[str]:
+    """What an element's tag and names say: the tag, each name whole, its parts, and pairs of neighbouring parts."""
+    out = [f"<{name}>"]
     for m in _ATTR.finditer(attrs):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
-        else:
+        if key in ("class", "id", "role"):
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
-                found = MARKS.intersection(parts)
-                if found and not _LAYOUT.intersection(parts) and not (found == {"header"} and _OF_TEXT.intersection(parts)):
-                    return True
+                out += parts
+                out.append("=" + "-".join(parts))
+                out += [f"{a}-{b}" for a, b in zip(parts, parts[1:])]
+    return out
+
+
+def unseen(attrs: str) -> bool:
+    """Whether a browser would not show the element."""
+    for m in _ATTR.finditer(attrs):
+        key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True
     return False
 
 
-def tokens(page: str) -> list[tuple[str, str, bool]]:
+def _furniture(name: str, attrs: str, names: dict[str, float]) -> bool:
+    if name in FURNITURE:
+        return True
+    if not attrs or name in ("html", "body", "article", "main"):
+        return False
+    if unseen(attrs):
+        return True
+    found = name_features(name, attrs)
+    return len(found) > 1 and sum(names.get(f, 0.0) for f in found) > FURNITURE_MARGIN
+
+
+@functools.lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE)
+
+
+def tokens(page: str, names: dict[str, float] | None = None) -> list[tuple[str, str, bool]]:
     """(kind, text, furniture) of each token: kind is ``<name>``, ``</name>``, ``word:...`` or ``mark``
-    (a comment, which only labelled pages use).  Works on any string; unclosed tags end with the page."""
+    (a comment, which only labelled pages use).  A link within the main text, or after words of its
+    own block, reads on like any text.  Works on any string, in time that follows its length;
+    unclosed tags end with the page."""
+    names = default_weights().names if names is None else names
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, bool]] = []
-    at, size = 0, len(page)
+    open_: Counter = Counter()  # names on the stack
+    at, size, before = 0, len(page), 0  # before: words of the block up to here, outside links
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
         text = m["text"]
         if text is not None:
             noise = bool(stack) and stack[-1][1]
-            where = "link" if any(n == "a" for n, _ in stack[-4:]) else "main" if any(n in ("article", "main") for n, _ in stack) else "plain"
+            link = open_["a"] and any(n == "a" for n, _ in stack[-4:])
+            where = "main" if open_["article"] or open_["main"] else "link" if link and before < INLINE else "plain"
+            if not link:
+                before += _words(text)
             out.append((f"word:{where}", text, noise))
             continue
         name = m["name"] or m["name2"]
@@ -81,53 +119,108 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             continue
         name = name.lower()
         closing = m["close"] if m["name"] else m["close2"]
+        if name in BLOCKS:
+            before = 0
+        shown = "inline" if name == "a" and (before >= INLINE or open_["article"] or open_["main"]) else name
         if closing:
             if name == "body" or name == "html":
                 stack.clear()
-            elif any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-            out.append((f"</{name}>", "", bool(stack) and stack[-1][1]))
+                open_.clear()
+            elif open_[name]:
+                while True:
+                    gone = stack.pop()[0]
+                    open_[gone] -= 1
+                    if gone == name:
+                        break
+            out.append((f"</{shown}>", "", bool(stack) and stack[-1][1]))
             continue
         attrs = (m["attrs"] if m["name"] else m["attrs2"]) or ""
         if name in RAW:
-            if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            if not (name in FOREIGN and attrs.endswith("/")):  # elsewhere a slash closes nothing
+                end = _end_of(name).search(page, at)
                 at = end.end() if end else size
             continue
         if name in BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()
+            open_[stack.pop()[0]] -= 1
         above = bool(stack) and stack[-1][1]
-        noise = _furniture(name, attrs) or (above and name not in ("article", "main"))
-        if name not in VOID and not attrs.rstrip().endswith("/"):
+        noise = _furniture(name, attrs, names) or (above and name not in ("article", "main"))
+        if name not in VOID:
             stack.append((name, noise))
-        out.append((f"<{name}>", "", noise))
+            open_[name] += 1
+        out.append((f"<{shown}>", "", noise))
     return out
 
 
 @functools.lru_cache(maxsize=1)
-def default_weights() -> dict[str, float]:
-    from oplake.llm.html_labels import PAGES
+def default_weights() -> Weights:
+    from oplake.llm.html_labels import pages
+
+    return learn(pages())
 
-    return learn(PAGES)
+
+def learn_names(pages: list[str]) -> dict[str, float]:
+    """Log odds of each name on the outermost elements beside the main text, against elements around
+    or in it, smoothed by one half; a page counts a name once on either side."""
+    beside, near = Counter(), Counter()
+    for page in pages:
+        inside, depth, held = False, [], []  # held: (features, whether main text stood in it)
+        for m in _TOKEN.finditer(page):
+            if (m.group() == "<!--[-->") or m.group() == "<!--]-->":
+                inside = m.group() == "<!--[-->"
+                for e in depth:
+                    e[2] = True
+                continue
+            name = (m["name"] or m["name2"] or "").lower()
+            if not name or name in VOID or name in RAW:
+                continue
+            if m["close"] or m["close2"]:
+                while depth:
+                    e = depth.pop()
+                    held.append((e[1], e[2], e[3]))
+                    if e[0] == name:
+                        break
+            else:
+                if name in BLOCKS and depth and depth[-1][0] == "p":
+                    e = depth.pop()
+                    held.append((e[1], e[2], e[3]))
+                # an element counts as beside the text where none of those around it does so already
+                depth.append([name, name_features(name, m["attrs"] or m["attrs2"] or ""), inside, len(depth)])
+        held += [(e[1], e[2], e[3]) for e in depth]
+        ours = {f for features, main, _ in held if main for f in features}
+        theirs = {f for features, main, _ in held if not main and len(features) > 1 for f in features if not f.startswith("<")}
+        near.update(ours)
+        beside.update(theirs)
+        beside.update({features[0] for features, main, _ in held if not main and len(features) > 1})
+    a, b = max(1, sum(beside.values())), max(1, sum(near.values()))
+    odds = {f: math.log((beside[f] + 0.5) / a) - math.log((near[f] + 0.5) / b) for f in beside | near}
+    return {f: min(max(x, -TAG), TAG) if f.startswith("<") else x for f, x in odds.items()}
 
 
-def learn(pages: list[str]) -> dict[str, float]:
-    """Log odds of each token kind inside against outside the marked region, smoothed by one;
-    words must gain and tags must cost, so weights of the wrong sign are cut to a small one."""
+def learn(pages: list[str]) -> Weights:
+    """Weights of names, then of token kinds: log odds of each kind inside against outside the marked
+    region, furniture aside, smoothed by one; words must gain and tags must cost, so weights of the
+    wrong sign are cut to a small one."""
+    names = learn_names(pages)
     inside, outside = Counter(), Counter()
     for page in pages:
         in_ = False
-        for kind, text, noise in tokens(page):
+        for kind, text, noise in tokens(page, names):
             if kind == "mark":
                 in_ = {"<!--[-->": True, "<!--]-->": False}.get(text, in_)
             elif not noise:
-                (inside if in_ else outside)[kind] += len(text.split()) if kind.startswith("word") else 1
+                (inside if in_ else outside)[kind] += _words(text) if kind.startswith("word") else 1
     weights = {}
     for kind in inside | outside:
         odds = math.log((inside[kind] + 1) / (outside[kind] + 1))
         weights[kind] = max(odds, 0.05) if kind.startswith("word") and kind != "word:link" else min(odds, -0.01)
-    return weights
+    return Weights(weights, names)
+
+
+def _words(text: str) -> float:
+    """Words of a run of text; what only separates (``|``, ``>``) is hardly one."""
+    if len(text) > 40:
+        return len(text.split())
+    return sum(1.0 if any(map(str.isalnum, w)) else 0.05 for w in (html.unescape(text) if "&" in text else text).split())
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -143,22 +236,30 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return best
 
 
-def extract(page: str, weights: dict[str, float] | None = None) -> str:
-    weights = weights or default_weights()
-    found = tokens(page)
+def token_scores(found: list[tuple[str, str, bool]], weights: Weights) -> list[float]:
+    """What each token adds to a region."""
     article = any(k == "word:main" and not noise and not t.isspace() for k, t, noise in found)
     scores = []
     for kind, text, noise in found:
         if noise or kind == "mark":
             scores.append(0.0)
         elif kind.startswith("word"):
-            w = weights.get(kind, weights.get("word:plain", 0.05))
+            w = weights.kinds.get(kind, weights.kinds.get("word:plain", 0.05))
             if article and kind == "word:plain":
                 w = -w  # a page that names its article keeps its text there
-            scores.append(w * len(text.split()))
+            scores.append(w * _words(text))
         else:
-            scores.append(weights.get(kind, -0.05))
+            scores.append(weights.kinds.get(kind, -0.05))
+    return scores
+
+
+def extract(page: str, weights: Weights | None = None) -> str:
+    weights = weights or default_weights()
+    found = tokens(page, weights.names)
+    scores = token_scores(found, weights)
     a, b = best_region(scores)
+    while b and b < len(found) and found[b][0] != "word:link" and found[b][0].strip("</>") not in BLOCKS:
+        b += 1  # the block it ends in goes on to its end
     blocks, now = [], []
     for kind, text, noise in found[a:b]:
         if kind.startswith("word"):
@@ -176,13 +277,13 @@ def extract(page: str, weights: dict[str, float] | None = None) -> str:
     return "\n".join(x for x in clean if x)
 
 
-def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars (code points).
 
     Null html is empty; a page without main text has empty text and 0; repeated rows repeat;
     an empty table gives no rows; other columns are ignored.  Whole pages, no length limit; no shuffle.
     """
-    w = dict(weights or default_weights())
+    w = weights or default_weights()
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -104,6 +105,8 @@ A = "The river rose in the night and the lower path was closed for the whole of
         (f"<main><p>{A}</p><div class='ad-box'>Buy</div><script>var x='<p>no</p>'</script><p>{A}<br>x&nbsp;&lt;y</p></main><div id=comments><p>{A}</p></div>", f"{A.strip()}\n{A.strip()} x <y"),
         (f"<div class='cookie-banner'>{A}</div><div><p>{A}</p><p>&#233;&eacute;&copy</p><form><label>Name</label><input></form><aside>{A}</aside><p>{A}</p></div>", f"{A.strip()}\néé©\n{A.strip()}"),
         (f"<article><header><p>by us</p></header><p title='a>b'>{A}</p><!-- {A} --><style>p{{}}</style><p hidden>{A}</p><section class=comments>{A}</section></article>", A.strip()),
+        (f"<article><p>{A}</p><script src='a.js' />var hidden = 1;</script><svg/><p>{A}<a href=/x/>more</a></p></article>", f"{A.strip()}\n{A}more"),
+        (f"<div class=content-widget><p>{A}</p></div>", A.strip()), (f"<article><p class=hidden-gem>{A}</p><ul class='search-results-list'><li>{A}</li></ul></article>", f"{A.strip()}\n{A.strip()}"),
         ("", ""), (None, ""), ("<nav>a</nav>", ""), ("<", "<"), ("<p", ""), ("plain words only", "plain words only"), ("<script>x", ""), ("<p>a &am", "a &am"),
     ],
 )
@@ -112,17 +115,34 @@ def test_extract(page, text):
 
 
 def test_furniture_by_name():
+    names = html_extract.default_weights().names
     for attrs in ("class='page-footer'", "class='main-nav'", "id=post-comments", "class='x AdSlot'", "role=alert", "hidden", "style='display:none'", "class=newsletterSignup", "class=page-header"):
-        assert html_extract._furniture("div", attrs), attrs
-    for attrs in ("", "class='post has-sidebar'", "class=entry-header", "class='no-comments'", "id=adventure", "class=headline", "style='color:red'", "role=main"):
-        assert not html_extract._furniture("div", attrs), attrs
+        assert html_extract._furniture("div", attrs, names), attrs
+    for attrs in ("", "class='post has-sidebar'", "class=entry-header", "class='no-comments'", "id=adventure", "class=headline", "style='color:red'", "role=main", "class=content-widget", "data-hidden=1", "class=search-results-list"):
+        assert not html_extract._furniture("div", attrs, names), attrs
+    assert not html_extract._furniture("p", "class=hidden-gem", names)
 
 
 def test_labelled_pages_come_back():
-    for page in html_labels.PAGES:
+    """Pages of the same making but of another seed: nearly all give the marked text, to the letter."""
+    right = 0
+    for page in html_labels.pages(200, seed=77):
         inner = page.split("<!--[-->")[1].split("<!--]-->")[0]
         words = html_extract.html.unescape(html_extract.re.sub("<[^>]*>", " ", inner)).split()
-        assert "".join(html_extract.extract(page).split()) == "".join(words)
+        right += "".join(html_extract.extract(page).split()) == "".join(words)
+    assert right >= 195
+
+
+def test_region_by_brute_force():
+    """The scan's region against all regions, scored token by token, on labelled pages."""
+    w = html_extract.default_weights()
+    for page in html_labels.pages(25, seed=5):
+        found = html_extract.tokens(page)
+        scores = html_extract.token_scores(found, w)
+        total = np.concatenate([[0.0], np.cumsum(scores)])
+        most = max(float((total[i + 1 :] - total[i]).max()) for i in range(len(scores)))
+        a, b = html_extract.best_region(scores)
+        assert abs(sum(scores[a:b]) - most) < 1e-6
 
 
 @settings(max_examples=200, deadline=None)
@@ -133,9 +153,17 @@ def test_best_region(scores):
     assert abs(sum(scores[a:b]) - most) < 1e-9
 
 
-def test_extract_never_hangs():
-    for page in ("<a " * 20_000, "<p \"'" * 5000, "<div>" * 20_000, "<" * 50_000, "&" * 50_000, "<!--" * 9000, "</p>" * 9000):
-        html_extract.extract(page)
+def test_extract_takes_time_by_length():
+    """Any page ends, and four times the page takes about four times as long, also in depth."""
+    for unit in ("<div>x ", "<a ", "<p \"'", "<div>", "<", "&", "<!--", "</p>", "<article><b>x ", "<ul><li>x", "<script ", "x </b>", "<p class=a>x "):
+        took = []
+        for n in (4000, 16_000):
+            begin = time.perf_counter()
+            text = html_extract.extract(unit * n)
+            took.append(time.perf_counter() - begin)
+        assert took[1] < 10 * took[0] + 0.2, unit
+        if unit in ("<div>x ", "<p class=a>x "):
+            assert text.split() == ["x"] * 16_000
 
 
 def test_extract_pages(spark):
