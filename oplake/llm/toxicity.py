@@ -6,6 +6,7 @@ weight vector; the expected severity is the sum of these probabilities.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,18 +87,26 @@ def choose_features(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarr
     return top, np.log((up[top] + 0.5) / (n1 + 1)) - np.log((down[top] + 0.5) / (n0 + 1))
 
 
-def grade_labels(features: list[np.ndarray], y: np.ndarray, slots: np.ndarray, ratio: np.ndarray, grades: int = 3) -> np.ndarray:
-    """Severity grades 0..``grades``.  Labels beyond 1 are grades already; of 0/1 labels, the toxic
-    rows are graded by how many of the words that tell the classes apart they hold."""
+def grade_labels(features: list[np.ndarray], y: np.ndarray, grades: int = 3) -> np.ndarray:
+    """Severity grades 0..``grades``.  Labels beyond 1 are grades already.  Of 0/1 labels the toxic rows
+    are graded by how sure a naive Bayes model is of them that was learned from the other half of
+    the rows, so that no row's own words, nor weights fitted to them, set its grade."""
     if len(y) and y.max() > 1:
         return y
-    telling = slots[ratio > 1.0]
-    count = np.array([np.isin(f, telling, assume_unique=True).sum() for f in features])
-    edges = np.unique(np.quantile(count[y > 0], np.arange(1, grades) / grades, method="higher")) if (y > 0).any() else np.zeros(0)
-    return np.where(y > 0, 1 + np.searchsorted(edges, count, side="left"), 0)
-
-
-def fit_rows(features: list[np.ndarray], y: np.ndarray, class_counts: tuple[int, int], seed: int = 5, epochs: int = 60, rate: float = 0.5, l2: float = 1e-5) -> ToxicityModel:
+    half = np.array([zlib.crc32(f.tobytes()) & 1 for f in features])
+    sure = np.zeros(len(y))
+    for k in (0, 1):
+        others = np.flatnonzero(half != k)
+        slots, ratio = choose_features([features[i] for i in others], y[others])
+        if len(slots):
+            for i in np.flatnonzero((half == k) & (y > 0)):
+                at = np.minimum(np.searchsorted(slots, features[i]), len(slots) - 1)
+                sure[i] = ratio[at[slots[at] == features[i]]].sum()
+    edges = np.unique(np.quantile(sure[y > 0], np.arange(1, grades) / grades, method="higher")) if (y > 0).any() else np.zeros(0)
+    return np.where(y > 0, 1 + np.searchsorted(edges, sure, side="left"), 0)
+
+
+def fit_rows(features: list[np.ndarray], y: np.ndarray, class_counts: tuple[int, int], seed: int = 5, epochs: int = 240, rate: float = 0.5, l2: float = 1e-6) -> ToxicityModel:
     """Maximum likelihood by adaptive-rate descent over mini-batches; ``class_counts`` sets the prior."""
     # equal texts count once, or the words of a much-copied text would speak for its class
     first = {(f.tobytes(), int(c)): i for i, (f, c) in reversed(list(enumerate(zip(features, y))))}
@@ -106,7 +115,7 @@ def fit_rows(features: list[np.ndarray], y: np.ndarray, class_counts: tuple[int,
     prior = (class_counts[1] + 1) / (sum(class_counts) + 2)
     if not len(slots):
         return ToxicityModel(slots, ratio, np.array([np.log((1 - prior) / prior)]))
-    grade = grade_labels(features, y, slots, ratio)
+    grade = grade_labels(features, y)
     levels = int(grade.max())
     rows = []
     for f in features:
@@ -156,7 +165,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     """One row per input row: doc_id, held_out, score (P(grade >= 1)), severity (expected grade), grade, toxic.
 
     ``toxic`` is 1 where the score reaches ``threshold``.  Texts are read whole; null, empty and
-    unknown texts have the weight sum 0; an empty table gives no rows; ``keep`` adds input columns.
+    unknown texts have the weight sum 0; an empty table gives no rows; repeated rows repeat and texts of
+    equal words tie; null ids count as empty text for ``held_out``; input columns, of any name, are
+    ignored but for those in ``keep``, which are added.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
     kept = keep or []
@@ -174,7 +185,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
 
 def keep_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, columns unchanged, whose P(grade >= 1) stays below ``threshold``; null text is scored as empty."""
+    """The rows, columns unchanged, whose P(grade >= 1) stays below ``threshold``; null text is scored as
+    empty; repeated rows stay or go together; a score equal to the threshold goes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
