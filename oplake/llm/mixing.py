@@ -86,7 +86,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_repe
     A document is taken ``k * size`` words for a whole k from 0 to ``max_repeat``.  Sources are
     ordered by code point with null last and weigh ``weights`` in turn.  Null text has size 0;
     a source whose documents are all empty has target 0; repeated rows count each; an empty
-    table gives no rows; other columns are ignored.  The list of sources (one total each) is
+    table gives no rows; other columns are ignored; a text of any length counts whole, and one longer
+    than its source's target is taken only as far as whole copies of it fit.  The list of sources (one total each) is
     planned on the driver; documents and lengths stay distributed.
     """
     if not weights or max_repeat < 1 or not 0 <= share <= max_repeat:

@@ -71,7 +71,7 @@ def document_features(words: Words) -> Iterator[np.ndarray]:
             kinds, counts = np.unique(gram, return_counts=True)
             for level, share in enumerate(SHARES):
                 grams.append(mix64(kinds[counts > share * n] + _U(1000 * (k + 1) + level)))
-        distinct = np.unique(mix64(h)[:: 1]).size / n
+        distinct = np.unique(h).size / n
         grams.append(mix64(np.array([10_000 + int(distinct * 10), 20_000 + int(np.log2(n) * 2)], dtype=_U)))
         yield np.unique(1 + (np.concatenate(grams) % _U(SLOTS - 1)).astype(np.int32))
 
@@ -92,8 +92,9 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(np.array(out, dtype=np.float64), -60, 60)))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias minimising half the squared norm plus cost-weighted hinge losses."""
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int, least: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias minimising half the squared norm plus cost-weighted hinge losses; it ends with an
+    epoch whose steps are all below ``least``."""
     w, bias, alpha = np.zeros(SLOTS), 0.0, np.zeros(len(rows))
     square = np.array([float((v * v).sum()) + 1.0 for v in values])
     rng = np.random.default_rng(seed)
@@ -109,7 +110,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
                 alpha[i] = new
                 w[f] += step * v
                 bias += step
-        if worst < 1e-3:
+        if worst < least:
             break
     return w, bias
 
@@ -203,7 +204,8 @@ def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3
     """One row per input row: doc_id, held_out, score, predicted (and the columns of ``keep``).
 
     The score reads the whole text and nothing else.  Null and empty texts, and texts of white
-    space, get the score of the empty-text indicator; an empty table gives no rows.
+    space, get the score of the empty-text indicator; an empty table gives no rows; repeated rows
+    repeat; a text of any length is read whole; other columns, of any name, are ignored.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # fixed size: two tables of SLOTS numbers
@@ -222,7 +224,8 @@ def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3
 
 
 def keep_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, columns unchanged, whose score reaches ``threshold``; null text is scored as empty."""
+    """The rows, columns unchanged, whose score reaches ``threshold``; null text is scored as empty;
+    repeated rows stay or go together; a score equal to the threshold stays."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

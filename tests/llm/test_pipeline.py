@@ -1,11 +1,15 @@
 """The stages against what each operator says about its own input, and the entry's registry."""
 
 import collections
+import zlib
 
 import __spark_entry__
 import corpus_pipeline
+import numpy as np
 from oplake.llm import jaccard, mixing, quality, toxicity
 
+from tests.llm.test_search import WORD, brute_components
+
 
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -32,6 +36,67 @@ def test_stages(spark, sf_dir, tmp_path):
     assert {r.doc_id for r in b.collect()} == {r.doc_id for r in a.collect()}
 
 
+def test_stages_by_brute_force(spark, sf_dir, corpus):
+    """What the stages keep, take and pack, worked out again document by document."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {d[0]: d[1] for d in corpus[0]}
+    stage = dict(corpus_pipeline.STAGES)
+    # quality and toxicity: the scores themselves are held to brute force in test_learned
+    model = quality.fit(docs, labels)
+    scores = {r.doc_id: r.score for r in quality.score_documents(docs, model).collect()}
+    assert {r.doc_id for r in stage["quality classifier"](spark, docs, sf_dir).collect()} == {i for i, s in scores.items() if s >= 0.3}
+    model = toxicity.fit(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    assert {r.doc_id for r in stage["toxicity"](spark, docs, sf_dir).collect()} == {i for i, s in scores.items() if s < 0.5}
+    # near duplicates: all pairs compared
+    groups = brute_components(list(texts.items()))
+    kept = [r.doc_id for r in stage["n-gram jaccard join"](spark, docs, sf_dir).collect()]
+    assert sorted(kept) == sorted(i for i, (_, first) in groups.items() if first == i)
+    # mixing: whole copies, three at most, each source as near its target as its lengths allow
+    sizes = {i: len(WORD.findall(t or "")) for i, t in texts.items()}
+    source = {d[0]: d[3] for d in corpus[0]}
+    copies = collections.Counter(r.doc_id for r in stage["mixing sources"](spark, docs, sf_dir).collect())
+    names = sorted(set(source.values()))
+    own = {s: sum(sizes[i] for i in sizes if source[i] == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_ = {}, set(names)
+    while open_:
+        rest = sum(own.values()) - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * own[s]}
+        target |= {s: 3.0 * own[s] for s in full} or share
+        open_ = open_ - full if full else set()
+    assert max(copies.values()) <= 3
+    for s in names:
+        taken = sum(n * sizes[i] for i, n in copies.items() if source[i] == s)
+        assert abs(taken - target[s]) <= 1 or abs(taken - target[s]) < min(z for i, z in sizes.items() if z and source[i] == s)
+    # packing: the ids of the plain tokenizer, cut and placed without gap or overlap
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for r in stage["best-fit packing"](spark, docs, sf_dir).collect():
+        pieces[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    total = 0
+    for i, t in texts.items():
+        ids = exact.encode(t or "", add_special_tokens=False).ids + [0]
+        total += len(ids)
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        want = [(a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for a, b in zip(cuts, cuts[1:])]
+        assert [(r.start, r.length, r.ids_crc32) for r in sorted(pieces[i], key=lambda r: r.piece)] == want
+    for own_ in bins.values():
+        at = 0
+        for offset, length in sorted(own_):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-total // 2048) + 2
+
+
 def test_registry():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
