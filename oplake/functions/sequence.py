@@ -13,21 +13,18 @@ _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"
 
 
 def _constant(values: list[float]) -> Column:
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return F.split(F.lit(",".join("Infinity" if v == math.inf else repr(v) for v in values)), ",").cast("array<double>")
 
 
 def _range(cuts: list[float], value: Column) -> Column:
     """The range of a value among ascending cuts: 2i between the i-th cut and the next, 2i - 1 on the
-    i-th itself.  The cuts are looked at in two steps of about their root each."""
+    i-th itself, found by halving."""
     if not cuts:
         return F.lit(0).cast("long")
-    step = math.isqrt(len(cuts))
-    all_ = _constant(cuts)
-    if step > 1:
-        block = F.size(F.filter(_constant(cuts[step - 1 :: step]), lambda c: c <= value)) * step
-        place = block + F.size(F.filter(F.slice(all_, block + 1, F.lit(step)), lambda c: c <= value))
-    else:
-        place = F.size(F.filter(all_, lambda c: c <= value))
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    all_ = _constant(cuts + [math.inf] * (2 * steps[0] - 1 - len(cuts)))
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, step: p + F.when(F.element_at(all_, p + step) <= value, step).otherwise(F.lit(0)))
+    place = F.least(found, F.lit(len(cuts)))
     on = F.when(place > 0, F.element_at(all_, F.greatest(place, F.lit(1))) == value).otherwise(F.lit(False))
     return (place * 2 - on.cast("int")).cast("long")
 
