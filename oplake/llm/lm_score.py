@@ -1,15 +1,17 @@
 """Language-model scores by online logistic context mixing.
 
 A text is coded as binary decisions.  A frequent word is its path in a Huffman tree of words;
-any other is the escape leaf and its bytes in a Huffman tree of bytes.  For each decision
+any other is the escape leaf and its bytes, each in the Huffman tree of what follows the byte
+before.  For each decision
 several predictors answer: the tree itself, three tables of counts under hashed contexts (the
 word before, the two words before, the class of the text so far; for bytes the two and four bytes
 before, and the class with three), and a match with what followed the same two words earlier in the text.  Their
 logits are mixed by weights that a gate picks (tree, confidence of the tables, match).
 
 Training is online: a task goes through its texts once, predicts each decision from what it has
-counted so far, corrects the weights by the error and counts the decision.  Counts of all tasks
-are added up, weights averaged by how often each gate was used.  In scoring, a text starts from
+counted so far, corrects the weights by the error and counts the decision; its tables take up
+new counts whenever there are twice as many as slots.  Counts of all tasks are added up, weights
+averaged by how often each gate was used.  In scoring, a text starts from
 these weights and goes on correcting them along its own decisions, each predicted before it is
 learned from.  The total of the decisions is the text's score.
 """
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oplake.llm.common import Words, crc_bucket, heaviest, scratch, word_chunks
+from oplake.llm.common import Words, crc_bucket, heaviest, packed, scratch, word_chunks
 
 #: Words with a path of their own are seen HEAD_COUNT times at least; the rest is spelled.  There are
 #: HEAD of them at most, or HEAD_ROOT times the root of the training words where that is more.
@@ -44,11 +46,13 @@ TABLES = 3
 #: Training texts go through tasks of about so many characters each.
 CHARS_PER_TASK = 24_000_000
 #: In training, weights are corrected after each LEARN decisions.  In scoring, a text's own corrections
-#: are made after FIRST_SEGMENT decisions, then after strides that double up to SEGMENT; curvature of
+#: are made after FIRST_SEGMENT decisions, then after strides that grow fourfold up to SEGMENT; curvature of
 #: earlier strides counts FADE as much, and PRIOR holds the corrections near 0, where the weights were learned.
-LEARN = 4096
-FIRST_SEGMENT, SEGMENT, FADE, PRIOR = 16, 256, 0.9, 60.0
+LEARN = 8192
+FIRST_SEGMENT, SEGMENT, FADE, PRIOR = 16, 4096, 0.9, 60.0
 CHUNK = 1 << 16
+#: What a byte can follow or be followed by: 256 bytes, and the start or end of the word.
+FOLLOW = 257
 _BLOCK = 1 << 14
 _INPUTS = 6
 _BIAS = 0.3
@@ -59,10 +63,10 @@ _STEP, _LIMIT = 128.0, 16.0
 _COST = np.logaddexp(0.0, -np.arange(-_LIMIT, _LIMIT + 1 / _STEP, 1 / _STEP)).astype(np.float32)
 _SIGNED_STEP = np.array([-_STEP, _STEP], dtype=np.float32)
 _M1, _M2 = np.array([0x85EBCA6B, 0x9E3779B1], dtype=np.uint32)[:, None]  # arrays, so that products wrap silently
-#: log(n + 0.4) of whole counts; a task's larger counts are read as the last, and only while it trains.
-_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
-#: Rate of the corrections in training.
-RATE = 0.3
+#: Rate of the corrections in training; one decision in CURVE is measured for their curvature.
+RATE, CURVE = 0.3, 4
+#: A task's tables take up new counts whenever there are so many times as many as slots.
+RENEW = 2.0
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -110,7 +114,8 @@ class HashIndex:
 
 
 class Codes:
-    """Paths of the units in the two trees: words, then escape and end; then bytes and word end."""
+    """Paths of the units in the trees: words, then escape and end; then, for each byte before (or the
+    word's start), bytes and word end."""
 
     def __init__(self, head_hash: np.ndarray, head_count: np.ndarray, tail_count: int, ends: int, byte_count: np.ndarray, bits: int = TABLE_BITS):
         self.table_bits = bits
@@ -120,12 +125,12 @@ class Codes:
         n = len(self.hash)
         self.escape, self.end, self.first_byte = n, n + 1, n + 2
         length_w, steps_w, logits_w = self._huffman(np.append(self.count, [tail_count + 1, ends + 1]))
-        length_b, steps_b, logits_b = self._huffman(byte_count + 1)
+        after = [self._huffman(row + 1) for row in byte_count.reshape(FOLLOW, FOLLOW)]
         shift = len(logits_w)
-        self.length = np.concatenate([length_w, length_b])
+        self.length = np.concatenate([length_w, *(length for length, _, _ in after)])
         self.offset = np.cumsum(self.length) - self.length
-        self.steps = np.concatenate([steps_w, steps_b + 2 * shift]).astype(np.int32)
-        self.logit = np.concatenate([logits_w, logits_b]).astype(np.float32)
+        self.steps = np.concatenate([steps_w, *(steps + 2 * (shift + i * (FOLLOW - 1)) for i, (_, steps, _) in enumerate(after))]).astype(np.int32)
+        self.logit = np.concatenate([logits_w, *(logits for _, _, logits in after)]).astype(np.float32)
         self.word_nodes = shift
         self.find = HashIndex(self.hash)
         self.class_words = np.argsort(-self.count, kind="stable")[:CLASS_WORDS]
@@ -285,7 +290,9 @@ class Decisions:
             b = words.bytes[np.minimum(words.start[tail][run] + step, len(words.bytes) - 1)].astype(np.int64)
             b[step == spelled[run]] = 256
             where = first_unit[place[tail]][run] + 1 + step
-            units[where] = codes.first_byte + b
+            last = np.concatenate([[0], b[:-1]])
+            last[step == 0] = FOLLOW - 1
+            units[where] = codes.first_byte + last * FOLLOW + b
             past, before = [], b.astype(_U) + _U(1)
             for k in range(1, 5):
                 shifted = np.concatenate([np.zeros(min(k, len(b)), _U), before[: len(b) - k]]) if len(b) > k else np.zeros(len(b), _U)
@@ -343,8 +350,8 @@ class Decisions:
         return out
 
 
-def confidence(n: np.ndarray) -> np.ndarray:
-    return (n > 0).astype(np.int16) + (n > 2) + (n > 15)
+#: Confidence by how often a slot was counted, up to 16 times.
+_CONFIDENCE = np.array([0, 1, 1, *[2] * 13, 3], dtype=np.int16)
 
 
 @dataclass
@@ -354,21 +361,36 @@ class Mixer:
     weights: np.ndarray  # [gate, input]
 
     def __post_init__(self):
-        self._ready: list[np.ndarray] = []
+        size = 1 << self.codes.table_bits
+        self._ready = [np.zeros(size, dtype=np.int16) for _ in range(TABLES)]
         self.used = np.zeros(_GATES)  # how many decisions each gate has learned from
+        self.steps = 0
+        self._since = 0  # decisions counted since the tables were last renewed
 
     @staticmethod
     def start(codes: Codes) -> Mixer:
         return Mixer(codes, [np.zeros((1 << codes.table_bits, 2), dtype=np.uint32) for _ in range(TABLES)], _initial_weights())
 
+    def renew(self) -> None:
+        """Takes the counts into what predictions read: each table's logits in steps of 1/256 with the
+        confidence in the two low bits."""
+        for k, c in enumerate(self.counts):
+            for a in range(0, len(c), 1 << 16):
+                none, one = c[a : a + (1 << 16), 0], c[a : a + (1 << 16), 1]
+                step = np.log(one.astype(np.float32) + np.float32(0.4))
+                step -= np.log(none.astype(np.float32) + np.float32(0.4))
+                step *= np.float32(256)
+                packed_ = np.rint(step, out=step).astype(np.int16)
+                packed_ <<= 2
+                packed_ |= np.take(_CONFIDENCE, np.minimum(one, 16) + np.minimum(none, 16), mode="clip")
+                self._ready[k][a : a + len(packed_)] = packed_
+        self._since = 0
+
     def for_scoring(self) -> Mixer:
-        """The same with each table's logits in steps of 1/256 and the confidence in the two low bits."""
+        """The same without the counts, which only training needs."""
+        self.renew()
         out = Mixer(self.codes, [], self.weights)
-        for c in self.counts:
-            logit = np.log(c[:, 1] + np.float32(0.4))
-            logit -= np.log(c[:, 0] + np.float32(0.4))
-            logit *= 256
-            out._ready.append((np.rint(logit).clip(-8191, 8191).astype(np.int16) << 2) | confidence(c.sum(axis=1, dtype=np.int64)))
+        out._ready = self._ready
         return out
 
     def inputs(self, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
@@ -377,19 +399,11 @@ class Mixer:
         np.take(self.codes.logit, d.node, out=x[0], mode="clip")
         gate = (d.node >= self.codes.word_nodes).astype(np.int16)
         for k, slot in enumerate(d.slots):
+            v = np.take(self._ready[k], slot, mode="clip")
             gate <<= 2
-            if self._ready:
-                v = np.take(self._ready[k], slot, mode="clip")
-                gate += v & 3
-                v >>= 2
-                np.multiply(v, np.float32(1 / 256), out=x[1 + k])
-            else:
-                c = np.take(self.counts[k].view(np.uint64)[:, 0], slot, mode="clip")
-                one, none = c >> _U(32), c & _U(0xFFFFFFFF)
-                np.take(_LOG, one, out=x[1 + k], mode="clip")
-                x[1 + k] -= np.take(_LOG, none, mode="clip")
-                one += none
-                gate += confidence(one)
+            gate += v & 3
+            v >>= 2
+            np.multiply(v, np.float32(1 / 256), out=x[1 + k])
         x[-2], x[-1] = d.match, _BIAS
         long = (d.match != 0).astype(np.int16)
         first = d.tok_start[:-1][d.tok_start[:-1] < len(long)]
@@ -416,19 +430,24 @@ class Mixer:
         x, gate = self.inputs(d)
         self.used += np.bincount(gate, minlength=_GATES)
         for a in range(0, len(gate), LEARN):
-            xs, g = x[:, a : a + LEARN], gate[a : a + LEARN]
+            xs, g, bits = x[:, a : a + LEARN], gate[a : a + LEARN], d.bit[a : a + LEARN]
             p = 1 / (1 + np.exp(-self.logits(xs, g, self.weights)))
-            err, h = d.bit[a : a + LEARN] - p, p * (1 - p)
+            some = slice(self.steps % CURVE, None, CURVE)  # curvature changes slowly: a share of the decisions tells it
+            h, gs = (p[some] * (1 - p[some])) * CURVE, g[some]
+            err = np.subtract(bits, p, dtype=np.float64)
             for k in range(_INPUTS):
-                v = xs[k]
-                up = np.bincount(g, weights=err * v, minlength=_GATES)
-                down = np.bincount(g, weights=h * (v * v), minlength=_GATES)
+                up = np.bincount(g, weights=err * xs[k], minlength=_GATES)
+                v = xs[k][some]
+                down = np.bincount(gs, weights=h * (v * v), minlength=_GATES)
                 self.weights[:, k] += RATE * up / (_INPUTS * 0.5 * down + 20.0)
-        bit = d.bit.astype(np.int64)
+            self.steps += 1
         for k, slot in enumerate(d.slots):
             slot <<= 1
-            slot += bit
+            slot += d.bit
             np.add.at(self.counts[k].reshape(-1), slot, np.uint32(1))
+        self._since += len(gate)
+        if self._since >= RENEW * len(self.counts[0]):
+            self.renew()
         return len(gate)
 
     @staticmethod
@@ -448,18 +467,19 @@ class Mixer:
         x, gate = self.inputs(d)
         z = self.logits(x, gate, self.weights)
         for a, b in zip(d.doc_start[:-1].tolist(), d.doc_start[1:].tolist()):
-            own, curve = np.zeros(_INPUTS, dtype=np.float32), np.full(_INPUTS, 0.0, dtype=np.float32)
+            own, curve = np.zeros(_INPUTS, dtype=np.float32), np.zeros(_INPUTS, dtype=np.float32)
             s, size = a, FIRST_SEGMENT
             while s + size < b:  # nothing comes after the last stride
-                xs, r, bits = x[:, s : s + size], z[s : s + size], d.bit[s : s + size]
+                xs, r = x[:, s : s + size], z[s : s + size]
                 p = 1 / (1 + np.exp(-r))
-                curve = FADE * curve + (xs * xs) @ (p * (1 - p))
-                own += (xs @ (bits - p)) / (_INPUTS * 0.5 * curve + PRIOR)
-                np.clip(own, -1.0, 1.0, out=own)
-                s, size = s + size, min(2 * size, SEGMENT)
+                curve *= FADE
+                curve += (xs * xs) @ (p * (1 - p))
+                own += (xs @ (d.bit[s : s + size] - p)) / (_INPUTS * 0.5 * curve + PRIOR)
+                np.minimum(np.maximum(own, -1.0, out=own), 1.0, out=own)
+                s, size = s + size, min(4 * size, SEGMENT)
                 nxt = z[s : min(b, s + size)]
                 nxt += own @ x[:, s : min(b, s + size)]
-                np.clip(nxt, -_LIMIT, _LIMIT, out=nxt)
+                np.minimum(np.maximum(nxt, -_LIMIT, out=nxt), _LIMIT, out=nxt)
         out = np.add.reduceat(self.costs(z, d.bit), d.doc_start[:-1], dtype=np.float64)  # each document has a decision at least
         return -out / math.log(10), d
 
@@ -468,13 +488,31 @@ def _initial_weights() -> np.ndarray:
     return np.tile(np.array([0.3, 0.25, 0.25, 0.4, 1.0, 0.0]), (_GATES, 1))
 
 
+def byte_pairs(words: Words) -> np.ndarray:
+    """How often each byte of a word, or its end, follows each other byte, or the word's start."""
+    b = words.bytes.astype(np.int64)
+    last = np.empty_like(b)
+    last[1:] = b[:-1]
+    last[words.start] = FOLLOW - 1
+    last *= FOLLOW
+    last += b
+    edge = np.zeros(len(b) + 1, dtype=np.int8)
+    edge[words.start] += 1
+    edge[words.end] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    if len(words.start):
+        inside[words.start] = True  # words of two documents may touch
+    ends = b[words.end - 1] * FOLLOW + FOLLOW - 1 if len(words.start) else last[:0]
+    return np.bincount(last[inside], minlength=FOLLOW * FOLLOW) + np.bincount(ends, minlength=FOLLOW * FOLLOW)
+
+
 def word_counts(train: DataFrame) -> DataFrame:
-    """(kind, h, c): counts of word hashes (0), bytes (1) and documents (2) over all training texts."""
+    """(kind, h, c): counts of word hashes (0), pairs of bytes (1) and documents (2) over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, waiting = [], 0
         held, rows = [], 0
-        octets, words_seen, docs = np.zeros(256, np.int64), 0, 0
+        octets, docs = np.zeros(FOLLOW * FOLLOW, np.int64), 0
 
         def add():
             nonlocal waiting, rows
@@ -498,8 +536,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                 waiting += len(words.hash)
                 if waiting > 1_500_000:
                     add()
-                octets += np.bincount(words.bytes, minlength=256)
-                words_seen += len(words.hash)
+                octets += byte_pairs(words)
             if rows > 2_000_000:
                 held[:] = [flush()]
                 rows = len(held[0][0])
@@ -510,8 +547,8 @@ def word_counts(train: DataFrame) -> DataFrame:
         if held:
             h, c = flush()
             yield out(0, h.view(np.int64), c)
-        octets[[32, 9, 10, 11, 12, 13]] = 0
-        yield out(1, np.arange(257, dtype=np.int64), np.append(octets, words_seen))
+        pairs = np.flatnonzero(octets)
+        yield out(1, pairs, octets[pairs])
         yield out(2, np.zeros(1, np.int64), np.array([docs], np.int64))
 
     return train.mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
@@ -654,9 +691,9 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     train = base.where(crc_bucket(F.col("doc_id"), holdout[0]) != holdout[1])
     counts = scratch(word_counts(train.select("text")), "lm-counts")
     totals = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    octets = np.zeros(257, dtype=np.int64)
-    for r in counts.where("kind = 1").collect():
-        octets[r.h] = r.c
+    octets = np.zeros(FOLLOW * FOLLOW, dtype=np.int64)
+    at, n = packed(counts.where("kind = 1").select("h", "c"))
+    octets[at] = n
     n_docs = totals[2].n if 2 in totals else 0
     n_words, v_words = (totals[0].n, totals[0].v) if 0 in totals else (0, 0)
     n_train, v_train = n_words + n_docs, v_words + (1 if n_docs else 0)
