@@ -183,7 +183,11 @@ def collect_features(docs: DataFrame, sample: DataFrame, extractor, id_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([f.astype("<i4").tobytes() for f in extractor.features(words)], pa.binary())], names=["doc_id", "label", "slots"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = sorted(((bytes(r.slots), r.label) for r in rows.mapInArrow(run, f"doc_id {kind}, label int, slots binary").collect()))
+    sampled, found = rows.mapInArrow(run, f"doc_id {kind}, label int, slots binary").collect(), []
+    while sampled:  # each row goes as its features are taken over
+        r = sampled.pop()
+        found.append((bytes(r.slots), r.label))
+    found.sort()
     return [np.frombuffer(f, dtype="<i4") for f, _ in found], np.array([c for _, c in found], dtype=np.int64)
 
 
