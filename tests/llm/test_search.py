@@ -96,7 +96,7 @@ def test_components(spark, documents, corpus):
 @pytest.mark.parametrize("wide", [1000, 6])
 def test_components_at_the_threshold(spark, monkeypatch, wide):
     """Chains of sets around the threshold, with every bound of the search made small."""
-    for name, value in (("PART", 6), ("BUCKET", 3), ("HOT_SAMPLE", 5), ("WIDE", wide)):
+    for name, value in (("PART", 6), ("BUCKET", 3), ("HOT_SAMPLE", 5), ("WIDE", wide), ("PER_SALT", 4)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     rows = []
@@ -117,15 +117,43 @@ def test_buckets_give_fewer_rows_than_postings():
     for n in (40, 400, 4000):
         tokens, keys = np.repeat(np.arange(10), n), np.tile(rng.integers(1, 1 << 62, n), 10)
         sizes = np.tile(rng.integers(100, 130, n), 10)
-        x, y, sure = jaccard._buckets(tokens, keys, sizes, 80, 100)
-        assert len(x) <= 10 * n and sure.all() == (n > jaccard.BUCKET)
-        if not sure.all():
+        x, y, kind = jaccard._buckets(tokens, keys, sizes, np.zeros_like(tokens), 80, 100)
+        assert len(x) <= 10 * n and (kind == (jaccard.EDGE if n > jaccard.BUCKET else jaccard.MEMBER)).all()
+        if n <= jaccard.BUCKET:
             assert len(set(x.tolist())) == 1  # ten buckets of the same keys have one name
     sets = [np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64)) for _ in range(20)]
     members = [(i, jaccard.Bits(jaccard.set_bitmap(sets[i // 2]), len(sets[i // 2]))) for i in range(40)]
     assert sorted(jaccard.spanning_forest(members, 80, 100)) == [(2 * i + 1, 2 * i) for i in range(20)]
 
 
+def test_tokens_in_parts_connect_like_whole_ones():
+    """Keys of near size under one token come together however the token is dealt out."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(rng.integers(2, 60))
+        keys = rng.permutation(1000)[:n].astype(np.int64) + 1
+        sizes = np.exp(rng.uniform(0, rng.uniform(0.5, 8), n)).astype(np.int64) + 1
+        parts = rng.integers(1, 5, n)
+        up = {int(k): int(k) for k in keys}
+
+        def find(u):
+            while up.setdefault(u, u) != u:
+                u = up[u]
+            return u
+
+        for p in range(1, 5):
+            own = parts == p
+            if own.any():
+                x, y, kind = jaccard._buckets(np.full(own.sum(), 7), keys[own], sizes[own], parts[own], 80, 100)
+                assert (kind != jaccard.MEMBER).all() and len(x) <= 3 * own.sum()
+                for a, b, k in zip(x.tolist(), y.tolist(), kind.tolist()):
+                    up[find(("class", a) if k == jaccard.STANDS else a)] = find(b)
+        for i in range(n):
+            for j in range(n):
+                if 80 * sizes[i] <= 100 * sizes[j] and 80 * sizes[j] <= 100 * sizes[i]:
+                    assert find(int(keys[i])) == find(int(keys[j]))
+
+
 def test_heaviest_counts(spark):
     """Ties at the limit are broken by hash: the limit is always filled."""
     rng = np.random.default_rng(8)
