@@ -9,15 +9,14 @@ subsets; sparser versions of the same subsets let documents of other lengths com
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oplake.llm.common import WORD  # noqa: F401  the word rule below is its complement
 
-#: Randomised subsets of the lexicon.
-SUBSETS = 32
+#: Randomised subsets of the lexicon, drawn eight at a time: the eight of a draw share no term from
+#: level 3 on, those of different draws are independent.
+SUBSETS, DRAWN = 32, 3
 #: A subset at level l keeps each term with probability 2^-l.  A document is hashed at its own level, at
 #: which a subset holds one term of it or a little less, and at the next ones, up to 2^LEVELS times its terms.
 LEVELS = 8
@@ -39,6 +38,11 @@ def _constant(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` and the lambdas in it name it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lexicon(docs: DataFrame, text_col: str, n_docs: int, band=BAND) -> list[int]:
     """Hashes of the terms within the band.  Counts run over all documents; as a lexicon term stands in
     a share of band[0] of them at least, there are no more than a document's mean number of distinct
@@ -48,25 +52,39 @@ def lexicon(docs: DataFrame, text_col: str, n_docs: int, band=BAND) -> list[int]
     return [r.h for r in inside.select("h").collect()]
 
 
-def _member(words: list[int]):
-    """A test of exact membership: the hashes lie sorted by bucket, and a bucket holds about one."""
-    size = 1 << max(1, len(words).bit_length())
-    words = sorted(words, key=lambda h: h % size)
-    starts, at = [], 0
-    for b in range(size + 1):
-        while at < len(words) and words[at] % size < b:
-            at += 1
-        starts.append(at)
-    values, begin = _constant(words, "bigint"), _constant(starts, "int")
-
-    def known(h: Column) -> Column:
-        if not words:
-            return F.lit(False)
-        b = F.pmod(h, F.lit(size)).cast("int")
-        first, end = F.element_at(begin, b + 1), F.element_at(begin, b + 2)
-        return (end > first) & F.array_contains(F.slice(values, first + 1, end - first), h)
-
-    return known
+def _cuckoo(words: list[int]) -> list[int]:
+    """A table, a little over twice as long as the words, in which each word stands at one of two places,
+    by the rest it or its higher bits leave.  Free slots repeat a word, which changes no answer."""
+    size = 4 + 22 * len(words) // 10
+    while True:
+        table: dict[int, int] = {}
+        for word in words:
+            now, at = word, word % size
+            for _ in range(500):
+                now, other = table.get(at), now
+                table[at] = other
+                if now is None:
+                    break
+                at = (now >> 20) % size if at == now % size else now % size
+            if now is not None:
+                break
+        else:
+            return [table.get(i, words[0]) for i in range(size)]
+        size += 1 + size // 8
+
+
+def _members(terms: Column, words: list[int]) -> Column:
+    """The terms that are among ``words``, by two looks at a constant table each.  The table stands in
+    the plan once, as plans are printed and kept."""
+    if not words:
+        return F.filter(terms, lambda h: F.lit(False))
+    table = _cuckoo(words)
+
+    def known(values: Column, h: Column) -> Column:
+        first, other = (F.element_at(values, F.pmod(x, F.lit(len(table))).cast("int") + 1) for x in (h, F.shiftright(h, 20)))
+        return (first == h) | (other == h)
+
+    return _let(_constant(table, "bigint"), lambda values: F.filter(terms, lambda h: known(values, h)))
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out_col: str, words: list[int]) -> DataFrame:
@@ -74,26 +92,39 @@ def with_fingerprint(df: DataFrame, text_col: str, out_col: str, words: list[int
     its lexicon terms, then for each of LEVELS levels from its own on SUBSETS hashes of four digits,
     0000 for a subset without terms; zeros at the end are left off.  Texts none of whose terms is in
     the lexicon are hashed by all their terms."""
-    t, kept, level, own = "__fp_terms", "__fp_kept", "__fp_level", "__fp_own"
-    known = _member(words)
+    t, kept, level = "__fp_terms", "__fp_kept", "__fp_level"
     df = df.withColumn(t, term_hashes(F.coalesce(F.col(text_col), F.lit(""))))
-    df = df.withColumn(kept, F.filter(t, known))
+    df = df.withColumn(kept, _members(F.col(t), words))
     df = df.withColumn(kept, F.array_sort(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(t)))).drop(t)
     df = df.withColumn(level, F.when(F.size(kept) > 1, F.ceil(F.log2(F.size(kept).cast("double"))).cast("int")).otherwise(F.lit(0)))
 
-    def stays(h: Column, i: Column, at: Column) -> Column:
-        return F.xxhash64(h, i).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at) - 1) == 0
+    def mask(bits: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
-    every = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    df = df.withColumn(own, F.transform(every, lambda i: F.filter(F.col(kept), lambda h: stays(h, i, F.col(level)))))
+    # a draw gives each term a hash u: its lowest bits name the term's subset, or several at low
+    # levels, and the bits above have to be zero, one more at each level
+    def of_subset(u: Column, i: Column, at: Column) -> Column:
+        low = mask(F.least(at, F.lit(DRAWN)))
+        return u.bitwiseAND(low) == i.cast("long").bitwiseAND(low)
 
-    def cell(i: Column, j: Column) -> Column:
-        mine = F.filter(F.element_at(F.col(own), i + 1), lambda h: stays(h, i, F.col(level) + j))
-        return F.when(F.size(mine) > 0, F.lpad(F.hex(F.pmod(F.xxhash64(mine), F.lit(0xFFFF)) + 1), _CELL, "0")).otherwise(F.lit("0" * _CELL))
+    def of_level(u: Column, at: Column) -> Column:
+        return F.shiftrightunsigned(u, DRAWN).bitwiseAND(mask(F.greatest(at, F.lit(DRAWN)) - DRAWN)) == 0
 
-    cells = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda j: F.array_join(F.transform(every, lambda i: cell(i, j)), "")), "")
+    draws, each = F.sequence(F.lit(0), F.lit((SUBSETS >> DRAWN) - 1)), F.sequence(F.lit(0), F.lit((1 << DRAWN) - 1))
+    drawn = F.transform(draws, lambda g: F.filter(F.col(kept), lambda h: of_level(F.xxhash64(h, g), F.col(level))))
+    own = F.flatten(F.transform(drawn, lambda terms, g: F.transform(each, lambda i: F.filter(terms, lambda h: of_subset(F.xxhash64(h, g), i, F.col(level))))))
+    none = F.lit("0" * _CELL)
+
+    def cell(terms: Column, i: Column, j: Column) -> Column:
+        g, at = F.shiftright(i, DRAWN), F.col(level) + j
+        mine = F.filter(terms, lambda h: of_subset(F.xxhash64(h, g), i, at) & of_level(F.xxhash64(h, g), at))
+        code = _let(mine, lambda m: F.when(F.size(m) > 0, F.lpad(F.hex(F.pmod(F.xxhash64(m), F.lit(0xFFFF)) + 1), _CELL, "0")).otherwise(none))
+        return F.when(F.size(terms) > 0, code).otherwise(none)
+
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    cells = _let(own, lambda subsets: F.array_join(F.transform(levels, lambda j: F.array_join(F.transform(subsets, lambda terms, i: cell(terms, i, j)), "")), ""))
     head = F.concat(F.lpad(F.hex(F.col(level)), 2, "0"), F.lpad(F.hex(F.xxhash64(F.col(kept))), _WHOLE, "0"))
-    return df.withColumn(out_col, F.concat(head, F.rtrim(cells, F.lit("0")))).drop(kept, level, own)
+    return df.withColumn(out_col, F.concat(head, F.rtrim(cells, F.lit("0")))).drop(kept, level)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -107,18 +138,24 @@ def likeness(a: Column, b: Column) -> Column:
     none = "0" * _CELL
     cell = lambda s, i: F.substr(s, i * _CELL + 1, F.lit(_CELL))
     places = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    both = F.filter(places, lambda i: (cell(sa, i) == cell(sb, i)) & (cell(sa, i) != none))
-    either = F.filter(places, lambda i: (cell(sa, i) != none) | (cell(sb, i) != none))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.size(both) / F.nullif(F.size(either), F.lit(0)), F.lit(0.0)))
+
+    def share(p: Column) -> Column:
+        x, y = p.getField("x"), p.getField("y")
+        both = F.filter(places, lambda i: (cell(x, i) == cell(y, i)) & (cell(x, i) != none))
+        either = F.filter(places, lambda i: (cell(x, i) != none) | (cell(y, i) != none))
+        return F.coalesce(F.size(both) / F.nullif(F.size(either), F.lit(0)), F.lit(0.0))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.struct(sa.alias("x"), sb.alias("y")), share))
 
 
 def _place(cuts: list[int], value: Column) -> Column:
-    """How many of the ascending ``cuts`` are no larger, by two looks at about their root each."""
+    """How many of the ascending ``cuts`` are no larger, by halving."""
     if not cuts:
         return F.lit(0)
-    step = max(1, math.isqrt(len(cuts)))
-    block = F.size(F.filter(_constant(cuts[step::step], "bigint"), lambda c: c <= value)) if len(cuts) > step else F.lit(0)
-    return block * step + F.size(F.filter(F.slice(_constant(cuts, "bigint"), block * step + 1, F.lit(step)), lambda c: c <= value))
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    padded = _constant(cuts + [(1 << 63) - 1] * (2 * steps[0] - 1 - len(cuts)), "bigint")
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.element_at(padded, at + step) <= value, step).otherwise(F.lit(0)))
+    return F.least(found, F.lit(len(cuts)))  # a value as large as the padding counts no padding
 
 
 def with_next(docs: DataFrame, carried: list[str], key: str, n_buckets: int, cuts: list[int]) -> DataFrame:

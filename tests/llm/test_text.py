@@ -216,9 +216,10 @@ def brute_fingerprints(texts, band):
         kept = sorted(terms(t) & inside) or sorted(terms(t))
         level, cells = (math.ceil(math.log2(len(kept))) if len(kept) > 1 else 0), {}
         for i in range(fingerprint.SUBSETS):
-            u = {h: xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), 42)) for h in kept}
+            u = {h: xxhash.xxh64_intdigest((i // 8).to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), 42)) for h in kept}
             for j in range(fingerprint.LEVELS):
-                own = [h for h in kept if u[h] & ((1 << (level + j)) - 1) == 0]
+                n = level + j  # each of eight subsets takes one term in 2^n
+                own = [h for h in kept if u[h] % 2 ** min(n, 3) == i % 2 ** min(n, 3) and (u[h] >> 3) % 2 ** max(n - 3, 0) == 0]
                 if own:
                     cells[level + j, i] = signed(of(own)) % 0xFFFF + 1
         return level, of(kept), cells
@@ -257,6 +258,17 @@ def test_fingerprint_terms(spark):
         assert abs(r.near_next - brute_likeness(plain[i], plain[(i + 1) % len(texts)])) < 1e-12
 
 
+def test_lexicon_membership_is_exact():
+    """Every word at one of its two places, whatever the words: ones that share both among them."""
+    rng = random.Random(5)
+    for n in (1, 2, 3, 50, 3000):
+        words = sorted({rng.getrandbits(64) - (1 << 63) for _ in range(n)} | {0, -1})
+        table = fingerprint._cuckoo(words)
+        assert set(table) == set(words) and len(table) <= 16 * len(words)
+        for w in words:
+            assert w in (table[w % len(table)], table[(w >> 20) % len(table)])
+
+
 def test_places_among_cuts(spark):
     for n in (0, 1, 2, 3, 10, 99, 100, 101):
         cuts = sorted({7 * i % 1009 for i in range(n)})
