@@ -1,9 +1,12 @@
 """Exact top-k search and the n-gram Jaccard join."""
 
+import glob
 import random
 import re
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +202,74 @@ def test_signature_tree_loses_nothing():
     assert len(pairs) < leaves * (leaves + 1) / 2
 
 
+def family(rng, n, size=300, changed=0.15):
+    """Near copies of one text, most of which are linked with few others directly."""
+    base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+    return [np.unique(np.where(rng.random(size) < changed, rng.integers(0, 1 << 63, size).astype(np.uint64), base)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_large_groups_send_sets_for_few_blocks(spark, monkeypatch, block):
+    """Links of groups in blocks connect what all pairs do; sets do not go out once for every 128 of their group."""
+    if block < 1024:
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    groups = [family(rng, n, changed=c) for n, c in ((700 if block > 5 else 40, 0.15), (30, 0.02), (25, 0.09))]
+    sets = {100 * 1000 * g + i: s for g, group in enumerate(groups) for i, s in enumerate(group)}
+    rows = spark.createDataFrame([(k, bytearray(s.tobytes()), k // 100_000, 6) for k, s in sets.items()], "k long, s binary, root long, parts int").repartition(3)
+
+    def link(part):
+        keys = part["k"].tolist()
+        found = {k: np.frombuffer(bytes(s), dtype=np.uint64) for k, s in zip(keys, part["s"])}
+        order = sorted(found)
+        roots = jaccard.similar_groups([found[k] for k in order])
+        pairs = [(order[i], order[r]) for i, r in enumerate(roots) if i != r]
+        return pd.DataFrame(pairs + [(-1, len(keys))], columns=["a", "b"], dtype="int64")
+
+    got = jaccard._large_groups(rows, link, 80, 100).collect()
+    if block > 5:
+        assert sum(r.b for r in got if r.a == -1) <= 2 * len(sets)  # 8563 in parts of 128
+    up = {k: k for k in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in got:
+        if r.a != -1:
+            x, y = find(r.a), find(r.b)
+            up[max(x, y)] = min(x, y)
+    for g, group in enumerate(groups):
+        assert [find(100_000 * g + i) - 100_000 * g for i in range(len(group))] == jaccard.similar_groups(group)
+
+
+def test_bitmaps_are_short_and_tell_apart():
+    """At most 1.2 bits a token, as one goes out for each bucket of a set; near ones always pass, others seldom."""
+    rng = np.random.default_rng(7)
+    for n in (120, 500, 853, 4000, 19000):
+        x, y = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2))
+        bits = lambda s: jaccard.Bits(jaccard.set_bitmap(s), len(s))
+        assert 8 * len(jaccard.set_bitmap(x)) <= max(64, 1.2 * n)
+        assert not bits(x).may_be_similar(bits(y), 80, 100)
+        for other in (n // 9, n // 20):  # n - other of n + other tokens
+            near = np.concatenate([x[: n - other], y[:other]])
+            assert bits(x).may_be_similar(bits(near), 80, 100) and bits(near[: n - other]).may_be_similar(bits(x), 8, 10)
+
+
+def test_release_drops_shuffles(spark):
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    common.release(spark)
+    time.sleep(3)
+    before = held()
+    rows = common.scratch(spark.range(20_000).repartition(7, "id"), "release", free=True)
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and rows.count() == 20_000
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7), (200, 201)]
     df = spark.createDataFrame(edges, "a long, b long")
