@@ -7,7 +7,8 @@ probability by a logistic curve fitted on rows left out of the descent.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oplake.llm.common import Words, crc_bucket, mix64, word_chunks
+from oplake.llm.common import Words, crc_bucket, mix64, release, word_chunks
 
 #: Indicators are hashed into so many slots.
 SLOTS = 1 << 18
@@ -92,7 +93,22 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(np.array(out, dtype=np.float64), -60, 60)))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int, least: float = 1e-3) -> tuple[np.ndarray, float]:
+class Scaled(Sequence):
+    """Each row's class ratios at unit length, worked out when asked for: all of them would take as much of
+    the driver's memory again as the slots."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+        self.norm = [float(np.sqrt((v * v).sum())) or 1.0 for v in (ratio[f] for f in rows)]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return (self.ratio[self.rows[i]] / self.norm[i]).astype(np.float32)
+
+
+def dual_coordinate_descent(rows: list[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int, least: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias minimising half the squared norm plus cost-weighted hinge losses; it ends with an
     epoch whose steps are all below ``least``."""
     w, bias, alpha = np.zeros(SLOTS), 0.0, np.zeros(len(rows))
@@ -143,19 +159,16 @@ def fit_rows(features: list[np.ndarray], labels: np.ndarray, class_counts: tuple
     for f, c in zip(features, y):
         (up if c > 0 else down)[f] += 1
     ratio = np.log((up / up.sum()) / (down / down.sum()))
-    values = []
-    for f in features:
-        v = ratio[f]
-        values.append((v / (float(np.sqrt((v * v).sum())) or 1.0)).astype(np.float32))
     each = {1.0: len(y) / (2 * (y > 0).sum()), -1.0: len(y) / (2 * (y < 0).sum())}
     costs = np.array([cost * each[c] for c in y])
     held = np.random.default_rng(seed).random(len(y)) < 0.2
     if len({*y[held].tolist()}) < 2 or len({*y[~held].tolist()}) < 2:
         held = np.zeros(len(y), dtype=bool)
     keep = np.flatnonzero(~held)
-    w, bias = dual_coordinate_descent([features[i] for i in keep], [values[i] for i in keep], y[keep], costs[keep], epochs, seed)
     use = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    margin = np.array([float(w[features[i]] @ values[i]) + bias for i in use])
+    train, test = ([features[i] for i in part] for part in (keep, use))
+    w, bias = dual_coordinate_descent(train, Scaled(train, ratio), y[keep], costs[keep], epochs, seed)
+    margin = np.array([float(w[f] @ v) + bias for f, v in zip(test, Scaled(test, ratio))])
     share = {1.0: prior / max((y[use] > 0).mean(), 1e-9), -1.0: (1 - prior) / max((y[use] < 0).mean(), 1e-9)}
     slope, shift = _platt(margin, y[use], np.array([share[c] for c in y[use]]))
     return QualityModel(w * ratio, ratio, bias, slope, shift)
@@ -171,6 +184,15 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, holdout: tupl
     return part, (counts.get(0, 0), counts.get(1, 0))
 
 
+def pack_slots(slots: np.ndarray) -> bytes:
+    """Ascending slots as compressed differences, about a third of their bytes."""
+    return zlib.compress(np.diff(slots, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def unpack_slots(data: bytes) -> bytes:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), dtype="<i4"), dtype="<i4").tobytes()
+
+
 def collect_features(docs: DataFrame, sample: DataFrame, extractor, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
     """Indicator slots and labels of the sampled rows, brought to the driver; the sample is
     bounded, so its ids are broadcast and only its texts are read into features."""
@@ -180,13 +202,13 @@ def collect_features(docs: DataFrame, sample: DataFrame, extractor, id_col: str
         for batch in batches:
             for at, to, words in word_chunks(batch.column(2), lower=extractor.lower):
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([f.astype("<i4").tobytes() for f in extractor.features(words)], pa.binary())], names=["doc_id", "label", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([pack_slots(f) for f in extractor.features(words)], pa.binary())], names=["doc_id", "label", "slots"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     sampled, found = rows.mapInArrow(run, f"doc_id {kind}, label int, slots binary").collect(), []
     while sampled:  # each row goes as its features are taken over
         r = sampled.pop()
-        found.append((bytes(r.slots), r.label))
+        found.append((unpack_slots(r.slots), r.label))
     found.sort()
     return [np.frombuffer(f, dtype="<i4") for f, _ in found], np.array([c for _, c in found], dtype=np.int64)
 
@@ -201,7 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     at most ``per_class`` rows of each class.  Without labelled rows of both classes it answers the prior."""
     sample, counts = labelled_sample(labels, label, per_class, holdout)
     features, y = collect_features(docs, sample, _Extractor)
-    return fit_rows(features, y, counts, seed)
+    model = fit_rows(features, y, counts, seed)
+    del features
+    release(docs.sparkSession)
+    return model
 
 
 def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3, holdout: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

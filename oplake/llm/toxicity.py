@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oplake.llm.common import Words, crc_bucket, word_chunks
+from oplake.llm.common import Words, crc_bucket, release, word_chunks
 from oplake.llm.quality import collect_features, labelled_sample
 
 SLOTS = 1 << 20
@@ -158,7 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     ``per_class`` toxic and as many other rows.  Without labelled rows of both classes it answers the prior."""
     sample, counts = labelled_sample(labels, label, per_class, holdout)
     features, y = collect_features(docs, sample, _Extractor)
-    return fit_rows(features, y, counts, seed)
+    model = fit_rows(features, y, counts, seed)
+    del features
+    release(docs.sparkSession)
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, holdout: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

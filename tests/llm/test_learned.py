@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -439,3 +440,18 @@ def test_hash_index():
     at, known = index(ask)
     assert (known == np.isin(ask, keys)).all() and (keys[at[known]] == ask[known]).all()
     assert not lm_score.HashIndex(keys[:0])(ask)[1].any()
+
+
+def test_fitting_holds_the_slots_once():
+    """On the driver the sampled rows' slots arrive packed, and no second table of their size is made."""
+    rng = np.random.default_rng(1)
+    features = [np.unique(rng.integers(0, quality.SLOTS, 4000)).astype("<i4") for _ in range(2500)]
+    for f in (*features[:20], features[0][:1], features[0][:0], np.array([0, quality.SLOTS - 1], dtype="<i4")):
+        assert quality.unpack_slots(packed := quality.pack_slots(f)) == f.tobytes()
+        assert len(packed) < 20 + len(f) * 2
+    labels = (rng.random(len(features)) < 0.5).astype(int)
+    tracemalloc.start()
+    quality.fit_rows(features, labels, (1250, 1250), epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(f.nbytes for f in features)
