@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from oplake.llm import jaccard, mixing, packing, quality, toxicity
-from oplake.llm.common import scratch, table
+from oplake.llm.common import scratch, short_batches, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose naive Bayes support vector score reaches 0.3."""
+    short_batches(spark)
     return quality.keep_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal regression does not find toxic."""
+    short_batches(spark)
     return toxicity.keep_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 

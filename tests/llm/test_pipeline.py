@@ -118,3 +118,17 @@ def test_stages_on_odd_tables(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 100 and "sequence_id" in out.columns
+
+
+def test_texts_go_to_workers_in_short_batches(spark, sf_dir):
+    """Each stage that sends whole texts to Python does so in batches of 1000 rows, unless the session chose a number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            for given, then in (("10000", "1000"), ("77", "77")):
+                spark.conf.set(key, given)
+                stage(spark, docs.limit(0), sf_dir)
+                assert spark.conf.get(key) == then, name
+    finally:
+        spark.conf.set(key, held)
