@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,9 @@ _M1, _M2 = np.array([0x85EBCA6B, 0x9E3779B1], dtype=np.uint32)[:, None]  # array
 RATE, CURVE = 0.3, 4
 #: A task's tables take up new counts whenever there are so many times as many as slots.
 RENEW = 2.0
+#: A decision's bit as what it adds to a slot's two counts, taken as one number.
+_ONE = np.array([[1, 0], [0, 1]], dtype=np.uint32).view(np.uint64).reshape(-1)
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -80,6 +84,11 @@ def head_words(words: int) -> int:
     return max(HEAD, int(HEAD_ROOT * math.sqrt(words)))
 
 
+def gather(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``values[at]``, read only, of places that are known to be there: without numpy's checks more reads are under way at once."""
+    return np.asarray(pc.take(pa.array(values), pa.array(at), boundscheck=False))
+
+
 class HashIndex:
     """Places of hashes in a sorted array: a direct index over their leading bits replaces a binary search."""
 
@@ -139,7 +148,7 @@ class Codes:
 
     def set_classes(self, texts: list[np.ndarray]) -> None:
         """Classes of a few texts at hand.  ``texts``: places in ``class_words`` of each one's frequent words."""
-        block = class_block(texts)
+        block = class_block(np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), len(texts))
         starts = np.random.default_rng(3).choice(len(texts), min(len(texts), CLASS_STARTS * CLASSES), replace=False)
         self.fit_classes([texts[i] for i in starts], np.bincount(block[1], weights=block[2], minlength=len(self.class_words)), len(texts), lambda p, prior: class_sums(block, p, prior))
 
@@ -172,12 +181,10 @@ class Codes:
             return np.zeros(len(unit), dtype=np.uint64)
         each = np.take(self.class_logit, np.minimum(unit, len(self.hash)), axis=0)  # the last row is zero
         firsts = np.flatnonzero(start)
-        before = each.copy()
-        before[1:] = each[:-1]
-        before[firsts] = self.class_prior
-        # one running sum; what the texts before left is taken off at each start
-        total = np.cumsum(before, axis=0, dtype=np.float64)
-        total -= np.repeat(total[firsts] - self.class_prior, np.diff(np.append(firsts, len(unit))), axis=0)
+        # one running sum over the tokens before; what the texts before left is taken off at each start
+        total = np.zeros((len(unit) + 1, each.shape[1]))
+        np.cumsum(each, axis=0, out=total[1:])
+        total = total[:-1] - np.repeat(total[firsts] - self.class_prior, np.diff(np.append(firsts, len(unit))), axis=0)
         return np.argmax(total, axis=1).astype(np.uint64)
 
     @staticmethod
@@ -218,11 +225,11 @@ class Codes:
         return length, steps, np.log((high + 0.5) / (low + 0.5))
 
 
-def class_block(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the number of its distinct words; then these words' places and counts, text by text."""
-    run = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    key, count = np.unique(run * CLASS_WORDS + np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
-    return np.bincount(key // CLASS_WORDS, minlength=len(texts)), key % CLASS_WORDS, count
+def class_block(text: np.ndarray, place: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of ``texts`` texts the number of its distinct words; then these words' places and counts, text by
+    text.  ``text``, ``place``: of each word."""
+    key, count = np.unique(text * CLASS_WORDS + place, return_counts=True)
+    return np.bincount(key // CLASS_WORDS, minlength=texts), key % CLASS_WORDS, count
 
 
 def class_sums(block: tuple[np.ndarray, np.ndarray, np.ndarray], log_p: np.ndarray, log_prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,13 +311,12 @@ class Decisions:
         length = codes.length[units]
         n = int(length.sum())
         dec_start = np.cumsum(length) - length
-        flat = np.repeat(codes.offset[units] - dec_start, length)
-        flat += np.arange(n)
-        step = np.take(codes.steps, flat, mode="clip")
+        flat = np.repeat((codes.offset[units] - dec_start).astype(np.int32), length)
+        flat += np.arange(n, dtype=np.int32)
+        step = gather(codes.steps, flat)
         self.bit = (step & 1).astype(np.int8)
-        step >>= 1
-        self.node = step
-        node = step.astype(np.uint32)
+        self.node = step >> 1
+        node = self.node.astype(np.uint32)
         node *= _M1 * _M2
         self.slots = []
         for c in (c1, c2, c3):  # (context + node * M1) * M2, its leading bits
@@ -321,21 +327,24 @@ class Decisions:
         tok_start = dec_start[first_unit] if total else np.zeros(0, np.int64)
         self.tok_start = np.append(tok_start, n)
         self.doc_start = self.tok_start[np.append(np.flatnonzero(start), total)] if total else np.zeros(1, np.int64)
-        self.match = self._match(one, two, doc, total, n) if with_match else None
+        self.match, self.matched = self._match(one, two, doc, total, n) if with_match else (None, None)
 
-    def _match(self, one, two, doc, total, n) -> np.ndarray:
-        """+1 or -1: the bit that the last token after the same two words took here, while it agrees; 0 without one."""
+    def _match(self, one, two, doc, total, n) -> tuple[np.ndarray, np.ndarray]:
+        """+1 or -1: the bit that the last token after the same two words took here, while it agrees; 0 without
+        one.  And the few decisions that have one."""
         out = np.zeros(n, dtype=np.int8)
         if total < 2:
-            return out
+            return out, np.zeros(0, dtype=np.int64)
         key = (one * _K2 + two) * _K3 + doc.astype(_U) * _K1
-        order = np.argsort(key, kind="stable")
+        # sorted by the leading bits, with the place in the others; equal keys lie together, in order
+        low = _U((1 << total.bit_length()) - 1)
+        order = (np.sort(key & ~low | np.arange(total, dtype=_U)) & low).astype(np.int64)
         same = (key[order][1:] == key[order][:-1]) & (one[order][1:] != 0)
         prev = np.full(total, -1, dtype=np.int64)
         prev[order[1:][same]] = order[:-1][same]
         has = np.flatnonzero(prev >= 0)
         if not len(has):
-            return out
+            return out, has
         s, e = self.tok_start[has], self.tok_start[has + 1]
         ps, pe = self.tok_start[prev[has]], self.tok_start[prev[has] + 1]
         size = np.minimum(e - s, pe - ps)
@@ -347,13 +356,29 @@ class Decisions:
         wrong = wrong - np.repeat(wrong[base], size)
         ok = wrong == 0
         out[here[ok]] = 2 * self.bit[there[ok]] - 1
-        return out
+        return out, here[ok]
 
 
 #: Confidence by how often a slot was counted, up to 16 times.
 _CONFIDENCE = np.array([0, 1, 1, *[2] * 13, 3], dtype=np.int16)
 
 
+def _pack(none: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Counts as predictions read them: the logit in steps of 1/256, with the confidence in the two low bits."""
+    step = np.log(one.astype(np.float32) + np.float32(0.4))
+    step -= np.log(none.astype(np.float32) + np.float32(0.4))
+    step *= np.float32(256)
+    packed_ = np.rint(step, out=step).astype(np.int16)
+    packed_ <<= 2
+    packed_ |= np.take(_CONFIDENCE, np.minimum(one, 16) + np.minimum(none, 16), mode="clip")
+    return packed_
+
+
+#: The same for all counts below _FEW, by none * _FEW + one.
+_FEW = 64
+_PACKED = _pack(*np.divmod(np.arange(_FEW * _FEW, dtype=np.uint32), np.uint32(_FEW)))
+
+
 @dataclass
 class Mixer:
     codes: Codes
@@ -372,17 +397,13 @@ class Mixer:
         return Mixer(codes, [np.zeros((1 << codes.table_bits, 2), dtype=np.uint32) for _ in range(TABLES)], _initial_weights())
 
     def renew(self) -> None:
-        """Takes the counts into what predictions read: each table's logits in steps of 1/256 with the
-        confidence in the two low bits."""
+        """Takes the counts into what predictions read."""
         for k, c in enumerate(self.counts):
             for a in range(0, len(c), 1 << 16):
                 none, one = c[a : a + (1 << 16), 0], c[a : a + (1 << 16), 1]
-                step = np.log(one.astype(np.float32) + np.float32(0.4))
-                step -= np.log(none.astype(np.float32) + np.float32(0.4))
-                step *= np.float32(256)
-                packed_ = np.rint(step, out=step).astype(np.int16)
-                packed_ <<= 2
-                packed_ |= np.take(_CONFIDENCE, np.minimum(one, 16) + np.minimum(none, 16), mode="clip")
+                packed_ = np.take(_PACKED, np.minimum(none, _FEW - 1) * np.uint32(_FEW) + np.minimum(one, _FEW - 1))
+                many = np.flatnonzero((none | one) >= _FEW)
+                packed_[many] = _pack(none[many], one[many])
                 self._ready[k][a : a + len(packed_)] = packed_
         self._since = 0
 
@@ -396,14 +417,13 @@ class Mixer:
     def inputs(self, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
         """Logits of each input, the last one constant, and the gate of each decision."""
         x = np.empty((_INPUTS, len(d.bit)), dtype=np.float32)
-        np.take(self.codes.logit, d.node, out=x[0], mode="clip")
+        x[0] = gather(self.codes.logit, d.node)
         gate = (d.node >= self.codes.word_nodes).astype(np.int16)
         for k, slot in enumerate(d.slots):
-            v = np.take(self._ready[k], slot, mode="clip")
+            v = gather(self._ready[k], slot)
             gate <<= 2
             gate += v & 3
-            v >>= 2
-            np.multiply(v, np.float32(1 / 256), out=x[1 + k])
+            np.multiply(v >> 2, np.float32(1 / 256), out=x[1 + k])
         x[-2], x[-1] = d.match, _BIAS
         long = (d.match != 0).astype(np.int16)
         first = d.tok_start[:-1][d.tok_start[:-1] < len(long)]
@@ -413,16 +433,16 @@ class Mixer:
         return x, gate.astype(np.intp)
 
     @staticmethod
-    def logits(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def logits(x: np.ndarray, gate: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Mixed logits; ``at``: the decisions with a match."""
         w = np.ascontiguousarray(weights.T, dtype=np.float32)
         z = np.take(w[-1] * np.float32(_BIAS), gate, mode="clip")
         for k in range(len(x) - 2):
             t = np.take(w[k], gate, mode="clip")
             t *= x[k]
             z += t
-        at = np.flatnonzero(x[-2])  # few decisions have a match
         z[at] += w[-2][gate[at]] * x[-2][at]
-        return np.clip(z, -_LIMIT, _LIMIT, out=z)
+        return np.minimum(np.maximum(z, -_LIMIT, out=z), _LIMIT, out=z)
 
     def learn(self, words: Words) -> int:
         """Goes through a run of training documents: predicts, corrects the weights, counts."""
@@ -431,20 +451,25 @@ class Mixer:
         self.used += np.bincount(gate, minlength=_GATES)
         for a in range(0, len(gate), LEARN):
             xs, g, bits = x[:, a : a + LEARN], gate[a : a + LEARN], d.bit[a : a + LEARN]
-            p = 1 / (1 + np.exp(-self.logits(xs, g, self.weights)))
+            at = d.matched[slice(*np.searchsorted(d.matched, (a, a + LEARN)))] - a
+            p = 1 / (1 + np.exp(-self.logits(xs, g, self.weights, at)))
             some = slice(self.steps % CURVE, None, CURVE)  # curvature changes slowly: a share of the decisions tells it
-            h, gs = (p[some] * (1 - p[some])) * CURVE, g[some]
-            err = np.subtract(bits, p, dtype=np.float64)
-            for k in range(_INPUTS):
-                up = np.bincount(g, weights=err * xs[k], minlength=_GATES)
-                v = xs[k][some]
-                down = np.bincount(gs, weights=h * (v * v), minlength=_GATES)
-                self.weights[:, k] += RATE * up / (_INPUTS * 0.5 * down + 20.0)
+            h, gs, err = (p[some] * (1 - p[some])) * np.float32(CURVE), g[some], bits - p
+            v = xs[:-2, some] * xs[:-2, some] * h
+            up, down = np.zeros((2, _INPUTS, _GATES))
+            for k in range(_INPUTS - 2):
+                up[k] = np.bincount(g, weights=err * xs[k], minlength=_GATES)
+                down[k] = np.bincount(gs, weights=v[k], minlength=_GATES)
+            told = at[at % CURVE == some.start] // CURVE
+            up[-2] = np.bincount(g[at], weights=err[at] * xs[-2, at], minlength=_GATES)
+            down[-2] = np.bincount(gs[told], weights=h[told], minlength=_GATES)
+            up[-1] = _BIAS * np.bincount(g, weights=err, minlength=_GATES)
+            down[-1] = _BIAS**2 * np.bincount(gs, weights=h, minlength=_GATES)
+            self.weights += (RATE * up / (_INPUTS * 0.5 * down + 20.0)).T
             self.steps += 1
+        count = np.take(_ONE, d.bit)
         for k, slot in enumerate(d.slots):
-            slot <<= 1
-            slot += d.bit
-            np.add.at(self.counts[k].reshape(-1), slot, np.uint32(1))
+            np.add.at(self.counts[k].view(np.uint64).reshape(-1), slot, count)
         self._since += len(gate)
         if self._since >= RENEW * len(self.counts[0]):
             self.renew()
@@ -465,7 +490,7 @@ class Mixer:
         predicted with them."""
         d = Decisions(words, self.codes, True)
         x, gate = self.inputs(d)
-        z = self.logits(x, gate, self.weights)
+        z = self.logits(x, gate, self.weights, d.matched)
         for a, b in zip(d.doc_start[:-1].tolist(), d.doc_start[1:].tolist()):
             own, curve = np.zeros(_INPUTS, dtype=np.float32), np.zeros(_INPUTS, dtype=np.float32)
             s, size = a, FIRST_SEGMENT
@@ -557,18 +582,18 @@ def word_counts(train: DataFrame) -> DataFrame:
 def learn_classes(train: DataFrame, codes: Codes, texts: int) -> None:
     """Fits the classes of ``codes`` to all training texts (a column): their frequent words are kept
     packed, and a round adds up each task's sums."""
-    order = codes.class_words[np.argsort(codes.hash[codes.class_words])]
     rank = np.argsort(codes.hash[codes.class_words])
-    keys = codes.hash[order]
+    keys = codes.hash[codes.class_words[rank]]
+    find = HashIndex(keys)
     if not len(keys) or texts < 4 * CLASSES:
         return
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words in word_chunks(batch.column(0)):
-                at = np.minimum(np.searchsorted(keys, words.hash), len(keys) - 1)
-                ok = keys[at] == words.hash
-                block = class_block([rank[at[a:b][ok[a:b]]] for a, b in zip(words.first[:-1], words.first[1:])])
+                at, ok = find(words.hash)
+                text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+                block = class_block(text[ok], rank[at[ok]], len(words.first) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(block, ("<i4", "<i2", "<i4"))], names=["n", "w", "c"])
 
     def block_of(batch: pa.RecordBatch, i: int):
@@ -635,17 +660,17 @@ def learn_model(train: DataFrame, codes: Codes, tasks: int) -> Mixer:
         if n:
             task = int.from_bytes(os.urandom(4), "little")
             weights = np.concatenate([own.used[:, None], own.weights * own.used[:, None]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([task], pa.int64()), pa.array([zlib.compress(weights.tobytes(), 1)], pa.binary())], names=["b", "task", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([task], pa.int64()), pa.array([_press(weights.tobytes())], pa.binary())], names=["b", "task", "v"])
             for k in range(TABLES):
                 blocks = own.counts[k].reshape(-1, 2 * _BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([k * len(blocks) + i for i in range(len(blocks))], pa.int32()), pa.array([task] * len(blocks), pa.int64()), pa.array([zlib.compress(_narrow(b), 1) for b in blocks], pa.binary())], names=["b", "task", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([k * len(blocks) + i for i in range(len(blocks))], pa.int32()), pa.array([task] * len(blocks), pa.int64()), pa.array([_press(_narrow(b)) for b in blocks], pa.binary())], names=["b", "task", "v"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         if part["b"].iloc[0] < 0:
-            total = sum(np.frombuffer(zlib.decompress(bytes(v))) for v in part["v"]).tobytes()
+            total = sum(np.frombuffer(_unpress(bytes(v))) for v in part["v"]).tobytes()
         else:
-            total = _narrow(sum(_wide(zlib.decompress(bytes(v))) for v in part["v"]))
-        return pd.DataFrame({"b": part["b"].iloc[:1].astype("int32"), "task": part["task"].iloc[:1], "v": [zlib.compress(total, 1)]})
+            total = _narrow(sum(_wide(_unpress(bytes(v))) for v in part["v"]))
+        return pd.DataFrame({"b": part["b"].iloc[:1].astype("int32"), "task": part["task"].iloc[:1], "v": [_press(total)]})
 
     fields = "b int, task long, v binary"
     now = train.mapInArrow(run, fields)
@@ -657,15 +682,24 @@ def learn_model(train: DataFrame, codes: Codes, tasks: int) -> Mixer:
     per = size // _BLOCK
     for r in scratch(now.groupBy("b").applyInPandas(add, fields), "lm-tables").toLocalIterator():
         if r.b < 0:
-            weights = np.frombuffer(zlib.decompress(bytes(r.v))).reshape(_GATES, 1 + _INPUTS)
+            weights = np.frombuffer(_unpress(bytes(r.v))).reshape(_GATES, 1 + _INPUTS)
             seen = weights[:, 0] > 0
             out.weights[seen] = weights[seen, 1:] / weights[seen, :1]
         else:
             i = (r.b % per) * _BLOCK
-            out.counts[r.b // per][i : i + _BLOCK] = np.minimum(_wide(zlib.decompress(bytes(r.v))), 0xFFFFFFFF).astype(np.uint32).reshape(-1, 2)
+            out.counts[r.b // per][i : i + _BLOCK] = np.minimum(_wide(_unpress(bytes(r.v))), 0xFFFFFFFF).astype(np.uint32).reshape(-1, 2)
     return out
 
 
+def _press(data: bytes) -> bytes:
+    """Compressed, behind the size."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _unpress(data: bytes) -> bytes:
+    return _ZSTD.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _narrow(counts: np.ndarray) -> bytes:
     """Counts as bytes, in the fewest that hold the largest; the first byte says how many."""
     width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * w) - (w == 8))

@@ -404,6 +404,29 @@ def test_lm_blocks_keep_counts():
     assert len(lm_score._narrow(np.zeros(8, np.int64))) == 9
 
 
+def test_lm_short_cuts_give_the_same():
+    """What saves time against the plain forms: counts looked up packed, known matches, words of classes by chunk."""
+    rng = np.random.default_rng(8)
+    m = mixer(rng)
+    m.counts[0][:9] = [[0, 0], [63, 63], [63, 64], [64, 0], [0, 64], [127, 1], [1 << 20, 3], [7, 1 << 31], [0, 5]]
+    m.renew()
+    assert len(lm_score._PACKED) == lm_score._FEW**2
+    for c, ready in zip(m.counts, m._ready):
+        none, one = c[:5000].astype(np.int64).T
+        step = np.rint((np.log(one + 0.4) - np.log(none + 0.4)) * 256)
+        sure = (none + one > 0) * 1 + (none + one > 2) + (none + one > 15)
+        assert np.abs((ready[:5000] >> 2) - step).max() <= 1 and ((ready[:5000] & 3) == sure).all()
+    for texts in (["a b c a b c a b", "", "a b c"], ["x"], ["p q r s " * 40, "p q r s"]):
+        (words,) = words_of(texts)
+        d = lm_score.Decisions(words, m.codes, True)
+        assert d.matched.tolist() == np.flatnonzero(d.match).tolist() and (len(d.matched) > 0) == (len(texts) > 1)
+    text, place = np.array([0, 0, 2, 0, 2]), np.array([5, 2047, 1, 5, 1])
+    size, places, count = lm_score.class_block(text, place, 4)
+    assert (size.tolist(), places.tolist(), count.tolist()) == ([2, 0, 1, 0], [5, 2047, 1], [2, 1, 2])
+    for data in (b"", b"x", rng.bytes(5000), bytes(70_000)):
+        assert lm_score._unpress(lm_score._press(data)) == data
+
+
 def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     """Classes and mixing weights come from every training text, also of tables above a few thousand."""
     seen, rng = {}, np.random.default_rng(6)
