@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oplake.llm import common, jaccard, topk
+from oplake.llm.common import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -130,6 +131,51 @@ def test_buckets_give_fewer_rows_than_postings():
     assert sorted(jaccard.spanning_forest(members, 80, 100)) == [(2 * i + 1, 2 * i) for i in range(20)]
 
 
+def test_wide_forest_connects_like_all_pairs():
+    """Above BUCKET members the forest connects what the pairs that may be similar connect, by fewer edges than members."""
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        sets = []
+        while len(sets) < 2 * jaccard.BUCKET:
+            base = rng.integers(0, 1 << 63, int(np.exp(rng.uniform(0, 7))) + 1).astype(np.uint64)
+            for _ in range(int(rng.integers(1, 6))):
+                own = np.where(rng.random(len(base)) < rng.uniform(0, 0.15), rng.integers(0, 1 << 63, len(base)).astype(np.uint64), base)
+                sets.append(np.unique(own[: max(1, int(len(base) * rng.uniform(0.8, 1)))]))
+        members = [(i, jaccard.Bits(jaccard.set_bitmap(s), len(s))) for i, s in enumerate(sets)]
+        want, got = jaccard.UnionFind(len(sets)), jaccard.UnionFind(len(sets))
+        for i, (_, x) in enumerate(members):
+            for j in range(i):
+                if x.may_be_similar(members[j][1], 80, 100):
+                    want.link(i, j)
+        edges = jaccard.spanning_forest(members, 80, 100)
+        assert all(got.link(a, b) for a, b in edges)
+        assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+
+
+def test_a_shared_shingle_does_not_group_what_is_unlike(spark, monkeypatch):
+    """Texts with one shingle in common, more than BUCKET of them and none sampled, are no candidates; their near copies are."""
+    monkeypatch.setattr(jaccard, "HOT_SAMPLE", 1)
+    ids = [r.id for r in spark.range(2000).where("pmod(xxhash64(id), 65536) >= 4096").limit(300).collect()]
+    phrases = [" ".join(f"c{i}x{j}" for j in range(5)) for i in range(2000)]
+    first = lambda t: int(next(jaccard.shingle_sets(Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))))[0])
+    common = min(phrases, key=first)  # its hash is among the least of every text
+    texts = [common + "".join(f" d{i}w{j}" for j in range(60)) for i in range(300)]
+    texts = [texts[i - 1] + " changed" if i % 10 == 1 else t for i, t in enumerate(texts)]
+    groups, whole = [], jaccard.scratch
+
+    def kept(df, name, free=False):
+        out = whole(df, name, free)
+        if name == "jaccard-groups":
+            groups.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "scratch", kept)
+    rows = list(zip(ids, texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert 30 <= groups[0] <= 36  # one of each pair, and a few that bitmaps let pass by chance; all 299 where sets are connected unseen
+
+
 def test_tokens_in_parts_connect_like_whole_ones():
     """Keys of near size under one token come together however the token is dealt out."""
     rng = np.random.default_rng(6)
