@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -324,6 +325,14 @@ def test_release_drops_shuffles(spark):
     assert not held() - before
 
 
+def test_release_collects_again_after_a_while(monkeypatch):
+    """What a step that is just ending still holds at the first collection goes with a later one."""
+    calls, jvm = [], SimpleNamespace(System=SimpleNamespace(gc=lambda: calls.append("gc")))
+    monkeypatch.setattr(common, "time", SimpleNamespace(sleep=lambda s: calls.append("sleep") if s else None), raising=False)
+    common.release(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=jvm)))
+    assert calls == ["gc", "sleep", "gc"]
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7), (200, 201)]
     df = spark.createDataFrame(edges, "a long, b long")
