@@ -14,12 +14,14 @@ new counts whenever there are twice as many as slots.  Counts of all tasks are a
 averaged by how often each gate was used.  In scoring, a text starts from
 these weights and goes on correcting them along its own decisions, each predicted before it is
 learned from.  The total of the decisions is the text's score.
+
+Tasks learn and score in the executors' JVM (``jvm``).  ``Decisions`` and ``Mixer`` are its form in
+numpy, which the tests hold it to; the driver keeps and packs the tables with it.
 """
 
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,9 +30,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oplake.llm import jvm
 from oplake.llm.common import Words, crc_bucket, heaviest, packed, scratch, word_chunks
 
 #: Words with a path of their own are seen HEAD_COUNT times at least; the rest is spelled.  There are
@@ -649,21 +652,9 @@ def learn_classes(train: DataFrame, codes: Codes, texts: int) -> None:
 def learn_model(train: DataFrame, codes: Codes, tasks: int) -> Mixer:
     """Tables and weights from one pass over all training texts.  Tasks send compressed blocks, which
     are added up 32 tasks at a time, so no task or driver step holds more than that."""
-    shared = train.sparkSession.sparkContext.broadcast(codes)
     size = 1 << codes.table_bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Mixer.start(shared.value), 0
-        for batch in batches:
-            for _, _, words in word_chunks(batch.column(0), limit=CHUNK):
-                n += own.learn(words)
-        if n:
-            task = int.from_bytes(os.urandom(4), "little")
-            weights = np.concatenate([own.used[:, None], own.weights * own.used[:, None]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([task], pa.int64()), pa.array([_press(weights.tobytes())], pa.binary())], names=["b", "task", "v"])
-            for k in range(TABLES):
-                blocks = own.counts[k].reshape(-1, 2 * _BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([k * len(blocks) + i for i in range(len(blocks))], pa.int32()), pa.array([task] * len(blocks), pa.int64()), pa.array([_press(_narrow(b)) for b in blocks], pa.binary())], names=["b", "task", "v"])
+    engine = jvm.engine(train.sparkSession, _arrays(codes, _initial_weights()))
+    fields = "b int, task long, v binary"
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         if part["b"].iloc[0] < 0:
@@ -672,8 +663,7 @@ def learn_model(train: DataFrame, codes: Codes, tasks: int) -> Mixer:
             total = _narrow(sum(_wide(_unpress(bytes(v))) for v in part["v"]))
         return pd.DataFrame({"b": part["b"].iloc[:1].astype("int32"), "task": part["task"].iloc[:1], "v": [_press(total)]})
 
-    fields = "b int, task long, v binary"
-    now = train.mapInArrow(run, fields)
+    now = jvm.map_rows(train.select(F.col(train.columns[0]).cast("binary")), engine.learner(), fields)
     left = tasks
     while left > 32:
         left = math.ceil(left / 32)
@@ -688,9 +678,24 @@ def learn_model(train: DataFrame, codes: Codes, tasks: int) -> Mixer:
         else:
             i = (r.b % per) * _BLOCK
             out.counts[r.b // per][i : i + _BLOCK] = np.minimum(_wide(_unpress(bytes(r.v))), 0xFFFFFFFF).astype(np.uint32).reshape(-1, 2)
+    engine.done()
     return out
 
 
+def _arrays(codes: Codes, weights: np.ndarray) -> list[np.ndarray]:
+    """What ``jvm`` has to know of the codes and parameters."""
+    numbers = [codes.table_bits, codes.word_nodes, codes.first_byte, codes.class_logit.shape[1], _GATES, LEARN, CURVE, _BLOCK, FIRST_SEGMENT, SEGMENT, _FEW]
+    parameters = [RATE, RENEW, _BIAS, _LIMIT, _STEP, FADE, PRIOR]
+    paths = [codes.length.astype(np.int32), codes.offset.astype(np.int32), codes.steps, codes.logit]
+    return [np.array(numbers, np.int64), np.array(parameters), codes.hash, *paths, codes.class_logit, codes.class_prior, weights, _PACKED, _COST]
+
+
+def scoring_engine(spark: SparkSession, mix: Mixer, known_hash: np.ndarray, known_count: np.ndarray):
+    """``known_hash``, ``known_count``: of the words whose counts are broadcast."""
+    logs = [np.log10(mix.codes.count + 1.0), known_hash, np.log10(known_count + 1.0)]
+    return jvm.engine(spark, [*_arrays(mix.codes, mix.weights), *mix._ready, *logs])
+
+
 def _press(data: bytes) -> bytes:
     """Compressed, behind the size."""
     return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
@@ -736,43 +741,17 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
     order = np.argsort(-known_count, kind="stable")
     order = order[known_count[order] >= HEAD_COUNT][: head_words(n_words)]
     head_hash, head_count = known_hash[order], known_count[order]
-    order = np.argsort(known_hash)
-    known = spark.sparkContext.broadcast((HashIndex(known_hash[order]), np.log10(known_count[order] + 1.0)))
     codes = Codes(head_hash, head_count, int(n_words - head_count.sum()), n_docs, octets, table_bits(n_words))
     learn_classes(train.select("text"), codes, n_docs)
     tasks = max(6, math.ceil(int(octets.sum()) / CHARS_PER_TASK))
-    shared = spark.sparkContext.broadcast(learn_model(train.select("text").coalesce(tasks), codes, tasks).for_scoring())
+    engine = scoring_engine(spark, learn_model(train.select("text").coalesce(tasks), codes, tasks).for_scoring(), known_hash, known_count)
     per_token = math.log10(n_train + v_train + 1)
     end_part = math.log10(n_docs + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of each document (h null), then rows of its words outside the head, under one uid."""
-        mix, (index, log_count) = shared.value, known.value
-        log_head = np.append(np.log10(mix.codes.count + 1.0), 0.0)
-        uid = int.from_bytes(os.urandom(8), "little") & 0x3FFFFFFFFFFFFFFF
-        for batch in batches:
-            for at, to, words in word_chunks(batch.column(1), limit=CHUNK):
-                score, d = mix.score(words)
-                rows = to - at
-                ids = uid + np.arange(rows, dtype=np.int64)
-                uid += rows
-                value, there = log_head[np.where(d.known, d.known_at, len(log_head) - 1)], d.known.copy()
-                other = np.flatnonzero(~d.known)
-                place, found = index(words.hash[other])
-                value[other[found]], there[other[found]] = log_count[place[found]], True
-                part = np.bincount(d.doc_of_word, weights=value, minlength=rows) + end_part
-                n_known = np.bincount(d.doc_of_word, weights=there, minlength=rows).astype(np.int64)
-                n_tokens = np.diff(words.first) + 1
-                octet = np.diff(words.doc_bytes)
-                none = pa.nulls(rows, pa.int64())
-                names = ["uid", "h", "doc_id", "n_tokens", "n_known", "part", "score", "octets"]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), none, batch.column(0).slice(at, rows), pa.array(n_tokens.astype(np.int64)), pa.array(n_known), pa.array(part), pa.array(score), pa.array(octet.astype(np.int64))], names=names)
-                rare = np.flatnonzero(~there)
-                if len(rare):
-                    empty = [pa.nulls(len(rare), t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[d.doc_of_word[rare]]), pa.array(words.hash[rare].view(np.int64)), *empty], names=names)
-
-    scored = scratch(base.mapInArrow(run, f"uid long, h long, doc_id {kind}, n_tokens long, n_known long, part double, score double, octets long"), "lm-scored")
+    # a row of each document (h null), then rows of its words outside what is broadcast, under one uid
+    fields = f"uid long, h long, doc_id {kind}, n_tokens long, n_known long, part double, score double, octets long"
+    scored = scratch(jvm.map_rows(base.select("doc_id", F.col("text").cast("binary")), engine.scorer(), fields), "lm-scored")
+    engine.done()
     rare = scored.where("h is not null").select("uid", "h").join(counts.where("kind = 0").select("h", "c"), "h")
     rare = rare.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count("*").alias("found"))
     end_known = 1 if n_docs else 0
@@ -785,7 +764,7 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] = (7, 2), id_col:
             "n_tokens",
             (F.col("n_known") + F.coalesce("found", F.lit(0)) + end_known).alias("n_known"),
             F.lit(n_train).cast("long").alias("train_tokens"),
-            (F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
+            (F.col("part") + end_part + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
             "score",
             (-F.col("score") * math.log2(10) / F.greatest(F.col("octets"), F.lit(1))).alias("bits_per_byte"),
         )

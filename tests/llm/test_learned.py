@@ -427,6 +427,38 @@ def test_lm_short_cuts_give_the_same():
         assert lm_score._unpress(lm_score._press(data)) == data
 
 
+def test_lm_runs_in_the_jvm_as_in_numpy(spark, monkeypatch):
+    """Scores, counts and weights of the JVM against the numpy form, and no row of texts goes to Python for them."""
+    rng = np.random.default_rng(9)
+    texts = [None, "", " \t\n", "Alpha BETA alpha beta alpha beta gamma", "h\u00e9llo \u4e2d\u6587 w1 w2 w1 w2", "w3 " * 900, "x" * 700, "\x0b\x0cw5\x1cw6 \x7f"]
+    texts += [" ".join(f"w{k}" for k in rng.integers(0, 90, n)) for n in (1, 3, 40, 700)]
+    h, c = np.unique(np.concatenate([w.hash for w in words_of([" ".join(f"w{k}" for k in range(60)) + " alpha beta"])]), return_counts=True)
+    codes = lm_score.Codes(h, c * rng.integers(3, 900, len(h)), 700, 20, rng.integers(0, 99, 257 * 257))
+    codes.set_classes([rng.integers(0, len(h), 40) for _ in range(100)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lm_score, "LEARN", 64)
+    own = lm_score.Mixer.start(codes)
+    for words in words_of([t or "" for t in texts]):
+        own.learn(words)
+    got = lm_score.learn_model(df.select("text"), codes, 1)
+    assert all((x == y).all() for x, y in zip(own.counts, got.counts)) and np.allclose(own.weights, got.weights, atol=2e-3)
+    counts = [rng.integers(0, 300, (1 << codes.table_bits, 2)).astype(np.uint32) for _ in range(lm_score.TABLES)]
+    mix = lm_score.Mixer(codes, counts, lm_score._initial_weights() + rng.normal(size=own.weights.shape) * 0.1).for_scoring()
+    engine = lm_score.scoring_engine(spark, mix, h[::2], c[::2])
+    fields = "uid long, h long, doc_id long, n_tokens long, n_known long, part double, score double, octets long"
+    scored = lm_score.jvm.map_rows(df.selectExpr("doc_id", "cast(text as binary)"), engine.scorer(), fields)
+    assert not re.search("Arrow|Python", scored._jdf.queryExecution().executedPlan().toString())
+    rows = scored.collect()
+    for i, t in enumerate(texts):
+        (words,) = words_of([t or ""])
+        (r,) = [r for r in rows if r.doc_id == i and r.h is None]
+        (want,), d = mix.score(words)
+        assert abs(r.score - want) < 5e-4 * max(1, abs(want))
+        assert (r.n_tokens, r.n_known, r.octets) == (len(words.hash) + 1, d.known.sum(), len((t or "").encode()))
+        assert abs(r.part - np.log10(codes.count[d.known_at[d.known]] + 1.0).sum()) < 1e-6
+        assert sorted(x.h for x in rows if x.uid == r.uid and x.h is not None) == sorted(words.hash[~d.known].view(np.int64).tolist())
+
+
 def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     """Classes and mixing weights come from every training text, also of tables above a few thousand."""
     seen, rng = {}, np.random.default_rng(6)
